@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.functions.columns import (
-    BOOLEAN, NUMERIC, class_of, clean, field_of, number, raw, value,
+    BOOLEAN, CATEGORICAL, NUMERIC, class_of, clean, field_of, has_map, number, value,
 )
 from tableglass.operators.quality import whole_rows
 from tableglass.operators.rows import drop_column
 from tableglass.operators.stats import mode_of
 from tableglass.plans.quantiles import exact_quantiles
-from tableglass.functions.columns import has_map
 
 REPORT = "step int, type string, column string, method string, rows_before bigint, rows_after bigint, " \
          "rows_removed bigint, filled bigint"
@@ -26,9 +25,8 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     table = clean(df)
     if not any(has_map(f.dataType) for f in df.schema.fields):
         return table.dropDuplicates()
-    keys = df.select(*[c for c in whole_rows(df)]).columns
     grouped = df.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(whole_rows(df))])
-    return grouped.agg(F.first(F.struct(*[value(df, c).alias(c) for c in keys])).alias("row")).select("row.*")
+    return grouped.agg(F.first(F.struct(*[value(df, c).alias(c) for c in df.columns])).alias("row")).select("row.*")
 
 
 def fill_statistic(df: DataFrame, column: str, method: str) -> Column | None:
@@ -65,7 +63,9 @@ def fill_many(df: DataFrame, fills: dict[str, tuple[str, Any]]) -> DataFrame:
 def filled_column(df: DataFrame, column: str, method: str, constant: Any) -> Column:
     v = value(df, column)
     if method == "constant":
-        return F.coalesce(v, F.lit(constant))
+        # text put into a column of another type makes the column text
+        is_text = class_of(field_of(df, column).dataType) == CATEGORICAL
+        return F.coalesce(v.cast("string") if isinstance(constant, str) and not is_text else v, F.lit(constant))
     found = fill_statistic(df, column, method)
     if found is None:
         return v

@@ -1,7 +1,8 @@
 """Exact quantiles of a column of any size, overall or per group.
 
 The built-in exact ``percentile`` keeps one value-to-count map per group in one buffer, which a
-near-unique column of a large table outgrows. Here the answer is found by counting instead:
+near-unique column of a large table outgrows. It is used only where the table was found to have no
+more than a set number of rows; beyond that the answer is found by counting:
 
 1. every value falls into a bucket of relative width 2^(1/1024) (sign and log2), and one
    map-side-combined aggregate counts the buckets; running counts tell which bucket holds each
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.functions.columns import number, quoted, raw, value
@@ -27,6 +28,7 @@ STEPS_PER_OCTAVE = 1024.0
 SMALLEST_EXPONENT = 1100.0  # every finite double has log2 > -1075
 SLICES = 65536.0
 BROADCAST_GROUPS = 100_000
+BUFFER_ROWS = 200_000
 
 
 def log_bucket(v: Column) -> Column:
@@ -43,7 +45,7 @@ def slice_of(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, value): the non-null values of the columns, one per row, as DOUBLE.
+    """(by0..., column, value): the non-null values of the columns, one per row, as DOUBLE.
 
     Rows with a missing group key are left out.
     """
@@ -56,8 +58,7 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
         long = wide.select(*keys, F.lit(columns[0]).alias("column"), raw(columns[0]).alias("value"))
     else:
         long = wide.unpivot(keys, [quoted(c) for c in columns], "column", "value")
-    named = [F.col(k).alias(b) for k, b in zip(keys, by)]
-    return long.filter(F.col("value").isNotNull()).select(*named, "column", "value")
+    return long.filter(F.col("value").isNotNull()).select(*keys, "column", "value")
 
 
 def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
@@ -68,96 +69,129 @@ def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
     return found <= BROADCAST_GROUPS
 
 
-def running(frame: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Adds ``upto`` (running count in order) and ``total`` to rows of (group, order, cnt)."""
-    w = Window.partitionBy(*[raw(g) for g in group])
-    so_far = w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return frame.withColumn("upto", F.sum("cnt").over(so_far)).withColumn("total", F.sum("cnt").over(w))
+# One statement for the three passes: buckets, slices of the open buckets, values of the open slices.
+# {keys} are the group columns and ``column``; {hint} asks for a broadcast where groups are few.
+PASSES = """
+WITH counted AS (
+  SELECT {keys}, bucket, count(1) AS cnt, min(value) AS lo, max(value) AS hi
+  FROM {{facts}} GROUP BY {keys}, bucket
+), placed AS (
+  SELECT *, sum(cnt) OVER (PARTITION BY {keys}) AS n,
+    sum(cnt) OVER (PARTITION BY {keys} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto
+  FROM counted
+), wanted AS (
+  SELECT *, explode({probs}) AS p FROM placed
+), sided AS (
+  SELECT *, inline(array(
+    named_struct('side', 0, 'position', floor((n - 1) * p)), named_struct('side', 1, 'position', ceil((n - 1) * p))))
+  FROM wanted
+), first_pass AS (
+  SELECT {keys}, p, side, n, bucket, position - upto + cnt AS within, lo, hi
+  FROM sided WHERE position >= upto - cnt AND position < upto
+), open_buckets AS (
+  SELECT DISTINCT {keys}, bucket, lo, hi FROM first_pass WHERE lo < hi
+), slices AS (
+  SELECT {hint_b} {facts_keys}, f.bucket, {slice} AS slice, count(1) AS cnt, min(value) AS slo, max(value) AS shi
+  FROM {{facts}} f JOIN open_buckets o ON {same_b} GROUP BY ALL
+), placed_slices AS (
+  SELECT *, sum(cnt) OVER (PARTITION BY {keys}, bucket ORDER BY slice ROWS UNBOUNDED PRECEDING) AS upto FROM slices
+), second_pass AS (
+  SELECT {t_keys}, t.p, t.side, t.n, t.bucket, s.slice, t.within - s.upto + s.cnt AS within, s.slo, s.shi
+  FROM first_pass t JOIN placed_slices s ON {same_ts}
+  WHERE t.lo < t.hi AND t.within >= s.upto - s.cnt AND t.within < s.upto
+), open_slices AS (
+  SELECT DISTINCT {keys}, bucket, slice, slo, shi FROM second_pass WHERE slo < shi
+), singles AS (
+  SELECT {hint_s} {facts_keys}, f.bucket, o.slice, f.value, count(1) AS cnt
+  FROM {{facts}} f JOIN open_slices o ON {same_b} AND f.value BETWEEN o.slo AND o.shi GROUP BY ALL
+), placed_singles AS (
+  SELECT *, sum(cnt) OVER (PARTITION BY {keys}, bucket, slice ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto
+  FROM singles
+), found AS (
+  SELECT {keys}, p, side, n, lo AS value FROM first_pass WHERE lo = hi
+  UNION ALL
+  SELECT {keys}, p, side, n, slo FROM second_pass WHERE slo = shi
+  UNION ALL
+  SELECT {t_keys}, t.p, t.side, t.n, s.value
+  FROM second_pass t JOIN placed_singles s ON {same_ts} AND t.slice = s.slice
+  WHERE t.slo < t.shi AND t.within >= s.upto - s.cnt AND t.within < s.upto
+), sides AS (
+  SELECT {keys}, p, n, max(value) FILTER (WHERE side = 0) AS below, max(value) FILTER (WHERE side = 1) AS above
+  FROM found GROUP BY ALL
+)
+SELECT {out_keys}, p, n, CASE WHEN below = above THEN below
+  ELSE below + (above - below) * ((n - 1) * p - floor((n - 1) * p)) END AS quantile
+FROM sides
+"""
 
 
-def exact_quantiles(
+def quantiles_by_counting(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
 ) -> DataFrame:
-    """(by..., column, p, n, quantile): linear interpolation between the two nearest positions."""
-    keys = [*by, "column"]
-    small = few_groups(df, by)
+    keys = [*[f"by{i}" for i in range(len(by))], "column"]
     facts = long_values(df, columns, by).withColumn("bucket", log_bucket(F.col("value")))
+    few = few_groups(df, by)
+
+    def same(left: str, right: str) -> str:
+        return " AND ".join(f"{left}.{k} = {right}.{k}" for k in [*keys, "bucket"])
+    text = PASSES.format(
+        keys=", ".join(keys), facts_keys=", ".join(f"f.{k}" for k in keys), t_keys=", ".join(f"t.{k}" for k in keys),
+        probs="array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")",
+        slice=f"CASE WHEN o.hi - o.lo < double('infinity') THEN floor((value - o.lo) / (o.hi - o.lo) * {SLICES!r}D) ELSE 0 END",
+        # at most groups x columns x probabilities x 2 rows are open
+        hint_b="/*+ BROADCAST(o) */" if few else "", hint_s="/*+ BROADCAST(o) */" if few else "",
+        same_b=same("f", "o"), same_ts=same("t", "s"),
+        out_keys=", ".join([*[f"by{i} AS {quoted(b)}" for i, b in enumerate(by)], "column"]))
+    return df.sparkSession.sql(text, facts=facts)
+
+
+def fits_buffer(df: DataFrame) -> bool:
+    """Whether the table has at most ``tableglass.quantiles.bufferRows`` rows, so that one buffer can
+    hold all its values. The check stops at the first row beyond; it reads no column."""
+    limit = int(df.sparkSession.conf.get("tableglass.quantiles.bufferRows", str(BUFFER_ROWS)))
+    return limit > 0 and not df.select(F.lit(1).alias("one")).offset(limit).take(1)
+
+
+def quantiles_by_buffer(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+) -> DataFrame:
+    """(by..., column, n, quantiles) from the built-in ``percentile``, for tables that fit a buffer."""
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    numbers = df.select(*[value(df, b).alias(f"by{i}") for i, b in enumerate(by)],
+                        *[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    keys = [f"by{i}" for i in range(len(by))]
+    aggregates = [a for i in range(len(columns)) for a in (
+        F.percentile(f"v{i}", ps).alias(f"q{i}"), F.count(f"v{i}").alias(f"n{i}"))]
+    row = numbers.dropna(subset=keys).groupBy(*keys).agg(*aggregates) if keys else numbers.agg(*aggregates)
+    lines = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("quantiles"))
+             for i, c in enumerate(columns)]
+    return row.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], F.inline(F.array(*lines))).filter("n > 0")
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+) -> DataFrame:
+    """(by..., column, p, n, quantile): linear interpolation between the two nearest positions.
 
-    # positions wanted, as (p, side, position): side 0 below, side 1 above
-    buckets = facts.groupBy(*[raw(k) for k in keys], "bucket").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    exact = [(F.col("total") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    wanted = [
-        F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), rounding(pos).cast("long").alias("position"))
-        for p, pos in zip(probs, exact)
-        for side, rounding in ((0, F.floor), (1, F.ceil))
-    ]
-    first = (
-        running(buckets, keys, "bucket")
-        .select("*", F.inline(F.array(*wanted)))
-        .filter((F.col("position") >= F.col("upto") - F.col("cnt")) & (F.col("position") < F.col("upto")))
-        .select(*[raw(k) for k in keys], "p", "side", F.col("total").alias("n"), "bucket",
-                (F.col("position") - F.col("upto") + F.col("cnt")).alias("within"), "lo", "hi")
-    )
-
-    def only(places: DataFrame) -> DataFrame:
-        # one row per open bucket, at most groups x columns x probabilities x 2 of them
-        return F.broadcast(places) if small else places
-
-    at = [*keys, "bucket"]
-    open_buckets = first.filter(F.col("lo") < F.col("hi")).select(*[raw(k) for k in at], "lo", "hi").distinct()
-    slices = (
-        facts.join(only(open_buckets), at)
-        .withColumn("slice", slice_of(F.col("value"), F.col("lo"), F.col("hi")))
-        .groupBy(*[raw(k) for k in at], "slice")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("slo"), F.max("value").alias("shi"))
-    )
-    second = narrowed(first.filter(F.col("lo") < F.col("hi")).drop("lo", "hi"),
-                      running(slices, at, "slice"), at, "slice", ("slo", "shi"))
-
-    inside = [*at, "slice"]
-    open_slices = second.filter(F.col("slo") < F.col("shi")).select(*[raw(k) for k in inside], "slo", "shi").distinct()
-    singles = (
-        facts.join(only(open_slices), at)
-        .filter(F.col("value").between(F.col("slo"), F.col("shi")))
-        .groupBy(*[raw(k) for k in inside], "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    third = narrowed(second.filter(F.col("slo") < F.col("shi")).drop("slo", "shi"),
-                     running(singles, inside, "value"), inside, "value", ())
-
-    out = [*[raw(k) for k in keys], F.col("p"), F.col("side"), F.col("n")]
-    found = (
-        first.filter(F.col("lo") == F.col("hi")).select(*out, F.col("lo").alias("value"))
-        .unionAll(second.filter(F.col("slo") == F.col("shi")).select(*out, F.col("slo").alias("value")))
-        .unionAll(third.select(*out, "value"))
-    )
-    fraction = (F.col("n") - 1).cast("double") * F.col("p") - F.floor((F.col("n") - 1).cast("double") * F.col("p"))
-    below, above = F.col("below"), F.col("above")
-    return (
-        found.groupBy(*[raw(k) for k in keys], "p", "n")
-        .agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("below"),
-             F.max(F.when(F.col("side") == 1, F.col("value"))).alias("above"))
-        .select(*[raw(k) for k in keys], "p", "n",
-                F.when(below == above, below).otherwise(below + (above - below) * fraction).alias("quantile"))
-    )
-
-
-def narrowed(targets: DataFrame, counted: DataFrame, at: Sequence[str], piece: str, kept: Sequence[str]) -> DataFrame:
-    """Each wanted position moved into the piece of its bucket (or slice) that holds it."""
-    pieces = counted.select(*[raw(k) for k in at], piece, *kept, "cnt", "upto")
-    return (
-        targets.join(pieces, list(at))
-        .filter((F.col("within") >= F.col("upto") - F.col("cnt")) & (F.col("within") < F.col("upto")))
-        .withColumn("within", F.col("within") - F.col("upto") + F.col("cnt"))
-        .drop("cnt", "upto")
-    )
+    Columns (of groups) without values have no rows.
+    """
+    if not fits_buffer(df):
+        return quantiles_by_counting(df, columns, probs, by)
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    zipped = F.inline(F.arrays_zip(ps.alias("p"), F.col("quantiles").alias("quantile")))
+    return quantiles_by_buffer(df, columns, probs, by).select(*[raw(b) for b in by], "column", "n", zipped)
 
 
 def quantile_columns(
     df: DataFrame, columns: Sequence[str], probs: dict[str, float], by: Sequence[str] = (),
 ) -> DataFrame:
     """(by..., column, one DOUBLE per named probability)."""
-    long = exact_quantiles(df, columns, sorted(set(probs.values())), by)
-    picked = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in probs.items()]
-    return long.groupBy(*[raw(b) for b in by], "column").agg(*picked)
+    ordered = sorted(set(probs.values()))
+    keys = [raw(b) for b in by]
+    if fits_buffer(df):
+        found = quantiles_by_buffer(df, columns, ordered, by)
+        return found.select(*keys, "column", *[
+            F.element_at("quantiles", ordered.index(p) + 1).alias(name) for name, p in probs.items()])
+    found = quantiles_by_counting(df, columns, ordered, by)
+    return found.groupBy(*keys, "column").agg(*[
+        F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in probs.items()])
