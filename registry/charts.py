@@ -69,9 +69,9 @@ def violin_sql(y, by, of, grid, bins):
       b AS (SELECT {group}lo, hi, n, h, {bin_of('y', bins)} AS bin, count(*) AS cnt FROM v JOIN s {join} GROUP BY ALL),
       c AS (SELECT *, lo + (bin - CAST(0.5 AS DOUBLE)) * (hi - lo) / CAST({bins} AS DOUBLE) AS centre FROM b),
       p AS (SELECT *, unnest(generate_series(0, {grid - 1})) AS point FROM c),
-      q AS (SELECT *, lo - 2 * h + point * ((hi + 2 * h) - (lo - 2 * h)) / CAST({grid - 1} AS DOUBLE) AS at FROM p)
-      SELECT {group}CAST(point AS INTEGER) AS point, round(max(at), 5) AS at,
-        round(sum(cnt * exp(-0.5 * ((at - centre) / h) * ((at - centre) / h)) / (n * h * sqrt(2 * pi()))), 9) AS density
+      q AS (SELECT *, lo - 2 * h + point * ((hi + 2 * h) - (lo - 2 * h)) / CAST({grid - 1} AS DOUBLE) AS "at" FROM p)
+      SELECT {group}CAST(point AS INTEGER) AS point, round(max("at"), 5) AS "at",
+        round(sum(cnt * exp(-0.5 * (("at" - centre) / h) * (("at" - centre) / h)) / (n * h * sqrt(2 * pi()))), 9) AS density
       FROM q GROUP BY {group}point"""
 
 

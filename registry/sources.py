@@ -1,2 +1,164 @@
-QUERIES = {}
-SQL = {}
+"""Readers, writers and type inference, over files that Spark first writes from the tables."""
+
+from pyspark.sql import functions as F
+
+from registry import rounded, table
+from tableglass.plans.scratch import scratch_folder
+from tableglass.sources import detect, infer, readers, writers
+
+
+def orders(s, d):
+    return table(s, d, "orders")
+
+
+def french(s, d):
+    """customer with accents in the segment, within Latin-1."""
+    return table(s, d, "customer").select("c_custkey", F.concat(F.lit("marché été "), F.lower("c_mktsegment")).alias("segment"))
+
+
+def written(s, df, kind, **options):
+    """The folder the table was written to."""
+    path = scratch_folder(s)
+    getattr(df.write.options(**options), kind)(path)
+    return path
+
+
+def csv(s, d, **options):
+    return written(s, orders(s, d).withColumn("o_orderdate", F.col("o_orderdate").cast("date")), "csv", header=True, **options)
+
+
+def bad_lines(s, d):
+    """Orders as lines of CSV: every tenth has a field too many, every eleventh one too few."""
+    df = orders(s, d)
+    fields = [F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")]
+    line = F.when(F.col("o_orderkey") % 10 == 0, F.concat_ws(";", *fields, F.lit("extra"))).when(
+        F.col("o_orderkey") % 11 == 0, F.concat_ws(";", *fields[:2])).otherwise(F.concat_ws(";", *fields))
+    lines = df.select(line.alias("value"))
+    path = scratch_folder(s)
+    rows = written(s, lines, "text")
+    # every file of a CSV folder starts with the header
+    with_header = s.read.text(rows, wholetext=True).select(F.concat(F.lit("key;customer;status\n"), "value").alias("value"))
+    with_header.write.text(path)
+    return path
+
+
+def json_lines(s, d):
+    return written(s, orders(s, d).drop("o_orderdate"), "json")
+
+
+def as_document(s, records, before, after):
+    """One JSON document per table: the records joined in one text, spread over lines."""
+    text = records.agg(F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list("record")), ",\n"),
+                                F.lit(after)).alias("value"))
+    return written(s, text, "text")
+
+
+def json_records(s, d):
+    return table(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("record"))
+
+
+def nested(s, d):
+    o = orders(s, d)
+    return o.select("o_orderkey", F.struct("o_totalprice", F.struct("o_orderstatus", "o_orderpriority").alias("state")).alias("order"))
+
+
+def one_object(s, d):
+    """Totals of orders as one nested JSON object."""
+    totals = orders(s, d).agg(F.to_json(F.struct(
+        F.count(F.lit(1)).alias("orders"), F.struct(F.min("o_custkey").alias("least"), F.max("o_custkey").alias("most")).alias("customer"))).alias("value"))
+    return written(s, totals, "text")
+
+
+def texts_of(s, d):
+    """Orders with every column as text: dates day first, prices with a decimal comma and spaces."""
+    return orders(s, d).select(
+        "o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"),
+        F.replace(F.concat_ws(" ", F.col("o_totalprice").cast("string"), F.lit("")), F.lit("."), F.lit(",")).alias("price"),
+        "o_orderpriority")
+
+
+TEXTS = """(SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders)"""
+
+
+def csv_read_back(s, d):
+    """A CSV with semicolons, read without being told."""
+    return readers.read_csv_auto(s, csv(s, d, sep=";")).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+QUERIES = {
+    "read_csv_auto": csv_read_back,
+    "read_csv_latin1": lambda s, d: readers.read_csv_auto(
+        s, written(s, french(s, d), "csv", header=True, sep="|", encoding="ISO-8859-1")),
+    "detect_separator": lambda s, d: detect.detect_separator(s, csv(s, d, sep="\t")).groupBy("separator").agg(
+        (F.count(F.lit(1)) > 0).alias("found")),
+    "detect_encoding": lambda s, d: detect.detect_encoding(
+        s, written(s, french(s, d), "csv", encoding="ISO-8859-1")).select("encoding").distinct().unionAll(
+        detect.detect_encoding(s, written(s, french(s, d), "csv")).select("encoding").distinct()),
+    "read_csv_report_bad": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[0],
+    "read_csv_bad_lines": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[1],
+    "read_json_lines": lambda s, d: readers.read_json_auto(s, json_lines(s, d)),
+    "read_json_array": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), "[\n", "\n]")),
+    "read_json_root": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), '{"data": [\n', "\n]}")),
+    "read_json_object": lambda s, d: readers.read_json_auto(s, one_object(s, d)),
+    "flatten_struct": lambda s, d: readers.flatten_struct(nested(s, d)),
+    "read_parquet": lambda s, d: readers.read_parquet(s, f"{d}/orders.parquet"),
+    "read_text_lines": lambda s, d: readers.read_text_lines(s, written(s, table(s, d, "part").select("p_name"), "text")),
+    "read_any_csv": lambda s, d: readers.read_any(s, csv(s, d, sep="|"))[0].select("o_orderkey", "o_totalprice", "o_orderpriority"),
+    "read_any_json": lambda s, d: readers.read_any(s, json_lines(s, d))[0],
+    "read_any_metadata": lambda s, d: readers.read_any(s, f"{d}/orders.parquet")[1].drop("size_bytes"),
+    "write_csv": lambda s, d: exported(s, d, None),
+    "write_csv_first": lambda s, d: exported(s, d, 1000),
+    # types
+    "infer_datetime": lambda s, d: infer.infer_datetime(texts_of(s, d), ["day", "iso", "o_orderpriority"]).select(
+        "o_orderkey", F.col("day").cast("timestamp_ntz").alias("day"), F.col("iso").cast("timestamp_ntz").alias("iso"),
+        "o_orderpriority"),
+    "infer_numeric": lambda s, d: infer.infer_numeric(texts_of(s, d), ["price", "o_orderpriority"]).select(
+        "o_orderkey", "price", "o_orderpriority"),
+    "infer_types": lambda s, d: rounded(infer.infer_types(texts_of(s, d), aggressive=True)[0].select(
+        "o_orderkey", F.col("day").cast("timestamp_ntz").alias("day"), "price", "o_orderpriority")),
+    "infer_types_conversions": lambda s, d: infer.infer_types(texts_of(s, d), aggressive=True)[1],
+}
+
+
+def exported(s, d, n):
+    path = scratch_folder(s)
+    writers.write_csv(orders(s, d).drop("o_orderdate"), path, n, "o_orderkey")
+    return s.read.csv(path, header=True, inferSchema=True).select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"),
+        "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+
+SQL = {
+    "read_csv_auto": "SELECT * FROM orders",
+    "read_csv_latin1": "SELECT c_custkey, concat('marché été ', lower(c_mktsegment)) AS segment FROM customer",
+    "detect_separator": "SELECT chr(9) AS separator, true AS found",
+    "detect_encoding": "SELECT 'ISO-8859-1' AS encoding UNION ALL SELECT 'UTF-8'",
+    "read_csv_report_bad": """SELECT o_orderkey AS key, o_custkey AS customer,
+      CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0""",
+    "read_csv_bad_lines": """SELECT concat_ws(';', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, 'extra') AS line
+      FROM orders WHERE o_orderkey % 10 = 0""",
+    "read_json_lines": f"SELECT {COLUMNS} FROM orders",
+    "read_json_array": "SELECT n_nationkey, n_name FROM nation",
+    "read_json_root": "SELECT n_nationkey, n_name FROM nation",
+    "read_json_object": """SELECT count(*) AS orders, min(o_custkey) AS "customer.least", max(o_custkey) AS "customer.most" FROM orders""",
+    "flatten_struct": """SELECT o_orderkey, o_totalprice AS "order.o_totalprice", o_orderstatus AS "order.state.o_orderstatus",
+      o_orderpriority AS "order.state.o_orderpriority" FROM orders""",
+    "read_parquet": "SELECT * FROM orders",
+    "read_text_lines": "SELECT p_name AS content FROM part",
+    "read_any_csv": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+    "read_any_json": f"SELECT {COLUMNS} FROM orders",
+    "read_any_metadata": """SELECT 'orders.parquet' AS filename, '.parquet' AS extension, 'Parquet' AS detected_format,
+      count(*) AS rows, 6 AS columns FROM orders""",
+    "write_csv": f"SELECT {COLUMNS} FROM orders",
+    "write_csv_first": f"SELECT {COLUMNS} FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "infer_datetime": "SELECT o_orderkey, o_orderdate AS day, o_orderdate AS iso, o_orderpriority FROM orders",
+    "infer_numeric": "SELECT o_orderkey, o_totalprice AS price, o_orderpriority FROM orders",
+    "infer_types": """SELECT CAST(o_orderkey AS SMALLINT) AS o_orderkey, o_orderdate AS day, round(o_totalprice, 6) AS price, o_orderpriority FROM orders""",
+    "infer_types_conversions": """SELECT 'day' AS "column", 'string → datetime' AS conversion UNION ALL SELECT 'iso', 'string → datetime'
+      UNION ALL SELECT 'price', 'string → numeric' UNION ALL SELECT 'o_orderpriority', 'string → category'
+      UNION ALL SELECT 'o_orderkey', CASE WHEN max(o_orderkey) < 128 THEN 'bigint → tinyint'
+        WHEN max(o_orderkey) < 32768 THEN 'bigint → smallint' ELSE 'bigint → int' END FROM orders""",
+}

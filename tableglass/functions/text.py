@@ -28,6 +28,14 @@ def hits(text: Column, keywords: Sequence[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in keywords), F.lit(0))
 
 
+def any_hit(text: Column, keywords: Sequence[str]) -> Column:
+    """Whether one of the words occurs; stops at the first that does."""
+    found = F.lit(False)
+    for w in keywords:
+        found = found | text.contains(w)
+    return found
+
+
 def intent_scores(text: Column) -> Column:
     """A struct with one score per intent, of a normalised text."""
     return F.struct(*[hits(text, w).alias(intent) for intent, w in words.INTENT_WORDS.items()])
@@ -55,35 +63,39 @@ def action(text: Column, intent: Column) -> Column:
     for name, actions in words.INTENT_ACTIONS.items():
         of_intent = None
         for a in actions:
-            found = hits(text, words.SYNONYMS[a]) > 0
+            found = any_hit(text, words.SYNONYMS[a])
             of_intent = F.when(found, a) if of_intent is None else of_intent.when(found, a)
         condition, result = intent == name, of_intent.otherwise(words.UNKNOWN)
         choice = F.when(condition, result) if choice is None else choice.when(condition, result)
     return choice.otherwise(words.UNKNOWN)
 
 
-def group_phrase(text: Column, columns: Sequence[str]) -> Column:
-    """The column named after a grouping phrase in the raw text, NULL if none."""
-    found = []
-    for pattern in words.GROUP_PATTERNS:
-        word = F.lower(F.regexp_extract(text, "(?iU)" + pattern, 1))
-        choice = None
+def group_words(text: Column) -> Column:
+    """Array with the word after each grouping phrase of the raw text, empty where there is none."""
+    return F.array(*[F.lower(F.regexp_extract(text, "(?iU)" + p, 1)) for p in words.GROUP_PATTERNS])
+
+
+def group_column(found: Column, columns: Sequence[str]) -> Column:
+    """The first of the columns whose name holds the word of the first phrase that fits one."""
+    choice = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i in range(len(words.GROUP_PATTERNS)):
+        word = found.getItem(i)
         for c in columns:
-            match = (word != "") & F.contains(F.lit(normalized_name(c)), word)
-            choice = F.when(match, c) if choice is None else choice.when(match, c)
-        if choice is not None:
-            found.append(choice)
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+            choice = choice.when((word != "") & F.contains(F.lit(normalized_name(c)), word), c)
+    return choice
 
 
 def filter_phrases(text: Column) -> Column:
     """Array of (operator, value, value_min, value_max) for all comparisons named in the raw text."""
     none = F.lit(None).cast("double")
-    parts = []
-    for pattern, operator in words.COMPARISON_PATTERNS:
-        values = F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(2))
-        parts.append(F.transform(values, lambda v, o=operator: F.struct(
-            F.lit(o).alias("operator"), v.alias("value"), none.alias("value_min"), none.alias("value_max"))))
+
+    def compared(operator: str):
+        return lambda v: F.struct(F.lit(operator).alias("operator"), v.alias("value"),
+                                  none.alias("value_min"), none.alias("value_max"))
+    parts = [
+        F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(2)), compared(operator))
+        for pattern, operator in words.COMPARISON_PATTERNS
+    ]
     low = F.regexp_extract_all(text, F.lit("(?iU)" + words.RANGE_PATTERN), F.lit(1))
     high = F.regexp_extract_all(text, F.lit("(?iU)" + words.RANGE_PATTERN), F.lit(2))
     parts.append(F.zip_with(low, high, lambda a, b: F.struct(
@@ -111,14 +123,3 @@ def mention_score(text: Column, tokens: Column, name: str) -> Column:
     if triggers:
         score = score.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in triggers])), F.lit(words.SYNONYM))
     return score.otherwise(F.lit(0.0))
-
-
-def mentions(text: Column, tokens: Column, columns: Sequence[str]) -> Column:
-    """Array of (column, score) of the columns named, best first, ties in the order given."""
-    scored = [
-        F.struct((-mention_score(text, tokens, c)).alias("order"), F.lit(i).alias("place"), F.lit(c).alias("column"))
-        for i, c in enumerate(columns)
-    ]
-    named = F.filter(F.array(*scored), lambda m: m.getField("order") < 0)
-    return F.transform(F.array_sort(named), lambda m: F.struct(
-        m.getField("column").alias("column"), (-m.getField("order")).alias("score")))

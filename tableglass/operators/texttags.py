@@ -32,7 +32,8 @@ def tag_action(df: DataFrame, column: str) -> DataFrame:
 
 def extract_group_phrase(df: DataFrame, column: str, columns: Sequence[str]) -> DataFrame:
     """Adds group_column: the one of ``columns`` named in a phrase like "par X" or "group by X"."""
-    return df.withColumn("group_column", text.group_phrase(raw(column), columns))
+    found = df.withColumn("_words", text.group_words(raw(column)))
+    return found.withColumn("group_column", text.group_column(F.col("_words"), columns)).drop("_words")
 
 
 def extract_filter_phrases(df: DataFrame, column: str) -> DataFrame:
@@ -46,14 +47,22 @@ def rank_column_mentions(df: DataFrame, column: str, columns: Sequence[str]) ->
     Kept are the columns that score at least 0.7 of the best; the confidence is the mean of the
     intent's and the best column's.
     """
-    named = df.withColumn("_text", text.normalized(raw(column))).withColumn(
-        "_words", F.array_distinct(F.split("_text", " "))).withColumn(
-        "_named", text.mentions(F.col("_text"), F.col("_words"), columns))
-    best = F.try_element_at("_named", F.lit(1)).getField("score")
-    scored = named.withColumn("confidence", (
-        text.intent_confidence(text.intent_scores(F.col("_text"))) + F.coalesce(best, F.lit(0.0))) / 2.0).withColumn(
-        "_kept", F.slice(F.filter("_named", lambda m: m.getField("score") >= best * words.KEPT_OF_BEST),
-                         1, words.KEPT_COLUMNS))
-    placed = scored.select(*[raw(c) for c in df.columns], "confidence", F.posexplode("_kept").alias("_at", "_kept"))
-    return placed.select(*[raw(c) for c in df.columns], F.col("_kept.column").alias("target"),
-                         F.col("_kept.score").alias("score"), (F.col("_at") + 1).alias("place"), "confidence")
+    kept = [raw(c) for c in df.columns]
+    normal = df.withColumn("_text", text.normalized(raw(column)))
+    tokens = normal.withColumn("_tokens", F.array_distinct(F.split("_text", " "))).withColumn(
+        "_intent", text.intent_confidence(text.intent_scores(F.col("_text"))))
+    scores = [F.col(f"_score{i}") for i in range(len(columns))]
+    scored = tokens.select(*kept, "_intent", *[
+        text.mention_score(F.col("_text"), F.col("_tokens"), c).alias(f"_score{i}") for i, c in enumerate(columns)])
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    ranked = scored.select(*kept, "_intent", best.alias("_best"), *scores)
+    named = F.array_compact(F.array(*[
+        F.when((s > 0) & (s >= F.col("_best") * words.KEPT_OF_BEST),
+               F.struct((-s).alias("order"), F.lit(i).alias("spot"), F.lit(c).alias("target")))
+        for i, (s, c) in enumerate(zip(scores, columns))]))
+    # best first, ties in the order of the names
+    first = F.slice(F.sort_array(named), 1, words.KEPT_COLUMNS)
+    placed = ranked.select(*kept, ((F.col("_intent") + F.col("_best")) / 2.0).alias("confidence"),
+                           F.posexplode(first).alias("_at", "_kept"))
+    return placed.select(*kept, F.col("_kept.target").alias("target"), (-F.col("_kept.order")).alias("score"),
+                         (F.col("_at") + 1).alias("place"), "confidence")

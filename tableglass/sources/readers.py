@@ -27,9 +27,15 @@ def csv_options(spark: SparkSession, path: str, sep: str | None, encoding: str |
 
 def read_csv_auto(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, skip_bad: bool = True,
 ) -> DataFrame:
-    """CSV with a header; separator, encoding and types are found out unless given."""
+    """CSV with a header; separator, encoding and types are found out unless given.
+
+    Lines with more fields than the header are skipped. ``skip_bad=False`` keeps their first fields
+    instead and lets Spark parse only the columns asked for.
+    """
+    if skip_bad:
+        return read_csv_report_bad(spark, path, sep, encoding, schema)[0]
     reader = spark.read.options(**csv_options(spark, path, sep, encoding))
     return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
 
@@ -44,14 +50,17 @@ def read_csv_report_bad(
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.options(**options).schema(marked).csv(
+    # without pruning: a line is judged by all its fields, whichever are asked for
+    lines = spark.read.options(**options, columnPruning="false").schema(marked).csv(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     unquoted = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(options["sep"]), F.lit(""))) + 1
-    is_bad = F.col(CORRUPT).isNotNull() & (fields > len(schema.fields))
-    good = lines.filter(~is_bad | F.col(CORRUPT).isNull()).select(*[raw(f.name) for f in schema.fields])
-    return good, lines.filter(is_bad).select(*[raw(f.name) for f in schema.fields], CORRUPT).select(
-        F.col(CORRUPT).alias("line"))
+    too_many = F.coalesce(fields > len(schema.fields), F.lit(False))
+    names = [raw(f.name) for f in schema.fields]
+    # Spark refuses to read the corrupt lines alone; the row number keeps a parsed field in the plan
+    with_field = F.struct(names[0].alias("field"), F.col(CORRUPT).alias("line"), F.monotonically_increasing_id())
+    bad = lines.filter(too_many).select(with_field.alias("bad")).select("bad.line")
+    return lines.filter(~too_many).select(*names), bad
 
 
 def flatten_struct(df: DataFrame) -> DataFrame:
