@@ -116,7 +116,8 @@ QUERIES = {
     "infer_numeric": lambda s, d: infer.infer_numeric(texts_of(s, d), ["price", "o_orderpriority"]).select(
         "o_orderkey", "price", "o_orderpriority"),
     "infer_types": lambda s, d: rounded(infer.infer_types(texts_of(s, d), aggressive=True)[0].select(
-        "o_orderkey", F.col("day").cast("timestamp_ntz").alias("day"), "price", "o_orderpriority")),
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("day").cast("timestamp_ntz").alias("day"),
+        "price", "o_orderpriority")),
     "infer_types_conversions": lambda s, d: infer.infer_types(texts_of(s, d), aggressive=True)[1],
 }
 
@@ -132,23 +133,25 @@ def exported(s, d, n):
 COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
 
 SQL = {
-    "read_csv_auto": "SELECT * FROM orders",
-    "read_csv_latin1": "SELECT c_custkey, concat('marché été ', lower(c_mktsegment)) AS segment FROM customer",
+    # Spark infers the narrowest of INT and BIGINT for CSV, always BIGINT for JSON
+    "read_csv_auto": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+      o_totalprice, o_orderdate, o_orderpriority FROM orders""",
+    "read_csv_latin1": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, concat('marché été ', lower(c_mktsegment)) AS segment FROM customer",
     "detect_separator": "SELECT chr(9) AS separator, true AS found",
     "detect_encoding": "SELECT 'ISO-8859-1' AS encoding UNION ALL SELECT 'UTF-8'",
-    "read_csv_report_bad": """SELECT o_orderkey AS key, o_custkey AS customer,
+    "read_csv_report_bad": """SELECT CAST(o_orderkey AS INTEGER) AS key, CAST(o_custkey AS INTEGER) AS customer,
       CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0""",
     "read_csv_bad_lines": """SELECT concat_ws(';', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, 'extra') AS line
       FROM orders WHERE o_orderkey % 10 = 0""",
     "read_json_lines": f"SELECT {COLUMNS} FROM orders",
-    "read_json_array": "SELECT n_nationkey, n_name FROM nation",
-    "read_json_root": "SELECT n_nationkey, n_name FROM nation",
+    "read_json_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
+    "read_json_root": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
     "read_json_object": """SELECT count(*) AS orders, min(o_custkey) AS "customer.least", max(o_custkey) AS "customer.most" FROM orders""",
     "flatten_struct": """SELECT o_orderkey, o_totalprice AS "order.o_totalprice", o_orderstatus AS "order.state.o_orderstatus",
       o_orderpriority AS "order.state.o_orderpriority" FROM orders""",
     "read_parquet": "SELECT * FROM orders",
     "read_text_lines": "SELECT p_name AS content FROM part",
-    "read_any_csv": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+    "read_any_csv": "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority FROM orders",
     "read_any_json": f"SELECT {COLUMNS} FROM orders",
     "read_any_metadata": """SELECT 'orders.parquet' AS filename, '.parquet' AS extension, 'Parquet' AS detected_format,
       count(*) AS rows, 6 AS columns FROM orders""",
@@ -156,7 +159,7 @@ SQL = {
     "write_csv_first": f"SELECT {COLUMNS} FROM orders ORDER BY o_orderkey LIMIT 1000",
     "infer_datetime": "SELECT o_orderkey, o_orderdate AS day, o_orderdate AS iso, o_orderpriority FROM orders",
     "infer_numeric": "SELECT o_orderkey, o_totalprice AS price, o_orderpriority FROM orders",
-    "infer_types": """SELECT CAST(o_orderkey AS SMALLINT) AS o_orderkey, o_orderdate AS day, round(o_totalprice, 6) AS price, o_orderpriority FROM orders""",
+    "infer_types": """SELECT o_orderkey, o_orderdate AS day, round(o_totalprice, 6) AS price, o_orderpriority FROM orders""",
     "infer_types_conversions": """SELECT 'day' AS "column", 'string → datetime' AS conversion UNION ALL SELECT 'iso', 'string → datetime'
       UNION ALL SELECT 'price', 'string → numeric' UNION ALL SELECT 'o_orderpriority', 'string → category'
       UNION ALL SELECT 'o_orderkey', CASE WHEN max(o_orderkey) < 128 THEN 'bigint → tinyint'

@@ -36,25 +36,23 @@ def any_hit(text: Column, keywords: Sequence[str]) -> Column:
     return found
 
 
-def intent_scores(text: Column) -> Column:
-    """A struct with one score per intent, of a normalised text."""
-    return F.struct(*[hits(text, w).alias(intent) for intent, w in words.INTENT_WORDS.items()])
+def intent_scores(text: Column) -> list[Column]:
+    """One score per intent, in their order, of a normalised text."""
+    return [hits(text, w) for w in words.INTENT_WORDS.values()]
 
 
-def best_intent(scores: Column) -> Column:
+def best_intent(scores: Sequence[Column]) -> Column:
     """The intent with the highest score, the earlier one on ties; unknown if all are 0."""
-    each = [scores.getField(i) for i in words.INTENT_WORDS]
-    best = F.greatest(*each)
+    best = F.greatest(*scores)
     choice = F.when(best == 0, words.UNKNOWN)
-    for intent, score in zip(words.INTENT_WORDS, each):
+    for intent, score in zip(words.INTENT_WORDS, scores):
         choice = choice.when(score == best, intent)
     return choice.otherwise(words.UNKNOWN)
 
 
-def intent_confidence(scores: Column) -> Column:
-    each = [scores.getField(i) for i in words.INTENT_WORDS]
-    total = sum(each[1:], each[0])
-    return F.coalesce(F.try_divide(F.greatest(*each).cast("double"), total.cast("double")), F.lit(0.0))
+def intent_confidence(scores: Sequence[Column]) -> Column:
+    total = sum(scores[1:], scores[0])
+    return F.coalesce(F.try_divide(F.greatest(*scores).cast("double"), total.cast("double")), F.lit(0.0))
 
 
 def action(text: Column, intent: Column) -> Column:

@@ -13,6 +13,7 @@ from tableglass.functions.moments import pearson
 from tableglass.plans.ranks import ordered_counts
 
 STRONG, VERY_STRONG = 0.7, 0.9
+PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
 BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
 
 
@@ -23,20 +24,44 @@ def two_or_more(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return chosen
 
 
+def numbers_of(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    return df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(chosen)])
+
+
+def pearson_pairs(numbers: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(var1, var2, r) for every pair of the columns v0, v1...
+
+    One aggregate over all pairs would outgrow generated code from about ten pairs on and run many
+    times slower, so each row is split into blocks of a few pairs and aggregated per block.
+    """
+    pairs = list(combinations(range(len(names)), 2))
+    blocks = [pairs[i:i + PAIRS_PER_BLOCK] for i in range(0, len(pairs), PAIRS_PER_BLOCK)]
+    width = min(PAIRS_PER_BLOCK, len(pairs))
+    none = F.lit(None).cast("double")
+
+    def block(at: int, members: list[tuple[int, int]]) -> Column:
+        filled = [(F.col(f"v{i}"), F.col(f"v{j}")) for i, j in members] + [(none, none)] * (width - len(members))
+        return F.struct(F.lit(at).alias("block"), *[
+            c for t, (x, y) in enumerate(filled) for c in (x.alias(f"x{t}"), y.alias(f"y{t}"))])
+    split = numbers.select(F.inline(F.array(*[block(at, members) for at, members in enumerate(blocks)])))
+    found = split.groupBy("block").agg(*[pearson(F.col(f"x{t}"), F.col(f"y{t}")).alias(f"r{t}") for t in range(width)])
+    lines = found.select("block", F.posexplode(F.array(*[f"r{t}" for t in range(width)])).alias("t", "r")).select(
+        (F.col("block") * width + F.col("t")).alias("place"), "r")
+    listed = numbers.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(at).alias("place"), F.lit(names[i]).alias("var1"), F.lit(names[j]).alias("var2"))
+        for at, (i, j) in enumerate(pairs)])))
+    return listed.join(F.broadcast(lines), "place", "left").select("var1", "var2", "r")
+
+
 def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(var1, var2, r) for every pair of numeric columns, from one aggregate; NULL if either is constant."""
+    """(var1, var2, r) for every pair of numeric columns, in one pass; NULL if either is constant."""
     chosen = two_or_more(df, columns)
-    numbers = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(chosen)])
-    pairs = list(combinations(range(len(chosen)), 2))
-    row = numbers.agg(*[pearson(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"), F.col(f"r{i}_{j}").alias("r"))
-        for i, j in pairs])))
+    return pearson_pairs(numbers_of(df, chosen), chosen)
 
 
 def cells(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """(var1, var2, x, y, c): how often each combination of values occurs, for every pair of columns."""
-    numbers = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(chosen)])
+    numbers = numbers_of(df, chosen)
     pairs = [
         F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"),
                  F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
@@ -63,14 +88,34 @@ def every_pair(df: DataFrame, chosen: Sequence[str], found: DataFrame) -> DataFr
     return listed.join(F.broadcast(found), PAIR, "left").select(*PAIR, "r")
 
 
+def centred_rank() -> Column:
+    """The average rank of the value less the mean rank (total + 1) / 2."""
+    return F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("total") + 1) / 2.0
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(var1, var2, r): Pearson's coefficient of the average ranks among the rows complete for the pair."""
+    """(var1, var2, r): Pearson's coefficient of the average ranks among the rows complete for the pair.
+
+    Whether values are missing is counted first. Without any, a column has the same ranks in every
+    pair: they are looked up once per column. Otherwise each pair has its own ranks.
+    """
     chosen = two_or_more(df, columns)
+    numbers = numbers_of(df, chosen)
+    counts = numbers.agg(F.count(F.lit(1)), *[F.count(c) for c in numbers.columns]).first()
+    if len(set(counts)) > 1:
+        return spearman_by_pair(df, chosen)
+    ranked = numbers
+    for c in numbers.columns:
+        values = numbers.groupBy(F.lit(0).alias("key"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+        ranks = ordered_counts(values, ["key"]).select(F.col("value").alias(c), centred_rank().alias(f"rank_{c}"))
+        ranked = ranked.join(ranks, c).drop(c)
+    return pearson_pairs(ranked.select(*[F.col(f"rank_{c}").alias(c) for c in numbers.columns]), chosen)
+
+
+def spearman_by_pair(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     counted = cells(df, chosen)
-    # average rank less the mean rank (total + 1) / 2
-    centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("total") + 1) / 2.0
-    x = side_ranks(counted, "x").select(*PAIR, F.col("value").alias("x"), centred.alias("dx"))
-    y = side_ranks(counted, "y").select(*PAIR, F.col("value").alias("y"), centred.alias("dy"))
+    x = side_ranks(counted, "x").select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"))
+    y = side_ranks(counted, "y").select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"))
     c, dx, dy = F.col("c").cast("double"), F.col("dx"), F.col("dy")
     spread = F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))
     found = counted.join(x, [*PAIR, "x"]).join(y, [*PAIR, "y"]).groupBy(*PAIR).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableglass.functions.columns import (
-    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, OTHER, class_of, columns_of, data_bytes, field_of, groupable,
+    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, class_of, columns_of, data_bytes, field_of, groupable,
     is_floating, is_integral, micros, number, percent, quoted, raw, value,
 )
 from tableglass.functions.moments import sample_kurtosis, sample_skewness
@@ -58,7 +58,7 @@ def of_class(classes: Sequence[str], metric, type_name: str):
     def pick(df: DataFrame, column: str) -> Column:
         if kind(df, column) in classes:
             return metric(df, column).cast(type_name)
-        return F.max(F.lit(None).cast(type_name))
+        return F.lit(None).cast(type_name)
     return pick
 
 
@@ -151,8 +151,7 @@ def describe_enriched(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def column_classes(df: DataFrame) -> DataFrame:
     """(column, class, non_null): how each column is treated."""
     return column_report(df, df.columns, {
-        "class": lambda frame, c: F.max(F.lit(kind(frame, c))), "non_null": non_null}).withColumn(
-        "class", F.coalesce("class", F.lit(OTHER)))
+        "class": lambda frame, c: F.lit(kind(frame, c)), "non_null": non_null})
 
 
 def column_bytes(df: DataFrame) -> DataFrame:
@@ -174,8 +173,7 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def type_name(df: DataFrame, column: str) -> Column:
-    name = field_of(df, column).dataType.simpleString()
-    return F.coalesce(F.max(F.lit(name)), F.lit(name))
+    return F.lit(field_of(df, column).dataType.simpleString())
 
 
 def share(condition: Column) -> Column:
@@ -187,7 +185,7 @@ def logical_type(df: DataFrame, column: str) -> Column:
     """Aggregate: what the column seems to hold."""
     data_class = kind(df, column)
     if data_class == DATETIME:
-        return F.coalesce(F.max(F.lit("datetime")), F.lit("datetime"))
+        return F.lit("datetime")
     n = distinct(df, column)
     if data_class in (NUMERIC, BOOLEAN):
         return F.when(n == 2, "binary_numeric").when(n > CONTINUOUS_ABOVE, "continuous").otherwise("discrete")
@@ -198,7 +196,7 @@ def logical_type(df: DataFrame, column: str) -> Column:
             .when(share(c.contains("@")) > EMAIL_SHARE, "likely_email")
             .when(F.avg(F.char_length(c)) > LONG_TEXT_CHARS, "long_text")
             .otherwise("short_text"))
-    return F.coalesce(F.max(F.lit("other")), F.lit("other"))
+    return F.lit("other")
 
 
 def suggested_type(df: DataFrame, column: str) -> Column:
@@ -254,7 +252,6 @@ def profile_overview(df: DataFrame) -> DataFrame:
     """(rows, columns, bytes, numeric_columns, categorical_columns, datetime_columns)."""
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.max(F.lit(len(df.columns))).alias("columns"),
         sum((data_bytes(df, c) for c in df.columns), F.lit(0).cast("long")).alias("bytes"),
     ).select("rows", F.lit(len(df.columns)).alias("columns"), "bytes", *[
         F.lit(len(columns_of(df, c))).alias(f"{c}_columns") for c in (NUMERIC, CATEGORICAL, DATETIME)])

@@ -205,11 +205,10 @@ def quality_summary(df: DataFrame, issue_type: str = "all") -> DataFrame:
             "total_duplicates": F.max("duplicates"), "percentage": F.max("pct")}))
     if "outliers" in wanted and numeric_columns(df):
         parts.append(measures(outlier_facts(df), "outliers", {
-            "columns_analyzed": F.coalesce(F.max(F.lit(len(numeric_columns(df)))), F.lit(len(numeric_columns(df)))),
+            "columns_analyzed": F.lit(len(numeric_columns(df))),
             "columns_with_outliers": F.count(F.lit(1)),
             "total_outliers": F.coalesce(F.sum("outliers"), F.lit(0))}))
-    size = measures(df, "table", {"rows": F.count(F.lit(1)), "columns": F.coalesce(
-        F.max(F.lit(len(df.columns))), F.lit(len(df.columns)))})
+    size = measures(df, "table", {"rows": F.count(F.lit(1)), "columns": F.lit(len(df.columns))})
     whole = size
     for part in parts:
         whole = whole.unionAll(part)

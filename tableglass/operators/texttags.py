@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.functions import text, words
@@ -16,18 +16,30 @@ def normalize_text(df: DataFrame, column: str, to: str = "normalized") -> DataFr
     return df.withColumn(to, text.normalized(raw(column)))
 
 
+def with_scores(df: DataFrame, column: str) -> tuple[DataFrame, list[Column]]:
+    """The table with its normalised text and one column per intent score, and those columns.
+
+    Kept as columns of their own, each is computed once however often it is used.
+    """
+    normal = df.withColumn("_text", text.normalized(raw(column)))
+    scores = text.intent_scores(F.col("_text"))
+    named = [f"_intent{i}" for i in range(len(scores))]
+    return normal.select("*", *[s.alias(n) for s, n in zip(scores, named)]), [F.col(n) for n in named]
+
+
 def tag_intent(df: DataFrame, column: str) -> DataFrame:
     """Adds intent and intent_confidence (the share of the best intent in all scores)."""
-    scored = df.withColumn("_scores", text.intent_scores(text.normalized(raw(column))))
-    return scored.withColumn("intent", text.best_intent(F.col("_scores"))).withColumn(
-        "intent_confidence", text.intent_confidence(F.col("_scores"))).drop("_scores")
+    scored, scores = with_scores(df, column)
+    return scored.select(*[raw(c) for c in df.columns], text.best_intent(scores).alias("intent"),
+                         text.intent_confidence(scores).alias("intent_confidence"))
 
 
 def tag_action(df: DataFrame, column: str) -> DataFrame:
     """Adds intent and action."""
-    scored = df.withColumn("_text", text.normalized(raw(column))).withColumn(
-        "intent", text.best_intent(text.intent_scores(F.col("_text"))))
-    return scored.withColumn("action", text.action(F.col("_text"), F.col("intent"))).drop("_text")
+    kept = [raw(c) for c in df.columns]
+    scored, scores = with_scores(df, column)
+    chosen = scored.select(*kept, "_text", text.best_intent(scores).alias("intent"))
+    return chosen.select(*kept, "intent", text.action(F.col("_text"), F.col("intent")).alias("action"))
 
 
 def extract_group_phrase(df: DataFrame, column: str, columns: Sequence[str]) -> DataFrame:
@@ -48,9 +60,9 @@ def rank_column_mentions(df: DataFrame, column: str, columns: Sequence[str]) ->
     intent's and the best column's.
     """
     kept = [raw(c) for c in df.columns]
-    normal = df.withColumn("_text", text.normalized(raw(column)))
-    tokens = normal.withColumn("_tokens", F.array_distinct(F.split("_text", " "))).withColumn(
-        "_intent", text.intent_confidence(text.intent_scores(F.col("_text"))))
+    scored_intents, intents = with_scores(df, column)
+    tokens = scored_intents.withColumn("_tokens", F.array_distinct(F.split("_text", " "))).withColumn(
+        "_intent", text.intent_confidence(intents))
     scores = [F.col(f"_score{i}") for i in range(len(columns))]
     scored = tokens.select(*kept, "_intent", *[
         text.mention_score(F.col("_text"), F.col("_tokens"), c).alias(f"_score{i}") for i, c in enumerate(columns)])

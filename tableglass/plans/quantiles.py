@@ -145,11 +145,23 @@ def quantiles_by_counting(
     return df.sparkSession.sql(text, facts=facts)
 
 
-def fits_buffer(df: DataFrame) -> bool:
-    """Whether the table has at most ``tableglass.quantiles.bufferRows`` rows, so that one buffer can
-    hold all its values. The check stops at the first row beyond; it reads no column."""
+def fits_buffer(df: DataFrame, by: Sequence[str] = ()) -> bool:
+    """Whether no group has more than ``tableglass.quantiles.bufferRows`` rows, so that one buffer can
+    hold all its values.
+
+    The first check stops at the first row beyond the limit and reads no column; only where the
+    table is larger are the rows of each group counted, from the key columns alone.
+    """
     limit = int(df.sparkSession.conf.get("tableglass.quantiles.bufferRows", str(BUFFER_ROWS)))
-    return limit > 0 and not df.select(F.lit(1).alias("one")).offset(limit).take(1)
+    if limit <= 0:
+        return False
+    if not df.select(F.lit(1).alias("one")).offset(limit).take(1):
+        return True
+    if not by:
+        return False
+    keys = [value(df, b).alias(f"by{i}") for i, b in enumerate(by)]
+    sizes = df.select(*keys).dropna().groupBy(*[f"by{i}" for i in range(len(by))]).agg(F.count(F.lit(1)).alias("rows"))
+    return (sizes.agg(F.max("rows").alias("most")).first()["most"] or 0) <= limit
 
 
 def quantiles_by_buffer(
@@ -175,7 +187,7 @@ def exact_quantiles(
 
     Columns (of groups) without values have no rows.
     """
-    if not fits_buffer(df):
+    if not fits_buffer(df, by):
         return quantiles_by_counting(df, columns, probs, by)
     ps = F.array(*[F.lit(float(p)) for p in probs])
     zipped = F.inline(F.arrays_zip(ps.alias("p"), F.col("quantiles").alias("quantile")))
@@ -188,7 +200,7 @@ def quantile_columns(
     """(by..., column, one DOUBLE per named probability)."""
     ordered = sorted(set(probs.values()))
     keys = [raw(b) for b in by]
-    if fits_buffer(df):
+    if fits_buffer(df, by):
         found = quantiles_by_buffer(df, columns, ordered, by)
         return found.select(*keys, "column", *[
             F.element_at("quantiles", ordered.index(p) + 1).alias(name) for name, p in probs.items()])

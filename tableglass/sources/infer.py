@@ -18,13 +18,22 @@ from tableglass.plans.reports import column_report
 DATE_LIKE = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 DATE_LIKE_SHARE, PARSED_SHARE = 0.5, 0.8
 DATE_FORMATS = ["", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]  # "" is ISO 8601
+DAY, MONTH, YEAR = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])", "[0-9]{4}"
 FLOAT32_TOLERANCE = 5e-4
 INTEGER_RANGES = {"tinyint": 2**7, "smallint": 2**15, "int": 2**31}
 
 
+def shape_of(date_format: str) -> str:
+    """The pattern of the texts a format can read. A failing parse costs far more than a failing match."""
+    shape = date_format.replace(".", "[.]").replace("yyyy", "Y")
+    return "^" + shape.replace("M", MONTH).replace("d", DAY).replace("Y", YEAR) + "$"
+
+
 def parsed(column: Column, date_format: str) -> Column:
     text = F.trim(column)
-    return F.try_to_timestamp(text, F.lit(date_format)) if date_format else F.try_to_timestamp(text)
+    if not date_format:
+        return F.try_to_timestamp(text)
+    return F.when(text.rlike(shape_of(date_format)), F.try_to_timestamp(text, F.lit(date_format)))
 
 
 def as_number(column: Column) -> Column:
@@ -101,10 +110,9 @@ def suggest_downcast(df: DataFrame) -> DataFrame:
             v = value(frame, c)
             loss = F.max(F.abs(v - v.cast("float").cast("double")))
             return F.when(loss <= FLOAT32_TOLERANCE, "float").otherwise(own)
-        return F.coalesce(F.max(F.lit(own)), F.lit(own))
+        return F.lit(own)
     return column_report(df, columns, {
-        "type": lambda frame, c: F.coalesce(*[f(F.lit(field_of(frame, c).dataType.simpleString()))
-                                              for f in (F.max, lambda x: x)]),
+        "type": lambda frame, c: F.lit(field_of(frame, c).dataType.simpleString()),
         "suggested": narrowest,
     })
 
