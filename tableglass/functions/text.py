@@ -109,15 +109,28 @@ def trigger_words(name: str) -> list[str]:
     return sorted({w for group in related for w in group})
 
 
-def mention_score(text: Column, tokens: Column, name: str) -> Column:
-    """How strongly a normalised text (and its distinct words) names the column; 0 for not at all."""
+def telling_words(columns: Sequence[str]) -> list[str]:
+    """The words that can make a text name one of the columns: their own and their triggers."""
+    return sorted({w for c in columns for w in [*normalized_name(c).split(), *trigger_words(c)]})
+
+
+def mention_score(text: Column, length: Column, telling: Column, name: str) -> Column:
+    """How strongly a text names the column; 0 for not at all.
+
+    ``text`` is normalised, ``length`` the number of its distinct words, ``telling`` those of them
+    that can matter for any column, so that a long text is searched for words only once.
+    """
     norm = normalized_name(name)
     own = sorted(set(norm.split()))
-    common = F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in own]))) if own else F.lit(0)
-    longest = F.greatest(F.size(tokens), F.lit(len(own)))
-    score = F.when(text == norm, F.lit(words.SAME)).when(text.contains(norm), F.lit(words.CONTAINED)).when(
-        common > 0, common / longest * F.lit(words.SHARED_WORDS))
     triggers = trigger_words(name)
+
+    def listed(ws: Sequence[str]) -> Column:
+        return F.array(*[F.lit(w) for w in ws])
+    score = F.when(text == norm, F.lit(words.SAME)).when(text.contains(norm), F.lit(words.CONTAINED))
+    if own:
+        common = F.size(F.array_intersect(telling, listed(own)))
+        score = score.when(F.arrays_overlap(telling, listed(own)),
+                           common / F.greatest(length, F.lit(len(own))) * F.lit(words.SHARED_WORDS))
     if triggers:
-        score = score.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in triggers])), F.lit(words.SYNONYM))
+        score = score.when(F.arrays_overlap(telling, listed(triggers)), F.lit(words.SYNONYM))
     return score.otherwise(F.lit(0.0))

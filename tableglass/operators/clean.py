@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.functions.columns import (
-    BOOLEAN, CATEGORICAL, NUMERIC, class_of, clean, field_of, has_map, number, value,
+    CATEGORICAL, NUMERIC, class_of, clean, field_of, has_map, number, value,
 )
 from tableglass.operators.quality import whole_rows
 from tableglass.operators.rows import drop_column
@@ -31,7 +31,7 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 
 def fill_statistic(df: DataFrame, column: str, method: str) -> Column | None:
     """The value to fill with, as a scalar subquery; None where the method does not apply."""
-    is_number = class_of(field_of(df, column).dataType) in (NUMERIC, BOOLEAN)
+    is_number = class_of(field_of(df, column).dataType) == NUMERIC
     if method == "mean" and is_number:
         return df.agg(F.avg(number(df, column)).alias("fill")).scalar()
     if method == "median" and is_number:
@@ -146,7 +146,7 @@ def counted(df: DataFrame) -> Column:
 def fillable(df: DataFrame, column: str, method: str, constant: Any) -> Column:
     """How many values the step fills: all missing ones, or none where it has nothing to fill with."""
     nulls = F.count(F.lit(1)) - F.count(value(df, column))
-    is_number = class_of(field_of(df, column).dataType) in (NUMERIC, BOOLEAN)
+    is_number = class_of(field_of(df, column).dataType) == NUMERIC
     if method == "constant":
         able = F.lit(constant is not None)
     elif method == "mode" or (method in ("mean", "median") and is_number):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tableglass.functions.columns import number, numeric_columns
 from tableglass.functions.moments import pearson
-from tableglass.plans.ranks import ordered_counts
+from tableglass.plans.ranks import few_values, ordered_counts
 
 STRONG, VERY_STRONG = 0.7, 0.9
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
@@ -59,14 +59,17 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return pearson_pairs(numbers_of(df, chosen), chosen)
 
 
-def cells(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """(var1, var2, x, y, c): how often each combination of values occurs, for every pair of columns."""
+def cells(df: DataFrame, chosen: Sequence[str], distinct: Sequence[int] | None = None) -> DataFrame:
+    """(var1, var2, x, y, c): how often each combination of values occurs, for every pair of columns.
+
+    x is the first column of the pair, or with ``distinct`` given the one with more distinct values.
+    """
     numbers = numbers_of(df, chosen)
-    pairs = [
-        F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"),
-                 F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
-        for i, j in combinations(range(len(chosen)), 2)
-    ]
+    pairs = []
+    for i, j in combinations(range(len(chosen)), 2):
+        x, y = (j, i) if distinct and distinct[i] < distinct[j] else (i, j)
+        pairs.append(F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"),
+                              F.col(f"v{x}").alias("x"), F.col(f"v{y}").alias("y")))
     return numbers.select(F.inline(F.array(*pairs))).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("var1", "var2", "x", "y").agg(
         F.count(F.lit(1)).alias("c"))
@@ -75,9 +78,16 @@ def cells(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
 PAIR = ["var1", "var2"]
 
 
-def side_ranks(counted: DataFrame, side: str) -> DataFrame:
+def side_ranks(counted: DataFrame, side: str, few: bool) -> DataFrame:
     values = counted.groupBy(*PAIR, F.col(side).alias("value")).agg(F.sum("c").alias("cnt"))
-    return ordered_counts(values, PAIR)
+    return ordered_counts(values, PAIR, few)
+
+
+def value_facts(numbers: DataFrame) -> tuple[bool, list[int]]:
+    """(whether anything is missing, about how many distinct values each column has): one row."""
+    row = numbers.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in numbers.columns], *[
+        F.approx_count_distinct(c).alias(f"d_{c}") for c in numbers.columns]).first()
+    return any(row[f"n_{c}"] < row["rows"] for c in numbers.columns), [row[f"d_{c}"] for c in numbers.columns]
 
 
 def every_pair(df: DataFrame, chosen: Sequence[str], found: DataFrame) -> DataFrame:
@@ -101,21 +111,22 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """
     chosen = two_or_more(df, columns)
     numbers = numbers_of(df, chosen)
-    counts = numbers.agg(F.count(F.lit(1)), *[F.count(c) for c in numbers.columns]).first()
-    if len(set(counts)) > 1:
-        return spearman_by_pair(df, chosen)
+    missing, distinct = value_facts(numbers)
+    few = few_values(max(distinct))
+    if missing:
+        return spearman_by_pair(df, chosen, few)
     ranked = numbers
     for c in numbers.columns:
         values = numbers.groupBy(F.lit(0).alias("key"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-        ranks = ordered_counts(values, ["key"]).select(F.col("value").alias(c), centred_rank().alias(f"rank_{c}"))
+        ranks = ordered_counts(values, ["key"], few).select(F.col("value").alias(c), centred_rank().alias(f"rank_{c}"))
         ranked = ranked.join(ranks, c).drop(c)
     return pearson_pairs(ranked.select(*[F.col(f"rank_{c}").alias(c) for c in numbers.columns]), chosen)
 
 
-def spearman_by_pair(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+def spearman_by_pair(df: DataFrame, chosen: Sequence[str], few: bool) -> DataFrame:
     counted = cells(df, chosen)
-    x = side_ranks(counted, "x").select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"))
-    y = side_ranks(counted, "y").select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"))
+    x = side_ranks(counted, "x", few).select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"))
+    y = side_ranks(counted, "y", few).select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"))
     c, dx, dy = F.col("c").cast("double"), F.col("dx"), F.col("dy")
     spread = F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))
     found = counted.join(x, [*PAIR, "x"]).join(y, [*PAIR, "y"]).groupBy(*PAIR).agg(
@@ -138,8 +149,10 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     over the blocks. Each row is copied once per bit; no two rows are ever paired.
     """
     chosen = two_or_more(df, columns)
-    counted = cells(df, chosen)
-    xs, ys = side_ranks(counted, "x"), side_ranks(counted, "y")
+    # tau does not depend on which column is y; the one with fewer values has fewer bits
+    _, distinct = value_facts(numbers_of(df, chosen))
+    counted, few = cells(df, chosen, distinct), few_values(max(distinct))
+    xs, ys = side_ranks(counted, "x", few), side_ranks(counted, "y", few)
     ranked = (
         counted.join(xs.select(*PAIR, F.col("value").alias("x"), F.col("dense").alias("xr")), [*PAIR, "x"])
         .join(ys.select(*PAIR, F.col("value").alias("y"), F.col("dense").alias("yr")), [*PAIR, "y"])

@@ -29,11 +29,11 @@ ISSUES = ("missing", "duplicates", "outliers")
 
 def missing_report(df: DataFrame) -> DataFrame:
     """(column, class, missing, pct, total_missing, columns_affected) where anything is missing,
-    most first. Booleans count as numbers here."""
+    most first. Booleans count as categories: they are filled with their mode."""
     report = column_report(df, df.columns, {"missing": missing, "rows": rows})
     some = F.col("missing") > 0
-    classes = F.when(F.col("column").isin([c for c in df.columns if kind(df, c) == DATETIME]), "datetime").when(
-        F.col("column").isin([c for c in df.columns if kind(df, c) in (NUMERIC, "boolean")]), "numeric").otherwise(
+    classes = F.when(F.col("column").isin(columns_of(df, DATETIME)), "datetime").when(
+        F.col("column").isin(columns_of(df, NUMERIC)), "numeric").otherwise(
         "categorical")
     totals = report.agg(F.struct(
         F.sum("missing").alias("total"), F.count_if(some).alias("columns")).alias("t")).scalar()
@@ -48,9 +48,9 @@ def missing_recommendations(df: DataFrame) -> DataFrame:
     """(column, missing, strategy): drop_column, fill_median, fill_mean or fill_mode."""
     report = column_report(df, df.columns, {
         "missing": missing, "rows": rows,
-        "skewness": of_class([NUMERIC, "boolean"], lambda frame, c: sample_skewness(number(frame, c)), "double"),
+        "skewness": of_class([NUMERIC], lambda frame, c: sample_skewness(number(frame, c)), "double"),
     })
-    numbers = columns_of(df, NUMERIC, "boolean")
+    numbers = columns_of(df, NUMERIC)
     strategy = (
         F.when(percent(F.col("missing"), F.col("rows")) > DROP_ABOVE_PCT, "drop_column")
         .when(F.col("column").isin(numbers) & (F.abs("skewness") > SKEWED_ABOVE), "fill_median")

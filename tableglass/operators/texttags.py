@@ -60,12 +60,16 @@ def rank_column_mentions(df: DataFrame, column: str, columns: Sequence[str]) ->
     intent's and the best column's.
     """
     kept = [raw(c) for c in df.columns]
-    scored_intents, intents = with_scores(df, column)
-    tokens = scored_intents.withColumn("_tokens", F.array_distinct(F.split("_text", " "))).withColumn(
-        "_intent", text.intent_confidence(intents))
+    normal, intents = with_scores(df, column)
+    tokens = normal.select(*kept, "_text", text.intent_confidence(intents).alias("_intent"),
+                           F.array_distinct(F.split("_text", " ")).alias("_tokens"))
+    telling = F.array(*[F.lit(w) for w in text.telling_words(columns)]).cast("array<string>")
+    looked_up = tokens.select(*kept, "_text", "_intent", F.size("_tokens").alias("_length"),
+                              F.array_intersect("_tokens", telling).alias("_telling"))
     scores = [F.col(f"_score{i}") for i in range(len(columns))]
-    scored = tokens.select(*kept, "_intent", *[
-        text.mention_score(F.col("_text"), F.col("_tokens"), c).alias(f"_score{i}") for i, c in enumerate(columns)])
+    scored = looked_up.select(*kept, "_intent", *[
+        text.mention_score(F.col("_text"), F.col("_length"), F.col("_telling"), c).alias(f"_score{i}")
+        for i, c in enumerate(columns)])
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     ranked = scored.select(*kept, "_intent", best.alias("_best"), *scores)
     named = F.array_compact(F.array(*[

@@ -11,17 +11,30 @@ from tableglass.functions.columns import raw
 from tableglass.plans.quantiles import log_bucket
 
 VALUES_PER_PART = 100_000.0
+FEW_VALUES = 1_000_000  # so many distinct values one task may sort
 
 
-def ordered_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def few_values(distinct: int) -> bool:
+    return distinct <= FEW_VALUES
+
+
+def ordered_counts(counts: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     """(keys..., value, cnt) with one row per value becomes (..., before, dense, total).
 
     ``before`` counts the rows with a smaller value, ``dense`` the smaller values, ``total`` all
-    rows of the key. Values are split into ordered parts: by size (sign and log2), and each of
-    those into equal slices, as many as its values need. A running sum over the parts gives each
-    part its offset, and a window inside the part the rest.
+    rows of the key. Where a key is known to have ``few`` values they are ranked by one window.
+    Otherwise they are split into ordered parts: by size (sign and log2), and each of those into
+    equal slices, as many as its values need. A running sum over the parts gives each part its
+    offset, and a window inside the part the rest.
     """
     by = [raw(k) for k in keys]
+    if few:
+        key = Window.partitionBy(*by)
+        up = key.orderBy("value")
+        return counts.select(
+            *by, "value", "cnt",
+            (F.sum("cnt").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cnt")).alias("before"),
+            (F.row_number().over(up) - 1).cast("bigint").alias("dense"), F.sum("cnt").over(key).alias("total"))
     placed = counts.withColumn("bucket", log_bucket(F.col("value")))
     sizes = placed.groupBy(*by, "bucket").agg(
         F.count(F.lit(1)).alias("values"), F.min("value").alias("lo"), F.max("value").alias("hi"))

@@ -48,7 +48,7 @@ def test_infinite_values(spark):
     assert got == {0.0: float("-inf"), 0.5: 1.5, 1.0: float("inf")}
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=30))
 def test_any_values(spark, values):
     check(spark, {"g": values})

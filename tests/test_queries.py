@@ -28,6 +28,8 @@ def test_every_sql_has_a_query():
 def test_query(key, spark, duck):
     df = QUERIES[key](spark, FOLDER)
     rows = [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"))
     if key not in SQL:
         assert rows
         return
