@@ -14,6 +14,7 @@ from tableglass.operators.correlate import corr_heatmap
 from tableglass.operators.quality import fences
 from tableglass.operators.rows import head, ordering, sample_rows
 from tableglass.operators.stats import aggregate, value_counts
+from tableglass.plans.joins import lookup
 from tableglass.plans.quantiles import few_groups
 from tableglass.plans.reports import scalars
 
@@ -181,7 +182,8 @@ def line_auto(
     order_by: Sequence[str] | str | None = None,
 ) -> DataFrame:
     """Up to max_points rows as they are; beyond that the mean of y per x, whatever the colour."""
-    if df.select(raw(x)).limit(max_points + 1).count() > max_points:
+    # stops at the first row beyond the limit
+    if df.select(F.lit(1).alias("one")).offset(max_points).take(1):
         return line_mean_by(df, y, x)
     return line_raw(df, y, x, color, order_by or x)
 
@@ -215,11 +217,10 @@ def with_fences(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     values = df.select(*[value(df, b).alias(b) for b in by], number(df, y).alias("y")).dropna()
     if not by:
         # one row, read as a scalar
-        names = boxes.columns
+        names = [c for c in boxes.columns if c != "n"]
         b = boxes.agg(F.struct(*[F.max(n).alias(n) for n in names]).alias("box")).scalar()
         return values.select("y", *[b.getField(n).alias(n) for n in names])
-    small = F.broadcast(boxes) if few_groups(df, by) else boxes
-    return values.join(small, list(by))
+    return lookup(values, boxes, by, few_groups(df, by)).drop("n")
 
 
 def inside_fences() -> Column:
@@ -261,15 +262,13 @@ def violin_density(
         F.count(F.lit(1)).cast("double").alias("n"))
     quartiles = fences(df, [y], by)
     if by:
-        small = few_groups(df, by)
         shape = shape.join(quartiles.select(*keys, "iqr"), by)
     else:
-        small = True
         shape = shape.withColumn("iqr", quartiles.select("iqr").scalar())
     spread = F.when(F.col("iqr") > 0, F.least(F.col("std"), F.col("iqr") / 1.34)).otherwise(F.col("std"))
     shape = shape.withColumn("h", F.lit(0.9) * spread * F.pow("n", F.lit(-0.2))).filter(F.col("h") > 0).drop("std", "iqr")
     if by:
-        placed = values.join(F.broadcast(shape) if small else shape, by)
+        placed = lookup(values, shape, by, few_groups(df, by))
     else:
         s = shape.agg(F.struct(*[F.max(c).alias(c) for c in ("lo", "hi", "n", "h")]).alias("s")).scalar()
         placed = values.select("y", *[s.getField(c).alias(c) for c in ("lo", "hi", "n", "h")])

@@ -295,5 +295,5 @@ def grouped_all(df: DataFrame, column: str, by: str) -> DataFrame:
     key = value(df, by)
     rest = df.filter(key.isNotNull()).groupBy(key.alias(by)).agg(
         *[aggregate(df, column, s).alias(s) for s in GROUPED_ALL if s != "median"])
-    medians = quantile_columns(df, [column], {"median": 0.5}, [by]).drop("column")
+    medians = quantile_columns(df, [column], {"median": 0.5}, [by]).drop("column", "n")
     return rest.join(medians, by, "left").select(raw(by), *GROUPED_ALL)

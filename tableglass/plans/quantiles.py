@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.functions.columns import number, quoted, raw, value
+from tableglass.plans.joins import HOT_ROWS
 
 STEPS_PER_OCTAVE = 1024.0
 SMALLEST_EXPONENT = 1100.0  # every finite double has log2 > -1075
@@ -38,12 +39,6 @@ def log_bucket(v: Column) -> Column:
         F.signum(v) * (step + STEPS_PER_OCTAVE * SMALLEST_EXPONENT))
 
 
-def slice_of(v: Column, lo: Column, hi: Column) -> Column:
-    """Which of the equal slices of [lo, hi] holds ``v``; one slice when the width is infinite."""
-    part = F.floor((v - lo) / (hi - lo) * SLICES)
-    return F.when(hi - lo < float("inf"), part).otherwise(F.lit(0).cast("long"))
-
-
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by0..., column, value): the non-null values of the columns, one per row, as DOUBLE.
 
@@ -70,7 +65,7 @@ def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
 
 
 # One statement for the three passes: buckets, slices of the open buckets, values of the open slices.
-# {keys} are the group columns and ``column``; {hint} asks for a broadcast where groups are few.
+# {keys} are the group columns and ``column``.
 PASSES = """
 WITH counted AS (
   SELECT {keys}, bucket, count(1) AS cnt, min(value) AS lo, max(value) AS hi
@@ -86,24 +81,29 @@ WITH counted AS (
     named_struct('side', 0, 'position', floor((n - 1) * p)), named_struct('side', 1, 'position', ceil((n - 1) * p))))
   FROM wanted
 ), first_pass AS (
-  SELECT {keys}, p, side, n, bucket, position - upto + cnt AS within, lo, hi
+  SELECT {keys}, p, side, n, bucket, position - upto + cnt AS within, lo, hi, cnt AS rows
   FROM sided WHERE position >= upto - cnt AND position < upto
 ), open_buckets AS (
-  SELECT DISTINCT {keys}, bucket, lo, hi FROM first_pass WHERE lo < hi
+  SELECT DISTINCT {keys}, bucket, lo, hi, rows FROM first_pass WHERE lo < hi
+), in_buckets AS (
+  {in_open_buckets}
 ), slices AS (
-  SELECT {hint_b} {facts_keys}, f.bucket, {slice} AS slice, count(1) AS cnt, min(value) AS slo, max(value) AS shi
-  FROM {{facts}} f JOIN open_buckets o ON {same_b} GROUP BY ALL
+  SELECT {keys}, bucket, {slice} AS slice, count(1) AS cnt, min(value) AS slo, max(value) AS shi
+  FROM in_buckets GROUP BY ALL
 ), placed_slices AS (
   SELECT *, sum(cnt) OVER (PARTITION BY {keys}, bucket ORDER BY slice ROWS UNBOUNDED PRECEDING) AS upto FROM slices
 ), second_pass AS (
-  SELECT {t_keys}, t.p, t.side, t.n, t.bucket, s.slice, t.within - s.upto + s.cnt AS within, s.slo, s.shi
+  SELECT {t_keys}, t.p, t.side, t.n, t.bucket, s.slice, t.within - s.upto + s.cnt AS within, s.slo, s.shi,
+    s.cnt AS rows
   FROM first_pass t JOIN placed_slices s ON {same_ts}
   WHERE t.lo < t.hi AND t.within >= s.upto - s.cnt AND t.within < s.upto
 ), open_slices AS (
-  SELECT DISTINCT {keys}, bucket, slice, slo, shi FROM second_pass WHERE slo < shi
+  SELECT DISTINCT {keys}, bucket, slice, slo, shi, rows FROM second_pass WHERE slo < shi
+), in_slices AS (
+  {in_open_slices}
 ), singles AS (
-  SELECT {hint_s} {facts_keys}, f.bucket, o.slice, f.value, count(1) AS cnt
-  FROM {{facts}} f JOIN open_slices o ON {same_b} AND f.value BETWEEN o.slo AND o.shi GROUP BY ALL
+  SELECT {keys}, bucket, slice, value, count(1) AS cnt
+  FROM in_slices GROUP BY ALL
 ), placed_singles AS (
   SELECT *, sum(cnt) OVER (PARTITION BY {keys}, bucket, slice ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto
   FROM singles
@@ -132,16 +132,33 @@ def quantiles_by_counting(
     facts = long_values(df, columns, by).withColumn("bucket", log_bucket(F.col("value")))
     few = few_groups(df, by)
 
-    def same(left: str, right: str) -> str:
-        return " AND ".join(f"{left}.{k} = {right}.{k}" for k in [*keys, "bucket"])
+    at = [*keys, "bucket"]
+
+    def same(left: str, right: str, low: str = "", high: str = "") -> str:
+        equal = [f"{left}.{k} = {right}.{k}" for k in at]
+        inside = [f"{left}.value BETWEEN {right}.{low} AND {right}.{high}"] if low else []
+        return " AND ".join([*equal, *inside])
+
+    def in_open(places: str, low: str, high: str, piece: str = "") -> str:
+        """The facts that lie in an open bucket or slice."""
+        chosen = ", ".join([*[f"f.{k}" for k in at], "f.value", f"o.{low}", f"o.{high}", *([f"o.{piece}"] if piece else [])])
+        within = same("f", "o", low, high)
+        if few:
+            # at most groups x columns x probabilities x 2 rows are open
+            return f"SELECT /*+ BROADCAST(o) */ {chosen} FROM {{facts}} f JOIN {places} o ON {within}"
+        return f"""SELECT /*+ BROADCAST(o) */ {chosen} FROM {{facts}} f
+    JOIN (SELECT * FROM {places} WHERE rows > {HOT_ROWS}) o ON {within}
+  UNION ALL
+  SELECT {chosen} FROM (
+    SELECT /*+ BROADCAST(h) */ f.* FROM {{facts}} f
+      LEFT ANTI JOIN (SELECT * FROM {places} WHERE rows > {HOT_ROWS}) h ON {same('f', 'h', low, high)}) f
+    JOIN (SELECT * FROM {places} WHERE rows <= {HOT_ROWS}) o ON {within}"""
     text = PASSES.format(
-        keys=", ".join(keys), facts_keys=", ".join(f"f.{k}" for k in keys), t_keys=", ".join(f"t.{k}" for k in keys),
+        keys=", ".join(keys), t_keys=", ".join(f"t.{k}" for k in keys),
         probs="array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")",
-        slice=f"CASE WHEN o.hi - o.lo < double('infinity') THEN floor((value - o.lo) / (o.hi - o.lo) * {SLICES!r}D) ELSE 0 END",
-        # at most groups x columns x probabilities x 2 rows are open
-        hint_b="/*+ BROADCAST(o) */" if few else "", hint_s="/*+ BROADCAST(o) */" if few else "",
-        same_b=same("f", "o"), same_ts=same("t", "s"),
-        out_keys=", ".join([*[f"by{i} AS {quoted(b)}" for i, b in enumerate(by)], "column"]))
+        in_open_buckets=in_open("open_buckets", "lo", "hi"), in_open_slices=in_open("open_slices", "slo", "shi", "slice"),
+        slice=f"CASE WHEN hi - lo < double('infinity') THEN floor((value - lo) / (hi - lo) * {SLICES!r}D) ELSE 0 END",
+        same_ts=same("t", "s"), out_keys=", ".join([*[f"by{i} AS {quoted(b)}" for i, b in enumerate(by)], "column"]))
     return df.sparkSession.sql(text, facts=facts)
 
 
@@ -197,13 +214,13 @@ def exact_quantiles(
 def quantile_columns(
     df: DataFrame, columns: Sequence[str], probs: dict[str, float], by: Sequence[str] = (),
 ) -> DataFrame:
-    """(by..., column, one DOUBLE per named probability)."""
+    """(by..., column, n, one DOUBLE per named probability); n counts the values."""
     ordered = sorted(set(probs.values()))
     keys = [raw(b) for b in by]
     if fits_buffer(df, by):
         found = quantiles_by_buffer(df, columns, ordered, by)
-        return found.select(*keys, "column", *[
+        return found.select(*keys, "column", "n", *[
             F.element_at("quantiles", ordered.index(p) + 1).alias(name) for name, p in probs.items()])
     found = quantiles_by_counting(df, columns, ordered, by)
-    return found.groupBy(*keys, "column").agg(*[
+    return found.groupBy(*keys, "column", "n").agg(*[
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in probs.items()])

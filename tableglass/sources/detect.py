@@ -10,29 +10,41 @@ SEPARATORS = [",", ";", "\t", "|", ":"]
 SAMPLE_BYTES = 4096
 
 
-def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): the lines that begin in the first 4096 bytes of each file.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of the first block of each file, numbered in reading order."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        "value", F.monotonically_increasing_id().alias("line")).filter(F.col("start") == 0).drop("start")
+
+
+def sampled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines at the start of one file, the first by name.
+
+    Only as much of the file is read as the sample needs, however large it is.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    file = files.agg(F.min("path").alias("path")).first()["path"]
+    lines = spark.read.text(file).select(F.substring("value", 1, SAMPLE_BYTES).alias("value")).take(SAMPLE_BYTES)
+    return spark.createDataFrame(
+        [(file, i, r["value"]) for i, r in enumerate(lines)], "file string, line bigint, value string")
+
+
+def separators(lines: DataFrame) -> DataFrame:
+    """(file, separator): the separator most frequent in the first 4096 bytes, a comma if none.
 
     A line has at least its line break, so no more than 4096 lines per file can matter; the
-    ranking drops the rest of each file's first block inside the task that reads it.
+    ranking drops the others inside the task that reads them.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        "value", F.monotonically_increasing_id().alias("line")).filter(F.col("start") == 0)
     order = Window.partitionBy("file").orderBy("line")
     few = lines.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_BYTES)
-    bytes_before = F.sum(F.octet_length("value") + 1).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("value") - 1
-    return few.withColumn("before", bytes_before).filter(F.col("before") < SAMPLE_BYTES).select(
+    length = F.octet_length("value")
+    before = F.sum(length + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length - 1
+    start = few.withColumn("before", before).filter(F.col("before") < SAMPLE_BYTES).select(
         "file", F.substring(F.col("value"), F.lit(1), (F.lit(SAMPLE_BYTES) - F.col("before")).cast("int")).alias("value"))
 
-
-def detect_separator(spark: SparkSession, path: str) -> DataFrame:
-    """(file, separator): the most frequent separator at the start of each file, a comma if none."""
     def times(separator: str):
         return F.coalesce(F.sum(F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))), F.lit(0))
-    counted = first_lines(spark, path).groupBy("file").agg(
-        *[times(s).alias(f"n{i}") for i, s in enumerate(SEPARATORS)])
+    counted = start.groupBy("file").agg(*[times(s).alias(f"n{i}") for i, s in enumerate(SEPARATORS)])
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(SEPARATORS))])
     best = F.when(most == 0, SEPARATORS[0])
     for i, s in enumerate(SEPARATORS):
@@ -40,6 +52,11 @@ def detect_separator(spark: SparkSession, path: str) -> DataFrame:
     return counted.select("file", best.alias("separator"))
 
 
+def detect_separator(spark: SparkSession, path: str) -> DataFrame:
+    """(file, separator) of every file."""
+    return separators(numbered_lines(spark, path))
+
+
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     """(file, encoding): UTF-16 or UTF-32 by byte order mark, UTF-8 if all bytes are valid, else
     ISO-8859-1. Lines arrive as raw bytes and every one is looked at, so the answer is not a guess
@@ -53,15 +70,14 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
         F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
-def csv_format(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) for reading all files of the path together.
+def csv_separator(spark: SparkSession, path: str) -> str:
+    """The separator for reading all files of the path together: that of the first file."""
+    found = separators(sampled_lines(spark, path)).first()
+    return found["separator"] if found else SEPARATORS[0]
 
-    The separator most files share, and the encoding every file can be read with. Two one-row
-    answers reach the driver.
-    """
-    separators = detect_separator(spark, path).groupBy("separator").agg(F.count(F.lit(1)).alias("files"))
-    order = F.array_position(F.array(*[F.lit(s) for s in SEPARATORS]), F.col("separator"))
-    best = separators.orderBy(F.desc("files"), order).first()
-    marks = detect_encoding(spark, path).agg(F.max_by("encoding", F.when(
-        F.col("encoding") == "UTF-8", 0).when(F.col("encoding") == "ISO-8859-1", 1).otherwise(2)).alias("e")).first()
-    return (best["separator"] if best else SEPARATORS[0]), (marks["e"] or "UTF-8")
+
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """An encoding that reads every file: the least special one that some file needs."""
+    rank = F.when(F.col("encoding") == "UTF-8", 0).when(F.col("encoding") == "ISO-8859-1", 1).otherwise(2)
+    found = detect_encoding(spark, path).agg(F.max_by("encoding", rank).alias("encoding")).first()
+    return found["encoding"] or "UTF-8"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableglass.functions.columns import raw
-from tableglass.sources.detect import csv_format
+from tableglass.sources.detect import csv_encoding, csv_separator
 
 # The extensions of each format.
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -19,9 +19,8 @@ CORRUPT = "_corrupt_record"
 
 
 def csv_options(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> dict[str, str]:
-    if sep is None or encoding is None:
-        found_sep, found_encoding = csv_format(spark, path)
-        sep, encoding = sep or found_sep, encoding or found_encoding
+    sep = sep or csv_separator(spark, path)
+    encoding = encoding or csv_encoding(spark, path)
     return {"sep": sep, "encoding": encoding, "header": "true", "escape": '"'}
 
 
@@ -91,7 +90,7 @@ def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
     fields = df.schema.fields
     nested = any(isinstance(f.dataType, T.StructType) for f in fields)
     single_list = len(fields) == 1 and isinstance(fields[0].dataType, T.ArrayType)
-    if not (nested or single_list) or df.limit(2).count() != 1:
+    if not (nested or single_list) or len(df.select(F.lit(1).alias("one")).take(2)) != 1:
         return df
     if single_list:
         name = fields[0].name

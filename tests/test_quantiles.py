@@ -42,6 +42,27 @@ def test_awkward_values(spark):
     })
 
 
+def test_many_groups_with_hot_buckets(spark, monkeypatch):
+    """The form for more groups than a broadcast takes, with some buckets and slices held to be hot."""
+    from tableglass.plans import quantiles
+    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quantiles, "HOT_ROWS", 3)
+    rng = np.random.default_rng(6)
+    few = {f"g{i}": np.round(rng.normal(size=rng.integers(1, 9)), 1) for i in range(40)}
+    check(spark, few | {"narrow": 1e9 + rng.random(200), "very narrow": 1.0 + rng.integers(0, 40, 200) * 2.0**-50,
+                        "clusters": np.r_[1.0 + rng.integers(0, 3, 90) * 2.0**-50, 1.0001 + rng.integers(0, 2, 5) * 2.0**-50]})
+
+
+def test_lookup_of_hot_groups(spark, monkeypatch):
+    from tableglass.operators import charts
+    from tableglass.plans import joins
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    few = sorted(normal(charts.box_summary(events, "value", "user_id").collect()))
+    monkeypatch.setattr(charts, "few_groups", lambda df, by: False)
+    monkeypatch.setattr(joins, "HOT_ROWS", 14)
+    assert sorted(normal(charts.box_summary(events, "value", "user_id").collect())) == few
+
+
 def test_infinite_values(spark):
     df = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),)], "x double")
     got = {r["p"]: r["quantile"] for r in quantiles_by_counting(df, ["x"], [0.0, 0.5, 1.0]).collect()}
