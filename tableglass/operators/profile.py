@@ -115,7 +115,8 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
         F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     best = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     ranked = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    # asks for the counts as well, so that both branches share one shuffle
+    unique = counts.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("unique"))
     return ranked.join(F.broadcast(unique), "column").select("column", "value", "count", "unique", "place")
 
 
