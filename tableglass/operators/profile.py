@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableglass.functions.columns import (
-    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, class_of, columns_of, data_bytes, field_of, groupable,
+    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, class_of, columns_of, data_bytes, field_of,
     is_floating, is_integral, micros, number, percent, quoted, raw, value,
 )
 from tableglass.functions.moments import sample_kurtosis, sample_skewness
 from tableglass.operators.stats import aggregate, from_micros
+from tableglass.plans.distinct import distinct_metric
 from tableglass.plans.quantiles import quantile_columns
-from tableglass.plans.reports import column_report
+from tableglass.plans.reports import Metric, column_report
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -49,10 +50,6 @@ def null_pct(df: DataFrame, column: str) -> Column:
     return percent(missing(df, column), rows(df, column))
 
 
-def distinct(df: DataFrame, column: str) -> Column:
-    return F.count_distinct(groupable(value(df, column), field_of(df, column).dataType))
-
-
 def of_class(classes: Sequence[str], metric, type_name: str):
     """The metric for columns of these classes, a typed NULL for the others."""
     def pick(df: DataFrame, column: str) -> Column:
@@ -166,7 +163,8 @@ def column_info(df: DataFrame) -> DataFrame:
     """(column, type, non_null, null, unique, bytes, min, max, mean, std, dt_min, dt_max)."""
     measured = (NUMERIC, BOOLEAN)
     return column_report(df, df.columns, {
-        "type": type_name, "non_null": non_null, "null": missing, "unique": distinct, "bytes": data_bytes,
+        "type": type_name, "non_null": non_null, "null": missing, "unique": distinct_metric(df, df.columns),
+        "bytes": data_bytes,
         "min": numeric("min", measured), "max": numeric("max", measured), "mean": numeric("mean", measured),
         "std": of_class(measured, lambda frame, c: F.stddev_samp(number(frame, c)), "double"),
         "dt_min": dated("min"), "dt_max": dated("max"),
@@ -182,58 +180,67 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def logical_type(df: DataFrame, column: str) -> Column:
-    """Aggregate: what the column seems to hold."""
-    data_class = kind(df, column)
-    if data_class == DATETIME:
-        return F.lit("datetime")
-    n = distinct(df, column)
-    if data_class in (NUMERIC, BOOLEAN):
-        return F.when(n == 2, "binary_numeric").when(n > CONTINUOUS_ABOVE, "continuous").otherwise("discrete")
-    if data_class == CATEGORICAL:
-        c = raw(column)
-        return (
-            F.when(share(c.rlike(ISO_DATE)) > DATE_SHARE, "likely_date")
-            .when(share(c.contains("@")) > EMAIL_SHARE, "likely_email")
-            .when(F.avg(F.char_length(c)) > LONG_TEXT_CHARS, "long_text")
-            .otherwise("short_text"))
-    return F.lit("other")
-
-
-def suggested_type(df: DataFrame, column: str) -> Column:
-    """Aggregate: a narrower type the values would fit."""
-    data_type = field_of(df, column).dataType
-    if is_integral(data_type):
-        return F.when(F.max(raw(column)) < INT16_LIMIT, "int32 or int16").otherwise("int64")
-    if is_floating(data_type):
-        return F.when(F.max(value(df, column)) < FLOAT32_LIMIT, "float32").otherwise("float64")
-    own = type_name(df, column)
-    if kind(df, column) == CATEGORICAL:
-        ratio = F.try_divide(distinct(df, column).cast("double"), rows(df, column).cast("double"))
-        return F.when(ratio < CATEGORY_RATIO, "category").otherwise(own)
-    return own
+def logical_type(unique: Metric) -> Metric:
+    """What a column seems to hold."""
+    def metric(df: DataFrame, column: str) -> Column:
+        data_class = kind(df, column)
+        if data_class == DATETIME:
+            return F.lit("datetime")
+        if data_class in (NUMERIC, BOOLEAN):
+            n = unique(df, column)
+            return F.when(n == 2, "binary_numeric").when(n > CONTINUOUS_ABOVE, "continuous").otherwise("discrete")
+        if data_class == CATEGORICAL:
+            c = raw(column)
+            return (
+                F.when(share(c.rlike(ISO_DATE)) > DATE_SHARE, "likely_date")
+                .when(share(c.contains("@")) > EMAIL_SHARE, "likely_email")
+                .when(F.avg(F.char_length(c)) > LONG_TEXT_CHARS, "long_text")
+                .otherwise("short_text"))
+        return F.lit("other")
+    return metric
+
+
+def unique_ratio(unique: Metric) -> Metric:
+    return lambda df, column: F.try_divide(unique(df, column).cast("double"), rows(df, column).cast("double"))
+
+
+def suggested_type(unique: Metric) -> Metric:
+    """A narrower type the values would fit."""
+    ratio = unique_ratio(unique)
+
+    def metric(df: DataFrame, column: str) -> Column:
+        data_type = field_of(df, column).dataType
+        if is_integral(data_type):
+            return F.when(F.max(raw(column)) < INT16_LIMIT, "int32 or int16").otherwise("int64")
+        if is_floating(data_type):
+            return F.when(F.max(value(df, column)) < FLOAT32_LIMIT, "float32").otherwise("float64")
+        own = type_name(df, column)
+        if kind(df, column) == CATEGORICAL:
+            return F.when(ratio(df, column) < CATEGORY_RATIO, "category").otherwise(own)
+        return own
+    return metric
 
 
 def logical_types(df: DataFrame) -> DataFrame:
     """(column, logical_type)."""
-    return column_report(df, df.columns, {"logical_type": logical_type})
+    return column_report(df, df.columns, {"logical_type": logical_type(distinct_metric(df, df.columns))})
 
 
 def suggest_types(df: DataFrame) -> DataFrame:
     """(column, suggested_type)."""
-    return column_report(df, df.columns, {"suggested_type": suggested_type})
+    return column_report(df, df.columns, {"suggested_type": suggested_type(distinct_metric(df, df.columns))})
 
 
 def dtypes_report(df: DataFrame) -> DataFrame:
     """(column, type, logical_type, nullable, non_null, null, unique, unique_ratio, bytes, suggested_type)."""
-    def unique_ratio(frame: DataFrame, c: str) -> Column:
-        ratio = F.try_divide(distinct(frame, c).cast("double"), rows(frame, c).cast("double"))
-        return F.round(F.coalesce(ratio, F.lit(0.0)), 4)
+    unique = distinct_metric(df, df.columns)
+    ratio = unique_ratio(unique)
     return column_report(df, df.columns, {
-        "type": type_name, "logical_type": logical_type,
+        "type": type_name, "logical_type": logical_type(unique),
         "nullable": lambda frame, c: missing(frame, c) > 0,
-        "non_null": non_null, "null": missing, "unique": distinct, "unique_ratio": unique_ratio,
-        "bytes": data_bytes, "suggested_type": suggested_type,
+        "non_null": non_null, "null": missing, "unique": unique,
+        "unique_ratio": lambda frame, c: F.round(F.coalesce(ratio(frame, c), F.lit(0.0)), 4),
+        "bytes": data_bytes, "suggested_type": suggested_type(unique),
     })
 
 
@@ -242,7 +249,7 @@ def detect_categorical(df: DataFrame) -> DataFrame:
     texts = columns_of(df, CATEGORICAL)
     if not texts:
         return df.sparkSession.createDataFrame([], "column string, unique bigint, ratio double, is_category boolean")
-    counted = column_report(df, texts, {"unique": distinct, "rows": rows})
+    counted = column_report(df, texts, {"unique": distinct_metric(df, texts), "rows": rows})
     ratio = F.try_divide(F.col("unique").cast("double"), F.col("rows").cast("double"))
     return counted.select(
         "column", "unique", ratio.alias("ratio"),
@@ -258,15 +265,14 @@ def profile_overview(df: DataFrame) -> DataFrame:
         F.lit(len(columns_of(df, c))).alias(f"{c}_columns") for c in (NUMERIC, CATEGORICAL, DATETIME)])
 
 
-PROFILE = {
-    "type": type_name, "rows": rows, "null_count": missing, "null_pct": null_pct,
-    "unique_count": distinct, "bytes": data_bytes,
-}
+def profile_metrics(df: DataFrame) -> dict[str, Metric]:
+    return {"type": type_name, "rows": rows, "null_count": missing, "null_pct": null_pct,
+            "unique_count": distinct_metric(df, df.columns), "bytes": data_bytes}
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """(column, type, null_count, null_pct, unique_count, bytes)."""
-    return shown_columns(column_report(df, df.columns, PROFILE))
+    return shown_columns(column_report(df, df.columns, profile_metrics(df)))
 
 
 def shown_columns(facts: DataFrame) -> DataFrame:
@@ -297,7 +303,7 @@ def profile_warnings(df: DataFrame) -> DataFrame:
 
     The measure is the null percentage, or the number of distinct values.
     """
-    return warnings_from(column_report(df, df.columns, PROFILE), df)
+    return warnings_from(column_report(df, df.columns, profile_metrics(df)), df)
 
 
 def warnings_from(facts: DataFrame, df: DataFrame) -> DataFrame:
@@ -321,7 +327,7 @@ def warnings_from(facts: DataFrame, df: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> dict[str, DataFrame]:
     """All profile tables; the one aggregate behind columns, numbers and warnings is kept in memory
     (one row per column) so that it runs once."""
-    facts = column_report(df, df.columns, {**PROFILE, **NUMBERS}).persist()
+    facts = column_report(df, df.columns, {**profile_metrics(df), **NUMBERS}).persist()
     return {
         "overview": profile_overview(df),
         "columns": shown_columns(facts),

@@ -12,7 +12,8 @@ from tableglass.functions.columns import (
     percent, raw, value,
 )
 from tableglass.functions.moments import sample_skewness
-from tableglass.operators.profile import distinct, kind, missing, of_class, rows
+from tableglass.operators.profile import kind, missing, of_class, rows
+from tableglass.plans.distinct import distinct_metric
 from tableglass.plans.quantiles import quantile_columns
 from tableglass.plans.reports import column_report, scalars
 
@@ -236,8 +237,9 @@ def quality_rules(
     looked_at = list(dict.fromkeys([*columns, *([by] if by else [])]))
     total_null = sum((missing(table, c) for c in df.columns), F.lit(0).cast("long"))
     numbers = [F.count(F.lit(1)).alias("rows"), total_null.alias("nulls")]
+    unique = distinct_metric(table, looked_at) if looked_at else None
     for i, c in enumerate(looked_at):
-        numbers += [missing(table, c).alias(f"null{i}"), distinct(table, c).alias(f"unique{i}")]
+        numbers += [missing(table, c).alias(f"null{i}"), unique(table, c).alias(f"unique{i}")]
     facts = table.agg(*numbers)
     if duplicates:
         facts = facts.withColumn("copies", duplicate_count(df).select("duplicates").scalar())

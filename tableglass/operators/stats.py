@@ -13,6 +13,7 @@ from tableglass.functions.columns import (
     raw, value,
 )
 from tableglass.functions.moments import sample_kurtosis, sample_skewness
+from tableglass.plans.distinct import distinct_counts
 from tableglass.plans.quantiles import exact_quantiles, quantile_columns
 from tableglass.plans.reports import column_report
 
@@ -114,6 +115,8 @@ def stat(
         return stat_all(df, columns)
     if name == "mode":
         return stat_mode(df, columns)
+    if name == "nunique":
+        return stat_nunique(df, columns).withColumnRenamed("nunique", operation)
     if name == "percentile" and p is None:
         raise ValueError("percentile needs p")
     columns = usable(df, columns, name)
@@ -233,10 +236,13 @@ def stat_mode(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
 
 def stat_nunique(df: DataFrame, columns: Sequence[str], rsd: float | None = None) -> DataFrame:
     """(column, nunique): distinct non-null values, exact unless a relative deviation is given."""
-    def distinct(frame: DataFrame, c: str) -> Column:
-        v = groupable(value(frame, c), field_of(frame, c).dataType)
-        return F.count_distinct(v) if rsd is None else F.approx_count_distinct(v, rsd)
-    return column_report(df, list(columns), {"nunique": distinct})
+    columns = list(columns)
+    if rsd is not None:
+        return column_report(df, columns, {"nunique": lambda frame, c: F.approx_count_distinct(
+            groupable(value(frame, c), field_of(frame, c).dataType), rsd)})
+    listed = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
+    found = df.sparkSession.range(1).select(listed).join(F.broadcast(distinct_counts(df, columns)), "column", "left")
+    return found.select("column", F.coalesce("unique", F.lit(0).cast("bigint")).alias("nunique"))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

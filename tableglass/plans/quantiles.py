@@ -29,7 +29,7 @@ STEPS_PER_OCTAVE = 1024.0
 SMALLEST_EXPONENT = 1100.0  # every finite double has log2 > -1075
 SLICES = 65536.0
 BROADCAST_GROUPS = 100_000
-BUFFER_ROWS = 200_000
+BUFFER_ROWS = 2**18
 
 
 def log_bucket(v: Column) -> Column:
