@@ -43,8 +43,8 @@ QUERIES = {
     "fill_mode": lambda s, d: clean.fill_mode(gaps(s, d), "event_type").select("event_id", "event_type"),
     "fill_constant": lambda s, d: clean.fill_constant(gaps(s, d), "event_type").select("event_id", "event_type"),
     "fill_integer_mean": lambda s, d: rounded(clean.fill_mean(labelled(s, d), "quality").select("doc_id", "quality")),
-    "clean_pipeline": lambda s, d: rounded(clean.clean_pipeline(gaps(s, d), STEPS)[0]),
-    "clean_pipeline_report": lambda s, d: clean.clean_pipeline(gaps(s, d), STEPS)[1],
+    "clean_operations": lambda s, d: rounded(clean.clean_pipeline(gaps(s, d), STEPS)[0]),
+    "clean_operations_report": lambda s, d: clean.clean_pipeline(gaps(s, d), STEPS)[1],
 }
 
 SQL = {
@@ -55,9 +55,9 @@ SQL = {
     "fill_constant": f"SELECT event_id, coalesce(event_type, 'UNKNOWN') AS event_type FROM {GAPS}",
     "fill_integer_mean": f"""SELECT doc_id, round(coalesce(quality, (SELECT avg(quality) FROM {LABELLED})), 6) AS quality
       FROM {LABELLED}""",
-    "clean_pipeline": f"""SELECT user_id, event_type, round(coalesce(value, (SELECT avg(value) FROM {AFTER})), 6) AS value
+    "clean_operations": f"""SELECT user_id, event_type, round(coalesce(value, (SELECT avg(value) FROM {AFTER})), 6) AS value
       FROM {AFTER}""",
-    "clean_pipeline_report": " UNION ALL ".join([
+    "clean_operations_report": " UNION ALL ".join([
         step(1, "drop_column", "'event_id'"), step(2, "drop_column", "'ts'"), step(4, "drop_column", "'props'"),
         step(5, "fill_missing", "'event_type'", "'mode'",
              filled=f"(SELECT count(*) - count(event_type) FROM {GAPS})"),
