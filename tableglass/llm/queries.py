@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from tableglass.llm import exact_dedup
-from tableglass.llm.common import table
+from pyspark.sql import functions as F
+
+from tableglass.llm import exact_dedup, url_filter, warc
+from tableglass.llm.common import shared_path, table
+
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1(s, d):
+    path = shared_path(s, "warc")
+    warc.write_archives(table(s, d, "pages"), path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
+    number = lambda c: F.when(page(c) != "", page(c)).cast("long")
+    return warc.read_archives(s, path, with_payload=False).filter("kind = 'record'").select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        number("refers_to").alias("refers_to"))
+
+
+def op3(s, d):
+    """The outcome of a page is the toxic label of the document whose number its path holds."""
+    outcomes = table(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("toxic").alias("bad"))
+    shown = F.try_to_number(F.regexp_extract(F.coalesce("url", F.lit("")), "/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    return url_filter.judge(table(s, d, "pages"), outcomes, RULES, key=shown)
+
 
 QUERIES = {
+    "op1_warc": op1,
+    "op3_url_filter": op3,
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
 }
 
 SQL = {
+    "op1_warc": """SELECT page_id, octet_length(encode(p)) AS payload_bytes, sha1(p) AS payload_digest,
+      CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN last END AS refers_to
+      FROM (SELECT page_id, coalesce(html, '') AS p, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)""",
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
