@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tableglass.llm import exact_dedup, url_filter, warc
+from tableglass.llm import exact_dedup, line_dedup, url_filter, warc
 from tableglass.llm.common import shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -31,6 +31,8 @@ QUERIES = {
     "op1_warc": op1,
     "op3_url_filter": op3,
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
+    "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
+        "doc_id", "n_lines", "n_dropped", "kept_sha256"),
 }
 
 SQL = {
@@ -38,6 +40,14 @@ SQL = {
       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN last END AS refers_to
       FROM (SELECT page_id, coalesce(html, '') AS p, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)""",
+    "op8_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+      k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+      c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+      SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+      FROM k LEFT JOIN c USING (key) GROUP BY doc_id""",
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
