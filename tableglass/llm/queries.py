@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import exact_dedup, line_dedup, url_filter, warc
+from tableglass.llm import bpe, exact_dedup, line_dedup, url_filter, warc
 from tableglass.llm.common import shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -33,6 +34,9 @@ QUERIES = {
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
     "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
         "doc_id", "n_lines", "n_dropped", "kept_sha256"),
+    "op10_bpe": lambda s, d: bpe.encode_decode(
+        table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
+            "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
 }
 
 SQL = {
