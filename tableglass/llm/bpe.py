@@ -6,9 +6,9 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,18 @@ from tableglass.llm.common import small_batches
 
 #: Fixed value: how byte-level tokenizers of this kind split a text into words before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 400_000  # words kept by a worker; then it starts anew
-LONG = 1 << 20  # code points from which a text is handled in portions of its words
+ENDINGS = ({"s", "t", "m", "d"}, {"re", "ve", "ll"})
+OTHER, LETTER, NUMBER, WHITE = range(4)
+CACHE = 600_000  # words kept by a worker; then it starts anew
+LONG = 1 << 20  # code points from which a text is handled in portions
+SAFE = re.compile(r"[A-Za-z0-9] [A-Za-z0-9]")
+
+
+NONE = 1 << 60  # of a pair that isn't merged; else its rank and, in the low 20 bits, the new id
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,13 +42,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def unknown_letters() -> str:
-    """Letters and numbers of the regex module's Unicode version that the tokenizers library, built for an earlier one, takes
-    for neither."""
-    unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+def kinds() -> np.ndarray:
+    """OTHER, LETTER, NUMBER or WHITE for each code point. Letters and numbers that the regex module knows from a later Unicode
+    version than the tokenizers library, which takes them for neither, are OTHER."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every, found = "".join(map(chr, points)), np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        found[[ord(c) for c in regex.findall(pattern, every)]] = kind
     known = ByteLevel(add_prefix_space=False).pre_tokenize_str
-    letters, numbers = regex.findall(r"\p{L}", unassigned), regex.findall(r"\p{N}", unassigned)
-    return "".join(c for before, kind in (("a", letters), ("1", numbers)) for c in kind if len(known(before + c)) > 1)
+    for kind, before in ((LETTER, "a"), (NUMBER, "1")):
+        for c in np.flatnonzero(found == kind).tolist():
+            if unicodedata.category(chr(c)) == "Cn" and len(known(before + chr(c))) > 1:
+                found[c] = OTHER
+    return found
+
+
+def portions(text: str) -> Iterator[str]:
+    """Long texts in portions that end before a plain space between two letters or digits of ASCII, where a word always ends."""
+    at = 0
+    while len(text) - at > LONG:
+        cut = SAFE.search(text, at + LONG)
+        if not cut:
+            break
+        yield text[at:cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
 
 
 class Codec:
@@ -54,14 +82,11 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         as_bytes = lambda t: bytes(letters[c] for c in t)
-        self.merges = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (rank, self.ids[as_bytes(a + b)]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): rank << 20 | self.ids[as_bytes(a + b)] for rank, (a, b) in enumerate(pairs)}
+        self.byte_ids = [self.ids[bytes((b,))] for b in range(256)]
         self.special = special
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.pattern = regex.compile(PATTERN)
-        odd = unknown_letters()
-        self.as_symbols = dict.fromkeys(map(ord, odd), "\ue000")
-        least = min(odd, default="\U0010ffff")
-        self.high = re.compile(f"[{least}-\U0010ffff]")
+        self.kinds = kinds()
         inside = np.zeros((256, 256), bool)
         for token in self.ids:
             b = np.frombuffer(token, np.uint8)
@@ -81,18 +106,19 @@ class Codec:
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of a piece: the merge of the lowest rank, leftmost first, until none is left."""
-        ids = [self.ids[bytes((b,))] for b in data]
-        if len(ids) <= 48:
-            merges = self.merges
-            while len(ids) > 1:
-                best, at = None, -1
-                for i in range(len(ids) - 1):
-                    m = merges.get((ids[i], ids[i + 1]))
-                    if m is not None and (best is None or m[0] < best[0]):
-                        best, at = m, i
-                if best is None:
-                    break
-                ids[at:at + 2] = [best[1]]
+        ids = [self.byte_ids[b] for b in data]
+        if len(ids) <= 100:
+            get = self.merges.get
+            ranks = [get(pair, NONE) for pair in zip(ids, ids[1:])]  # of each pair of neighbours
+            while ranks and (best := min(ranks)) != NONE:
+                at = ranks.index(best)
+                new = best & 0xFFFFF
+                ids[at:at + 2] = (new,)
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = get((ids[at - 1], new), NONE)
+                if at < len(ranks):
+                    ranks[at] = get((new, ids[at + 1]), NONE)
             return ids
         n = len(ids)
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
@@ -100,15 +126,15 @@ class Codec:
         def push(i: int) -> None:
             j = after[i]
             if j < n and (m := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[j], m[1]))
+                heapq.heappush(heap, (m, i, ids[i], ids[j]))
         for i in range(n - 1):
             push(i)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -128,7 +154,7 @@ class Codec:
                 part = data[a:b]
                 ids = self.pieces.get(part)
                 if ids is None:
-                    ids = np.array(self.piece(part), "<u4").tobytes()
+                    ids = pack(self.piece(part))
                     if len(part) < 64:
                         if len(self.pieces) >= CACHE:
                             self.pieces.clear()
@@ -141,13 +167,32 @@ class Codec:
             self.cache[word] = out
         return out
 
-    def words(self, text: str) -> Iterator[str]:
-        """The words between which nothing is merged."""
-        if self.high.search(text) and (plain := text.translate(self.as_symbols)) != text:
-            return (text[m.start():m.end()] for m in self.pattern.finditer(plain))
-        if len(text) < LONG:
-            return iter(self.pattern.findall(text))
-        return (m[0] for m in self.pattern.finditer(text))
+    def words(self, text: str) -> list[str]:
+        """The words between which nothing is merged, as PATTERN finds them, from the kinds of all characters at once."""
+        if not text:
+            return []
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kinds[points]
+        start = np.empty(len(kind), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        white = kind == WHITE
+        # white space before a word: its last character begins anew, and a plain space belongs to the word
+        last = np.flatnonzero(white[:-1] & ~white[1:])
+        start[last] = True
+        start[last[points[last] == 32] + 1] = False
+        for p in np.flatnonzero(start & (points == 39)).tolist():  # an apostrophe that begins a word
+            after = text[p + 1:p + 3]
+            n = 1 if after[:1] in ENDINGS[0] else 2 if after in ENDINGS[1] else 0
+            if n and after:
+                start[p + 1] = False
+                if p + 1 + n < len(text):
+                    start[p + 1 + n] = True
+                    if n == 2:
+                        start[p + 2] = False
+        at = np.flatnonzero(start).tolist()
+        at.append(len(text))
+        return [text[i:j] for i, j in zip(at, at[1:])]
 
     def _words(self, words: list[str]) -> bytes:
         get, make = self.cache.get, self.word
@@ -159,9 +204,8 @@ class Codec:
         found = [(m.start(), m.end(), m[0]) for m in self.split_special.finditer(text)] if self.split_special else []
         for start, end, special in [*found, (len(text), len(text), None)]:
             segment = text[at:start] if found else text
-            each = self.words(segment)
-            while portion := list(islice(each, 100_000)):
-                out.append(self._words(portion))
+            for portion in portions(segment):
+                out.append(self._words(self.words(portion)))
             if special is not None:
                 out.append(self.special[special].to_bytes(4, "little"))
             at = end
