@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, exact_dedup, line_dedup, url_filter, warc
+from tableglass.llm import bpe, exact_dedup, line_dedup, substring_dedup, url_filter, warc
 from tableglass.llm.common import shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -34,6 +34,8 @@ QUERIES = {
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
     "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
         "doc_id", "n_lines", "n_dropped", "kept_sha256"),
+    "op9_substring_dedup": lambda s, d: substring_dedup.remove_repeats(table(s, d, "documents"), 20, with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"),
     "op10_bpe": lambda s, d: bpe.encode_decode(
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
             "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
@@ -52,6 +54,17 @@ SQL = {
       SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
       FROM k LEFT JOIN c USING (key) GROUP BY doc_id""",
+    "op9_substring_dedup": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+      w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM d),
+      s AS (SELECT d.doc_id, a.pos, md5(array_to_string(ws[a.pos:a.pos + 19], ' ')) AS seq
+        FROM d, LATERAL (SELECT unnest(generate_series(1, len(ws) - 19)) AS pos) a),
+      r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) > 1 AS again FROM s),
+      c AS (SELECT w.doc_id, w.pos, word, coalesce(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (
+        PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+        FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos)
+      SELECT doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256
+      FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
