@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, exact_dedup, line_dedup, substring_dedup, url_filter, warc
-from tableglass.llm.common import shared_path, table
+from tableglass.llm import bpe, exact_dedup, language, line_dedup, substring_dedup, url_filter, warc
+from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -28,10 +28,18 @@ def op3(s, d):
     return url_filter.judge(table(s, d, "pages"), outcomes, RULES, key=shown)
 
 
+def op7(s, d):
+    docs = table(s, d, "documents")
+    profiles = language.learn(docs.filter(fold() != 0))
+    texts = docs.select("doc_id", "text", (fold() == 0).alias("held_out"))
+    return language.predict(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_warc": op1,
     "op3_url_filter": op3,
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
+    "op7_language_id": op7,
     "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
         "doc_id", "n_lines", "n_dropped", "kept_sha256"),
     "op9_substring_dedup": lambda s, d: substring_dedup.remove_repeats(table(s, d, "documents"), 20, with_text=False).select(
