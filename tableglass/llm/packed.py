@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.llm.common import small_batches, stored
@@ -73,30 +73,36 @@ class Chunk:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """(number, ids, texts) of each chunk that a task makes of its rows (id, text)."""
+    number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(NO_ID if i is None else i)
+            texts.append(t.as_py())
+            size += len(texts[-1])
+            if size >= chunk_bytes:
+                yield number, ids, texts
+                number, ids, texts, size = number + 1, [], [], 0
+    if ids:
+        yield number, ids, texts
+
+
+def id_and_text(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+
+
 def chunked(docs: DataFrame, id_col: str, text: str, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents in stored chunks of about ``chunk_bytes``; a longer text is a chunk of its own."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def flush() -> pa.RecordBatch:
+        for number, ids, texts in gathered(batches, chunk_bytes):
             lengths = np.array([len(t) for t in texts], "<i8")
-            return pa.RecordBatch.from_arrays([
+            yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([lengths.tobytes()]),
                 pa.array([squeeze(b"\n".join(texts), 3)])], ["chunk", "ids", "lengths", "body"])
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(NO_ID if i is None else i)
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size >= chunk_bytes:
-                    yield flush()
-                    number, ids, texts, size = number + 1, [], [], 0
-        if ids:
-            yield flush()
-    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return stored(rows.mapInArrow(run, CHUNKS), name)
+    return stored(id_and_text(docs, id_col, text).mapInArrow(run, CHUNKS), name)
 
 
 def bucket_bits(docs: DataFrame, text: str) -> int:

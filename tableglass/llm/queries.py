@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, exact_dedup, language, line_dedup, substring_dedup, url_filter, warc
+from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, substring_dedup, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -38,6 +38,8 @@ def op7(s, d):
 QUERIES = {
     "op1_warc": op1,
     "op3_url_filter": op3,
+    "op4_decontaminate": lambda s, d: decontaminate.contamination(table(s, d, "documents"), table(s, d, "benchmark"), 10).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
     "op7_language_id": op7,
     "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
@@ -54,6 +56,21 @@ SQL = {
       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id < last THEN last END AS refers_to
       FROM (SELECT page_id, coalesce(html, '') AS p, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)""",
+    "op4_decontaminate": """WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+      b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+      v AS (SELECT item_id, least(10, len(ws)) AS n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS win
+        FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(ws) - 9))) AS p) WHERE len(ws) > 0),
+      h AS (SELECT DISTINCT doc_id, p, v.n, item_id FROM (SELECT DISTINCT n FROM v) k, t,
+        LATERAL (SELECT unnest(generate_series(1, len(ws) - k.n + 1)) AS p) JOIN v ON v.n = k.n AND v.win = array_to_string(ws[p:p + k.n - 1], ' ')),
+      c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h),
+        LATERAL (SELECT unnest(generate_series(p, p + n - 1)) AS q) GROUP BY doc_id),
+      i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM t LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
     "op8_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
       k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
