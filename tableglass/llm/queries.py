@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, substring_dedup, url_filter, warc
+from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -41,6 +41,7 @@ QUERIES = {
     "op4_decontaminate": lambda s, d: decontaminate.contamination(table(s, d, "documents"), table(s, d, "benchmark"), 10).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
     "op5_exact_dedup": lambda s, d: exact_dedup.decisions(table(s, d, "documents")),
+    "op6_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
     "op7_language_id": op7,
     "op8_line_dedup": lambda s, d: line_dedup.drop_shared_lines(table(s, d, "documents"), 10).select(
         "doc_id", "n_lines", "n_dropped", "kept_sha256"),
