@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableglass.llm.common import ascii_lower, small_batches, stored
 
@@ -149,20 +150,24 @@ def keep_bitmaps(docs: DataFrame, least_docs: int, least_chars: int = 1, keep_fi
 
 
 def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_first: bool = False,
-                      text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, place, text, n_lines, n_dropped, bitmap, kept_sha256): one row for each document.
+                      text: str = "text", id_col: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, place, text, n_lines, n_dropped, bitmap, kept_sha256, carried): one row for each document.
 
     Lines are split at \\n. A line whose key (white space stripped at both ends, A-Z lower-cased) has at least ``least_chars``
     code points and is found in at least ``least_docs`` documents is dropped everywhere; ``keep_first`` leaves the first such
     line of the corpus, in the order of ids and positions. ``bitmap`` has a zlib-compressed bit for each line, null where all
-    stay; ``place`` tells rows of one id apart. Null and empty texts are one empty line. Rows with equal ids (null is an id too)
+    stay; ``place`` tells rows of one id apart; ``carried`` has the
+    columns named in ``carry``. Null and empty texts are one empty line. Rows with equal ids (null is an id too)
     count as one document. Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("place"), body.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("place"), body.alias("text"),
+                       F.struct(F.lit(1).alias("__"), *[F.col(c) for c in carry]).alias("carried"))
     bitmaps = keep_bitmaps(docs, least_docs, least_chars, keep_first).withColumnsRenamed({"id": "b_id", "place": "b_place"})
-    joined = docs.join(bitmaps, (F.col("place") == F.col("b_place")) & F.col("id").eqNullSafe(F.col("b_id")), "left").select("id", "place", "text", "bitmap")
+    joined = docs.join(bitmaps, (F.col("place") == F.col("b_place")) & F.col("id").eqNullSafe(F.col("b_id")), "left").select("id", "place", "text", "bitmap", "carried")
+    shape = T.StructType.fromDDL("id bigint, place bigint, text string, n_lines bigint, n_dropped bigint, bitmap binary, kept_sha256 string").add(
+        "carried", joined.schema["carried"].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,5 +181,5 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
                 texts, n, lost, sha = zip(*out)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), b.column(3),
-                    pa.array(sha, pa.string())], ["id", "place", "text", "n_lines", "n_dropped", "bitmap", "kept_sha256"])
-    return joined.mapInArrow(apply, "id bigint, place bigint, text string, n_lines bigint, n_dropped bigint, bitmap binary, kept_sha256 string").withColumnRenamed("id", id_col)
+                    pa.array(sha, pa.string()), b.column(4)], ["id", "place", "text", "n_lines", "n_dropped", "bitmap", "kept_sha256", "carried"])
+    return joined.mapInArrow(apply, shape).withColumnRenamed("id", id_col)

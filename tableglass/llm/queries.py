@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ def op7(s, d):
     return language.predict(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def pipeline(s, d):
+    return importlib.import_module("corpus_pipeline").run(s, d)
+
+
 QUERIES = {
     "op1_warc": op1,
     "op3_url_filter": op3,
@@ -50,6 +56,7 @@ QUERIES = {
     "op10_bpe": lambda s, d: bpe.encode_decode(
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
             "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+    "pipeline": pipeline,
 }
 
 SQL = {
