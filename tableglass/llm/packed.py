@@ -125,9 +125,10 @@ def message(chunk: int, bucket: int, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], NAMES)
 
 
-def ask(chunks: DataFrame, question: Callable[[Chunk, dict[int, bytes]], Iterator[tuple[int, bytes]]], name: str) -> DataFrame:
+def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]], name: str, make: Callable | None = None) -> DataFrame:
     """Each chunk's messages (bucket, body), stored. Messages to buckets below 0 are kept for the chunk itself. ``chunks``: with
-    a column ``mail`` of messages to the chunk, if there are any yet."""
+    a column ``mail`` of messages to the chunk, if there are any yet. The question gets the chunk and its mail, or what ``make``
+    makes of the row and the mail."""
     has_mail = "mail" in chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +136,7 @@ def ask(chunks: DataFrame, question: Callable[[Chunk, dict[int, bytes]], Iterato
             for i in range(batch.num_rows):
                 row = [batch.column(j)[i].as_py() for j in range(batch.num_columns)]
                 mail = {m["bucket"]: m["body"] for m in row[4] or ()} if has_mail else {}
-                out = [(b, body) for b, body in question(Chunk(*row[:4]), mail)]
+                out = list(question(make(row, mail)) if make else question(Chunk(*row[:4]), mail))
                 for a in range(0, len(out), 64):
                     part = out[a:a + 64]
                     yield pa.RecordBatch.from_arrays([
@@ -144,11 +145,15 @@ def ask(chunks: DataFrame, question: Callable[[Chunk, dict[int, bytes]], Iterato
 
 
 def answer(messages: DataFrame, reply: Callable[[np.ndarray, list[bytes]], list[bytes]]) -> DataFrame:
-    """Each bucket's answers, a body for each message it got: (chunk, bucket, body). ``reply`` gets the chunks and bodies."""
+    """Each bucket's answers, a body for each message it got: (chunk, bucket, body). ``reply`` gets the chunks and bodies. One
+    body more is a fact about the bucket, for chunk -1."""
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         bodies = reply(np.asarray(group.column(0)), group.column(2).to_pylist())
-        return pa.table([group.column(0), group.column(1), pa.array(bodies, pa.binary())], names=NAMES)
+        chunks, buckets = group.column(0).to_pylist(), group.column(1).to_pylist()
+        if len(bodies) > len(chunks):
+            chunks, buckets = [*chunks, -1], [*buckets, buckets[0]]
+        return pa.table([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], names=NAMES)
     return messages.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, MESSAGES)
 
 

@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, url_filter, warc
+from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, suffix_tree, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -43,6 +43,7 @@ def pipeline(s, d):
 
 QUERIES = {
     "op1_warc": op1,
+    "op2_lm_score": lambda s, d: suffix_tree.score(table(s, d, "documents")),
     "op3_url_filter": op3,
     "op4_decontaminate": lambda s, d: decontaminate.contamination(table(s, d, "documents"), table(s, d, "benchmark"), 10).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
