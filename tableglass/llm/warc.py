@@ -76,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, url: str = "url", payload: str =
 
 # ---------------------------------------------------------------- reading
 
-VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+VERSION = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 
 
 def _sha1_of(label: str | None) -> str | None:
