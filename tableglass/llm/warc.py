@@ -104,7 +104,10 @@ def parse_record(data: memoryview, at: int) -> tuple[int, dict[str, str], memory
         key, colon, value = line.partition(":")
         if not colon:
             raise ValueError("bad header line")
-        headers[key.strip().lower()] = value.strip()
+        key = key.strip().lower()
+        if key in headers and key != "warc-concurrent-to":
+            raise ValueError("repeated header")
+        headers[key] = value.strip()
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise ValueError("no content length")
