@@ -18,6 +18,7 @@ SHINGLE = 5
 LIMIT = 800  # sets compared with each other in one group
 DEPTH = 3
 BINS = 64  # of a set's sketch
+PRESELECT = 16.0
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
@@ -41,26 +42,32 @@ def chunk_sets(chunk: Chunk, wanted: list[int] | None = None) -> Iterator[tuple[
         yield i, shingles(words[firsts[i]:firsts[i + 1]])
 
 
-def _sampled(tokens: np.ndarray, nodes: np.ndarray, least: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the parent, child): the tokens that each node samples, as names of the child nodes."""
-    parents, children = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    step = max(1, (1 << 18) // max(len(tokens), 1))
-    for a in range(0, len(nodes), step):
-        h = mix(nodes[a:a + step, None] ^ tokens[None, :])
-        p, t = np.nonzero(h < least)
-        parents.append(p + a)
-        children.append(mix(h[p, t] + np.uint64(0x632BE59BD9B4E019)))
-    return np.concatenate(parents), np.concatenate(children)
+def _children(tokens: np.ndarray, nodes: np.ndarray, share: float, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the parent, child): the tokens that each node samples, a ``share``th of these, as names of the child nodes."""
+    h = nodes[:, None] ^ tokens[None, :]
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= seed
+    parents, at = np.nonzero(h < np.uint64(min(2.0 ** 64 - 2048, 2.0 ** 64 / share)))
+    return parents, mix(h[parents, at])
 
 
 def paths(tokens: np.ndarray, threshold: float, runs: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each level (parents, nodes) of a set: in every node it is in, each of its n tokens leads on with probability
-    1 / (threshold * n), by a hash of token and node, so that sets which share the token go the same way."""
-    least = np.uint64(min(2.0 ** 64 - 2048, 2.0 ** 64 / (threshold * max(len(tokens), 1))))
+    1 / (threshold * n), by hashes of token, level and node, so that sets which share the token go the same way. A level first
+    takes PRESELECT times as many tokens for all its nodes, then each node its part of them."""
+    least = 2.0 ** 64 * PRESELECT / (threshold * max(len(tokens), 1))
     nodes = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = []
-    for _ in range(depth):
-        parents, nodes = _sampled(tokens, nodes, least)
+    for level in range(depth):
+        seed = np.uint64(pow(0x9E3779B97F4A7C15, 2 * level + 3, 1 << 64))
+        some, share = tokens, PRESELECT
+        if least < 2.0 ** 64:
+            h = (tokens ^ (tokens >> np.uint64(29))) * seed
+            some = tokens[(h ^ (h >> np.uint64(32))) * seed < np.uint64(least)]
+        else:  # a small set: its nodes choose among all tokens
+            share = max(1.0, threshold * len(tokens))
+        parents, nodes = _children(some, nodes, share, seed)
         out.append((parents, nodes))
     return out
 
