@@ -1,9 +1,11 @@
 """Chart tables."""
 
-from registry import rounded, table
+from pyspark.sql import functions as F
 
+from registry import rounded, table
 from registry.stats import WITH_NULLS, with_nulls
 from tableglass.operators import charts
+from tableglass.operators.stats import value_counts
 from tableglass.plans.quantiles import quantiles_by_counting
 
 
@@ -58,21 +60,42 @@ def box_summary_sql(y, by, of):
 
 
 def violin_sql(y, by, of, grid, bins):
+    """``by``: the group columns, with commas between; a group without spread has one point without density."""
     group = f"{by}, " if by else ""
     g = f"GROUP BY {by}" if by else ""
     join = f"USING ({by})" if by else "ON true"
     return f"""WITH v AS (SELECT {group}{y} AS y FROM {of} WHERE {y} IS NOT NULL),
       s0 AS (SELECT {group}min(y) AS lo, max(y) AS hi, stddev_samp(y) AS sd, CAST(count(*) AS DOUBLE) AS n,
         quantile_cont(y, CAST(0.75 AS DOUBLE)) - quantile_cont(y, CAST(0.25 AS DOUBLE)) AS iqr FROM v {g}),
-      s AS (SELECT {group}lo, hi, n, CAST(0.9 AS DOUBLE) * CASE WHEN iqr > 0 THEN least(sd, iqr / CAST(1.34 AS DOUBLE)) ELSE sd END
+      s1 AS (SELECT {group}lo, hi, n, CAST(0.9 AS DOUBLE) * CASE WHEN iqr > 0 THEN least(sd, iqr / CAST(1.34 AS DOUBLE)) ELSE sd END
         * pow(n, CAST(-0.2 AS DOUBLE)) AS h FROM s0),
+      s AS (SELECT * FROM s1 WHERE lo < hi),
       b AS (SELECT {group}lo, hi, n, h, {bin_of('y', bins)} AS bin, count(*) AS cnt FROM v JOIN s {join} GROUP BY ALL),
       c AS (SELECT *, lo + (bin - CAST(0.5 AS DOUBLE)) * (hi - lo) / CAST({bins} AS DOUBLE) AS centre FROM b),
       p AS (SELECT *, unnest(generate_series(0, {grid - 1})) AS point FROM c),
       q AS (SELECT *, lo - 2 * h + point * ((hi + 2 * h) - (lo - 2 * h)) / CAST({grid - 1} AS DOUBLE) AS "at" FROM p)
       SELECT {group}CAST(point AS INTEGER) AS point, round(max("at"), 5) AS "at",
         round(sum(cnt * exp(-0.5 * (("at" - centre) / h) * (("at" - centre) / h)) / (n * h * sqrt(2 * pi()))), 9) AS density
-      FROM q GROUP BY {group}point"""
+      FROM q GROUP BY {group}point
+      UNION ALL SELECT {group}CAST(0 AS INTEGER), round(lo, 5), NULL FROM s1 WHERE lo = hi"""
+
+
+GROUPS = """(SELECT value, CASE WHEN event_id = 5 THEN 'lonely' WHEN event_id % 50 = 7 THEN 'same' ELSE event_type END AS kind,
+  CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS side FROM (SELECT event_id, event_type, CASE WHEN event_id % 50 = 7 THEN 1.5 ELSE value END AS value FROM events)) g"""
+
+
+def grouped_events(s, d):
+    """Events with a group of one row and one of equal values."""
+    e, i = events(s, d), F.col("event_id")
+    return e.select(
+        F.when(i % 50 == 7, 1.5).otherwise(F.col("value")).alias("value"),
+        F.when(i == 5, "lonely").when(i % 50 == 7, "same").otherwise(F.col("event_type")).alias("kind"),
+        F.when(i % 3 == 0, "a").otherwise("b").alias("side"))
+
+
+def named(s, d):
+    """Events with columns that have the names of results."""
+    return events(s, d).select(F.col("user_id").alias("count"), F.col("event_type").alias("n"), F.col("value").alias("y"))
 
 
 QUERIES = {
@@ -91,6 +114,11 @@ QUERIES = {
     "line_mean_by": lambda s, d: rounded(charts.line_mean_by(lineitem(s, d), "l_extendedprice", "l_shipdate")),
     "line_raw": lambda s, d: charts.line_raw(orders(s, d), "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderkey"),
     "line_auto": lambda s, d: rounded(charts.line_auto(orders(s, d), "o_orderdate", "o_totalprice"), 5),
+    "line_auto_raw": lambda s, d: charts.line_auto(
+        orders(s, d), "o_orderdate", "o_totalprice", "o_orderstatus", aggregate=False, order_by="o_orderkey"),
+    "value_counts_named_count": lambda s, d: value_counts(named(s, d), "count", 20),
+    "box_summary_named_n": lambda s, d: rounded(charts.box_summary(named(s, d), "y", "n")),
+    "violin_density_groups": lambda s, d: rounded(charts.violin_density(grouped_events(s, d), "value", "kind", "side"), 5, density=9),
     "pie_share": lambda s, d: rounded(charts.pie_share(lineitem(s, d), "l_shipdate", 10)),
     "box_summary": lambda s, d: rounded(charts.box_summary(with_nulls(s, d), "value", "event_type")),
     "box_outlier_points": lambda s, d: charts.box_outlier_points(events(s, d), "value", "event_type"),
@@ -132,6 +160,13 @@ SQL = {
     "line_mean_by": """SELECT l_shipdate, round(avg(l_extendedprice), 6) AS l_extendedprice FROM lineitem GROUP BY 1""",
     "line_raw": "SELECT o_orderdate, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderdate",
     "line_auto": "SELECT o_orderdate, round(avg(o_totalprice), 5) AS o_totalprice FROM orders GROUP BY 1",
+    "scatter_sample": """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+      ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 5000""",
+    "line_auto_raw": "SELECT o_orderdate, o_totalprice, o_orderstatus FROM orders",
+    "value_counts_named_count": """SELECT user_id AS "count", count(*) AS count_ FROM events WHERE user_id IS NOT NULL GROUP BY 1
+      ORDER BY 2 DESC, 1 LIMIT 20""",
+    "box_summary_named_n": f"""SELECT event_type AS n, * EXCLUDE (event_type, n), n AS n_ FROM ({box_summary_sql("value", "event_type", "events")})""",
+    "violin_density_groups": violin_sql("value", "kind, side", GROUPS, 100, 512),
     "pie_share": f"""SELECT l_shipdate, "count", round("count" / CAST(sum("count") OVER () AS DOUBLE), 6) AS share
       FROM ({top('l_shipdate', 10, 'lineitem')})""",
     "box_summary": box_summary_sql("value", "event_type", WITH_NULLS),

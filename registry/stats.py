@@ -95,6 +95,7 @@ QUERIES = {
 }
 
 SQL = {
+    "sample_rows": "SELECT * FROM events ORDER BY md5(concat_ws('|', '7', event_id)), event_id LIMIT 10",
     "select_columns": "SELECT l_orderkey, l_extendedprice FROM lineitem",
     "drop_column": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders",
     "filter_compare": "SELECT * FROM lineitem WHERE l_quantity > 45.0",

@@ -86,15 +86,28 @@ def number(df: DataFrame, name: str) -> Column:
     if kind == BOOLEAN:
         return raw(name).cast("int").cast("double")
     if kind == DATETIME:
-        return micros(raw(name)).cast("double")
+        return micros(raw(name), field_of(df, name).dataType).cast("double")
     if kind != NUMERIC:
         raise ValueError(f"column {name!r} is not numeric")
     return value(df, name).cast("double")
 
 
-def micros(column: Column) -> Column:
-    """Epoch microseconds of a date or timestamp."""
-    return F.unix_micros(column.cast("timestamp"))
+def micros(column: Column, data_type: T.DataType) -> Column:
+    """Epoch microseconds of a date or timestamp. Those of a timestamp without time zone count from 1970-01-01 00:00 on the same
+    clock, whatever the session's time zone."""
+    if not isinstance(data_type, T.TimestampNTZType):
+        return F.unix_micros(column.cast("timestamp"))
+    minutes = (F.unix_date(column.cast("date")).cast("bigint") * 24 + F.hour(column)) * 60 + F.minute(column)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
+
+
+def from_micros(m: Column, data_type: T.DataType) -> Column:
+    """Epoch microseconds back to the column's timestamp type (dates become timestamps)."""
+    whole = F.round(m).cast("bigint")
+    if isinstance(data_type, T.TimestampNTZType):
+        seconds = (whole.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.timestamp_micros(whole)
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tableglass.operators.quality import fences
 from tableglass.operators.rows import head, ordering, sample_rows
 from tableglass.operators.stats import aggregate, value_counts
 from tableglass.plans.joins import lookup
+from tableglass.plans.names import free, keyed, unkeyed
 from tableglass.plans.quantiles import few_groups
 from tableglass.plans.reports import scalars
 
@@ -77,11 +78,13 @@ def bin_edges(lo: Column, hi: Column, place: Column, nbins: int) -> list[Column]
 
 
 def hist_by(df: DataFrame, column: str, color: str, nbins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(color, bin, lower, upper, count): the bins in use, with edges common to all colours."""
-    counted, edges = binned(df, column, color, nbins)
+    """(color, bin, lower, upper, count): the bins in use, with edges common to all colours. A column with the colour's name gets
+    an underscore."""
+    df, (key,) = keyed(df, [color])
+    counted, edges = binned(df, column, key, nbins)
     lo, hi = edges.getField("lo"), edges.getField("hi")
-    return counted.filter(raw(color).isNotNull()).select(
-        raw(color), "bin", *bin_edges(lo, hi, F.col("bin"), nbins), "count")
+    return unkeyed(counted.filter(raw(key).isNotNull()).select(
+        raw(key), "bin", *bin_edges(lo, hi, F.col("bin"), nbins), "count"), [color])
 
 
 def hist_marginal_box(df: DataFrame, column: str, color: str | None = None) -> DataFrame:
@@ -99,16 +102,14 @@ def freq_top(df: DataFrame, column: str, n: int = FREQUENCIES) -> DataFrame:
 def bar_sum(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """(x, [color,] y): the sum of y per x and colour; rows with a missing key are left out."""
     keys = [x] if color in (None, x) else [x, color]
-    present = df
-    for k in keys:
-        present = present.filter(value(df, k).isNotNull())
-    return present.groupBy(*[value(df, k).alias(k) for k in keys]).agg(aggregate(df, y, "sum").alias(y))
+    df, names = keyed(df, keys)
+    return unkeyed(df.dropna(subset=names).groupBy(*names).agg(aggregate(df, y, "sum").alias(y)), keys)
 
 
 def bar_sum_top(df: DataFrame, y: str, by: str, n: int = TOP_SUMS) -> DataFrame:
     """(by, y): the n groups with the largest sums."""
     y = first_numeric(df, y)
-    return bar_sum(df, by, y).orderBy(raw(y).desc(), raw(by)).limit(n)
+    return bar_sum(df, by, y).orderBy(raw(free(y, [by])).desc(), raw(by)).limit(n)
 
 
 def bar_count_top(df: DataFrame, x: str, n: int = TOP_COUNTS) -> DataFrame:
@@ -158,9 +159,9 @@ def scatter_sample(
 def line_mean_by(df: DataFrame, y: str, by: str) -> DataFrame:
     """(by, y): the mean per group, in order of the group."""
     y = first_numeric(df, y)
-    key = value(df, by)
-    return df.filter(key.isNotNull()).groupBy(key.alias(by)).agg(
-        F.avg(number(df, y)).alias(y if y != by else f"mean_{y}")).orderBy(raw(by))
+    df, (key,) = keyed(df, [by])
+    means = df.filter(raw(key).isNotNull()).groupBy(key).agg(F.avg(number(df, y)).alias(y if y != by else f"mean_{y}"))
+    return unkeyed(means.orderBy(raw(key)), [by])
 
 
 def line_raw(
@@ -178,12 +179,12 @@ def line_raw(
 
 
 def line_auto(
-    df: DataFrame, x: str, y: str, color: str | None = None, max_points: int = LINE_POINTS,
+    df: DataFrame, x: str, y: str, color: str | None = None, aggregate: bool = True,
     order_by: Sequence[str] | str | None = None,
 ) -> DataFrame:
-    """Up to max_points rows as they are; beyond that the mean of y per x, whatever the colour."""
-    # stops at the first row beyond the limit
-    if df.select(F.lit(1).alias("one")).offset(max_points).take(1):
+    """The mean of y per x, whatever the colour, or the rows as they are with ``aggregate=False``. Whoever draws them asks for
+    rows up to LINE_POINTS of them; the result's columns don't depend on how many there are."""
+    if aggregate:
         return line_mean_by(df, y, x)
     return line_raw(df, y, x, color, order_by or x)
 
@@ -191,10 +192,11 @@ def line_auto(
 def area_series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """(x, [color,] y, top): the sum of y per x and colour, and the height it is stacked up to."""
     sums = bar_sum(df, x, y, color)
+    y, top = sums.columns[-1], free("top", sums.columns)
     if color in (None, x):
-        return sums.withColumn("top", raw(y)).orderBy(raw(x))
+        return sums.withColumn(top, raw(y)).orderBy(raw(x))
     stack = Window.partitionBy(raw(x)).orderBy(raw(color)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.withColumn("top", F.sum(raw(y)).over(stack)).orderBy(raw(x), raw(color))
+    return sums.withColumn(top, F.sum(raw(y)).over(stack)).orderBy(raw(x), raw(color))
 
 
 # -- shares -----------------------------------------------------------------------------------
@@ -202,7 +204,8 @@ def area_series(df: DataFrame, x: str, y: str, color: str | None = None) -> Data
 def pie_share(df: DataFrame, column: str, n: int = PIE_SLICES) -> DataFrame:
     """(column, count, share): the n most frequent values; shares are of the slices kept."""
     kept = value_counts(df, column, n)
-    return kept.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    count = kept.columns[1]
+    return kept.withColumn(free("share", kept.columns), raw(count) / F.sum(raw(count)).over(Window.partitionBy()))
 
 
 # -- boxes and densities ----------------------------------------------------------------------
@@ -231,44 +234,51 @@ def box_summary(df: DataFrame, y: str, x: str | None = None, color: str | None =
     """([x, color,] q1, median, q3, whisker_low, whisker_high, n, outliers); whiskers reach the
     furthest values within 1.5 IQR of the quartiles."""
     by = box_keys(x, color)
-    marked = with_fences(df, y, by)
-    return marked.groupBy(*[raw(b) for b in by]).agg(
+    df, names = keyed(df, by)
+    marked = with_fences(df, y, names)
+    return unkeyed(marked.groupBy(*names).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside_fences(), F.col("y"))).alias("whisker_low"),
         F.max(F.when(inside_fences(), F.col("y"))).alias("whisker_high"),
-        F.count(F.lit(1)).alias("n"), F.count_if(~inside_fences()).alias("outliers"))
+        F.count(F.lit(1)).alias("n"), F.count_if(~inside_fences()).alias("outliers")), by)
 
 
 def box_outlier_points(df: DataFrame, y: str, x: str | None = None, color: str | None = None) -> DataFrame:
     """([x, color,] y): the values beyond the fences."""
     by = box_keys(x, color)
-    return with_fences(df, y, by).filter(~inside_fences()).select(*[raw(b) for b in by], F.col("y").alias(y))
+    df, names = keyed(df, by)
+    return unkeyed(with_fences(df, y, names).filter(~inside_fences()).select(*names, F.col("y").alias(y)), by)
 
 
 def violin_density(
-    df: DataFrame, y: str, x: str | None = None, grid: int = DENSITY_GRID, bins: int = DENSITY_BINS,
+    df: DataFrame, y: str, x: str | None = None, color: str | None = None, grid: int = DENSITY_GRID, bins: int = DENSITY_BINS,
 ) -> DataFrame:
-    """([x,] point, at, density): a Gaussian kernel density per group on ``grid`` points.
+    """([x, color,] point, at, density): a Gaussian kernel density per group on ``grid`` points.
 
     The bandwidth is 0.9 min(std, IQR / 1.34) n^(-1/5), the grid spans two bandwidths beyond the
     extremes. Values are first counted in ``bins`` equal bins of their group and each bin stands at
-    its centre, so the kernel sums run over at most bins x grid rows per group.
+    its centre, so the kernel sums run over at most bins x grid rows per group. A group without
+    spread (one row, or equal values) has one point at its value, with no density.
     """
-    by = box_keys(x, None)
-    keys = [raw(b) for b in by]
-    values = df.select(*[value(df, b).alias(b) for b in by], number(df, y).alias("y")).dropna()
+    by = box_keys(x, color)
+    df, keys = keyed(df, by)
+    values = df.select(*keys, number(df, y).alias("y")).dropna()
     shape = values.groupBy(*keys).agg(
         F.min("y").alias("lo"), F.max("y").alias("hi"), F.stddev_samp("y").alias("std"),
         F.count(F.lit(1)).cast("double").alias("n"))
-    quartiles = fences(df, [y], by)
+    quartiles = fences(df, [y], keys)
     if by:
-        shape = shape.join(quartiles.select(*keys, "iqr"), by)
+        shape = shape.join(quartiles.select(*keys, "iqr"), keys)
     else:
         shape = shape.withColumn("iqr", quartiles.select("iqr").scalar())
     spread = F.when(F.col("iqr") > 0, F.least(F.col("std"), F.col("iqr") / 1.34)).otherwise(F.col("std"))
-    shape = shape.withColumn("h", F.lit(0.9) * spread * F.pow("n", F.lit(-0.2))).filter(F.col("h") > 0).drop("std", "iqr")
+    shape = shape.withColumn("h", F.lit(0.9) * spread * F.pow("n", F.lit(-0.2))).drop("std", "iqr")
+    wide = (F.col("hi") > F.col("lo")) & (F.col("h") > 0)
+    flat = shape.filter(F.coalesce(~wide, F.lit(True)) & (F.col("n") > 0)).select(
+        *keys, F.lit(0).alias("point"), F.col("lo").alias("at"), F.lit(None).cast("double").alias("density"))
+    shape = shape.filter(wide)
     if by:
-        placed = lookup(values, shape, by, few_groups(df, by))
+        placed = lookup(values, shape, keys, few_groups(df, keys))
     else:
         s = shape.agg(F.struct(*[F.max(c).alias(c) for c in ("lo", "hi", "n", "h")]).alias("s")).scalar()
         placed = values.select("y", *[s.getField(c).alias(c) for c in ("lo", "hi", "n", "h")])
@@ -281,7 +291,7 @@ def violin_density(
         "at", start + F.col("point") * (end - start) / float(grid - 1))
     z = (F.col("at") - F.col("centre")) / F.col("h")
     kernel = F.col("cnt") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * 2.5066282746310002)
-    return points.groupBy(*keys, "point", "at").agg(F.sum(kernel).alias("density"))
+    return unkeyed(points.groupBy(*keys, "point", "at").agg(F.sum(kernel).alias("density")).unionByName(flat), by)
 
 
 # -- dispatch ---------------------------------------------------------------------------------
@@ -320,5 +330,5 @@ def chart_data(
     if chart == "area":
         return area_series(df, x, y or first_numeric(df, None), color)
     if chart == "violin":
-        return violin_density(df, y, x, **options) if y else violin_density(df, x, None, **options)
+        return violin_density(df, y, x, color, **options) if y else violin_density(df, x, None, color, **options)
     raise ValueError(f"unknown chart {chart!r}")

@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from tableglass.functions.columns import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, class_of, columns_of, data_bytes, field_of,
-    is_floating, is_integral, micros, number, percent, quoted, raw, value,
+    from_micros, is_floating, is_integral, micros, number, percent, quoted, raw, value,
 )
 from tableglass.functions.moments import sample_kurtosis, sample_skewness
-from tableglass.operators.stats import aggregate, from_micros
+from tableglass.operators.stats import aggregate
 from tableglass.plans.distinct import distinct_metric
 from tableglass.plans.quantiles import quantile_columns
 from tableglass.plans.reports import Metric, column_report
@@ -66,7 +66,8 @@ def numeric(statistic: str, classes: Sequence[str] = (NUMERIC,)):
 def dated(statistic: str):
     def metric(df: DataFrame, c: str) -> Column:
         if statistic == "mean":
-            return from_micros(F.avg(micros(raw(c)).cast("decimal(20,0)")), T.TimestampNTZType())
+            data_type = field_of(df, c).dataType
+            return from_micros(F.avg(micros(raw(c), data_type).cast("decimal(20,0)")), data_type)
         return getattr(F, statistic)(raw(c))
     return of_class([DATETIME], metric, "timestamp_ntz")
 
@@ -86,7 +87,13 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         F.max("unique").alias("unique"), F.max("value").alias("top"), F.max("count").alias("freq"))
     quartiles = quantile_columns(df, measured, QUARTILES) if measured else None
     out = report.join(F.broadcast(tops), "column", "left")
-    is_date = F.col("column").isin([c for c in columns if kind(df, c) == DATETIME])
+    dates = [c for c in columns if kind(df, c) == DATETIME]
+    is_date = F.col("column").isin(dates)
+    zoneless = F.col("column").isin([c for c in dates if isinstance(field_of(df, c).dataType, T.TimestampNTZType)])
+
+    def clock(q: str) -> Column:
+        return F.when(zoneless, from_micros(F.col(q), T.TimestampNTZType())).otherwise(
+            from_micros(F.col(q), T.TimestampType()).cast("timestamp_ntz"))
     if quartiles is None:
         out = out.select("*", *[F.lit(None).cast("double").alias(q) for q in QUARTILES])
     else:
@@ -94,7 +101,7 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out.select(
         "column", "count", "unique", "top", "freq", "mean", "std", "min",
         *[F.when(~is_date, F.col(q)).alias(q) for q in QUARTILES], "max", "dt_mean", "dt_min",
-        *[F.when(is_date, from_micros(F.col(q), T.TimestampNTZType())).alias(f"dt_{q}") for q in QUARTILES],
+        *[F.when(is_date, clock(q)).alias(f"dt_{q}") for q in QUARTILES],
         "dt_max")
 
 

@@ -14,6 +14,7 @@ from tableglass.functions.columns import (
 from tableglass.functions.moments import sample_skewness
 from tableglass.operators.profile import kind, missing, of_class, rows
 from tableglass.plans.distinct import distinct_metric
+from tableglass.plans.names import free
 from tableglass.plans.quantiles import quantile_columns
 from tableglass.plans.reports import column_report, scalars
 
@@ -62,19 +63,22 @@ def missing_recommendations(df: DataFrame) -> DataFrame:
 
 # -- duplicates -------------------------------------------------------------------------------
 
+COPIES = "__tg_copies"
+
+
 def whole_rows(df: DataFrame) -> list[Column]:
     """Every column in comparable form: NULL equals NULL, NaN is NULL, maps by their entries."""
     return [groupable(value(df, c), field_of(df, c).dataType).alias(c) for c in df.columns]
 
 
 def row_groups(df: DataFrame) -> DataFrame:
-    """(columns..., copies): one row per distinct row; copies meet already on the map side."""
-    return df.groupBy(*whole_rows(df)).agg(F.count(F.lit(1)).alias("copies"))
+    """(columns..., COPIES): one row per distinct row; copies meet already on the map side."""
+    return df.groupBy(*whole_rows(df)).agg(F.count(F.lit(1)).alias(COPIES))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """(rows, duplicates, pct): rows beyond the first of each group of identical rows."""
-    n, extra = F.coalesce(F.sum("copies"), F.lit(0).cast("long")), F.sum(F.col("copies") - 1)
+    n, extra = F.coalesce(F.sum(COPIES), F.lit(0).cast("long")), F.sum(F.col(COPIES) - 1)
     return row_groups(df).agg(n.alias("rows"), F.coalesce(extra, F.lit(0).cast("long")).alias("duplicates")).select(
         "rows", "duplicates", F.round(percent(F.col("duplicates"), F.col("rows")), 2).alias("pct"))
 
@@ -82,9 +86,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows, in order of all columns, of those that have an identical other row."""
     keys = [raw(c).asc_nulls_last() for c in df.columns]
-    groups = row_groups(df).filter(F.col("copies") > 1).orderBy(*keys).limit(n)
-    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(n)).cast("int"))).alias("copy")
-    return groups.select(*[raw(c) for c in df.columns], copies).orderBy(*keys).limit(n).drop("copy")
+    groups = row_groups(df).filter(F.col(COPIES) > 1).orderBy(*keys).limit(n)
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col(COPIES), F.lit(n)).cast("int"))).alias("__tg_copy")
+    return groups.select(*[raw(c) for c in df.columns], copies).orderBy(*keys).limit(n).drop("__tg_copy")
 
 
 def key_candidate_duplicates(df: DataFrame) -> DataFrame:
@@ -179,11 +183,12 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def outliers_zscore(df: DataFrame, column: str, threshold: float = Z_LIMIT) -> DataFrame:
-    """The rows further than ``threshold`` sample deviations from the mean, with their ``zscore``."""
+    """The rows further than ``threshold`` sample deviations from the mean, with their ``zscore`` (``zscore_`` in a table that has
+    such a column)."""
     x = number(df, column)
     m = scalars(df, mean=F.avg(x), std=F.stddev_samp(x))
     z = F.abs(F.try_divide(x - m.getField("mean"), m.getField("std")))
-    return df.withColumn("zscore", z).filter(F.col("zscore") > threshold)
+    return df.select("*", z.alias(free("zscore", df.columns))).filter(z > threshold)
 
 
 # -- summaries --------------------------------------------------------------------------------
@@ -242,7 +247,7 @@ def quality_rules(
         numbers += [missing(table, c).alias(f"null{i}"), unique(table, c).alias(f"unique{i}")]
     facts = table.agg(*numbers)
     if duplicates:
-        facts = facts.withColumn("copies", duplicate_count(df).select("duplicates").scalar())
+        facts = facts.withColumn(COPIES, duplicate_count(df).select("duplicates").scalar())
 
     n = F.col("rows")
     rules: list[tuple[str, str, str, Column, Column]] = [
@@ -252,7 +257,7 @@ def quality_rules(
     if numeric_columns(df):
         rules.append(("TOO_SMALL_FOR_OUTLIERS", "warning", "*", n < LEAST_FOR_OUTLIERS, n))
     if duplicates:
-        copies = F.col("copies")
+        copies = F.col(COPIES)
         rules += [
             ("NO_DUPLICATES", "info", "*", copies == 0, copies),
             ("TOO_MANY_DUPLICATES", "warning", "*", copies > n * 0.5, percent(copies, n)),

@@ -50,7 +50,7 @@ def filter_between(df: DataFrame, column: str, low: object, high: object) -> Dat
 
 def datetime_to_epoch(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
     """Adds the date column as epoch microseconds (``<column>_epoch`` unless named)."""
-    return df.withColumn(to or f"{column}_epoch", micros(raw(column)))
+    return df.withColumn(to or f"{column}_epoch", micros(raw(column), field_of(df, column).dataType))
 
 
 def ordering(order_by: Sequence[str] | str, descending: bool = False) -> list[Column]:
@@ -69,13 +69,15 @@ def tail(df: DataFrame, order_by: Sequence[str] | str, n: int = 10) -> DataFrame
 
 
 def sample_rows(df: DataFrame, n: int = 10, seed: int = 42, key: Sequence[str] | str | None = None) -> DataFrame:
-    """n rows without replacement, the same for the same seed: the n least hashes of the key.
+    """n rows without replacement, the same for the same seed: those with the n least MD5 sums of ``seed|key...`` (the key's
+    columns as text, missing ones left out).
 
     ``key`` should tell rows apart; by default it is the whole row.
     """
     names = list(df.columns) if key is None else [key] if isinstance(key, str) else list(key)
     parts = [groupable(raw(c), field_of(df, c).dataType) for c in names]
-    return df.orderBy(F.xxhash64(F.lit(seed), *parts), *parts).limit(n)
+    texts = [p.cast("string") for p in parts]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), *parts).limit(n)
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:

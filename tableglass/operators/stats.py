@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableglass.functions.columns import (
-    BOOLEAN, DATETIME, NUMERIC, class_of, field_of, groupable, is_integral, micros, number, percent,
+    BOOLEAN, DATETIME, NUMERIC, class_of, field_of, from_micros, groupable, is_integral, micros, number, percent,
     raw, value,
 )
 from tableglass.functions.moments import sample_kurtosis, sample_skewness
 from tableglass.plans.distinct import distinct_counts
+from tableglass.plans.names import free, keyed, unkeyed
 from tableglass.plans.quantiles import exact_quantiles, quantile_columns
 from tableglass.plans.reports import column_report
 
@@ -75,7 +76,7 @@ def aggregate(df: DataFrame, column: str, statistic: str) -> Column:
         if statistic in ("min", "max"):
             return getattr(F, statistic)(raw(column))
         if statistic == "mean":
-            return from_micros(F.avg(micros(raw(column)).cast("decimal(20,0)")), data_type)
+            return from_micros(F.avg(micros(raw(column), data_type).cast("decimal(20,0)")), data_type)
         raise ValueError(f"{statistic!r} is not defined for dates ({column!r})")
     whole = is_integral(data_type) or isinstance(data_type, T.DecimalType)
     v = value(df, column) if whole else number(df, column)
@@ -93,12 +94,6 @@ def aggregate(df: DataFrame, column: str, statistic: str) -> Column:
     return of_doubles[statistic](d)
 
 
-def from_micros(m: Column, data_type: T.DataType) -> Column:
-    """Epoch microseconds back to the column's timestamp type (dates become timestamps)."""
-    kind = "timestamp" if isinstance(data_type, T.DateType) else data_type.simpleString()
-    return F.timestamp_micros(F.round(m).cast("bigint")).cast(kind)
-
-
 def stat(
     df: DataFrame, columns: Sequence[str] | str, operation: str = "all", *,
     p: float | None = None, accuracy: int | None = None,
@@ -204,12 +199,13 @@ def quick_stats_categorical(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None, dropna: bool = True) -> DataFrame:
-    """(column, count) by falling count, equal counts by value; the ``n`` first if given."""
-    v = value(df, column).alias(column)
+    """(column, count) by falling count, equal counts by value; the ``n`` first if given. The counts of a column named ``count``
+    are called ``count_``."""
+    v = value(df, column).alias("value")
     counts = (df.filter(value(df, column).isNotNull()) if dropna else df).groupBy(v).agg(
-        F.count(F.lit(1)).alias("count"))
-    ordered = counts.orderBy(F.desc("count"), raw(column).asc_nulls_last())
-    return ordered if n is None else ordered.limit(n)
+        F.count(F.lit(1)).alias("cnt"))
+    ordered = counts.orderBy(F.desc("cnt"), F.col("value").asc_nulls_last())
+    return (ordered if n is None else ordered.limit(n)).toDF(column, free("count", [column]))
 
 
 def mode_of(df: DataFrame, column: str) -> DataFrame:
@@ -258,7 +254,8 @@ def grouped_stat(
     """(by, <operation>_<column>...): rows with a missing key are left out.
 
     Several columns stand side by side; all come from one aggregate, without a join. An unknown
-    operation gives the seven statistics of :func:`grouped_all` for the first usable column.
+    operation gives the seven statistics of :func:`grouped_all` for the first usable column. A result
+    with the key's name gets an underscore.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     name = canonical(operation)
@@ -272,34 +269,34 @@ def grouped_stat(
     if name in QUARTILES or name == "percentile":
         probability = p if name == "percentile" else QUARTILES[name]
         return grouped_quantile(df, columns, probability, operation, by, accuracy)
-    key = value(df, by)
-    return df.filter(key.isNotNull()).groupBy(key.alias(by)).agg(
-        *[aggregate(df, c, name).alias(f"{operation}_{c}") for c in columns])
+    df, (key,) = keyed(df, [by])
+    return unkeyed(df.filter(raw(key).isNotNull()).groupBy(key).agg(
+        *[aggregate(df, c, name).alias(f"{operation}_{c}") for c in columns]), [by])
 
 
 def grouped_quantile(
     df: DataFrame, columns: Sequence[str], p: float, operation: str, by: str, accuracy: int | None = None,
 ) -> DataFrame:
-    key = value(df, by)
-    groups = df.filter(key.isNotNull()).groupBy(key.alias(by))
+    df, (key,) = keyed(df, [by])
+    groups = df.filter(raw(key).isNotNull()).groupBy(key)
     if accuracy is not None:
-        return groups.agg(*[
-            F.percentile_approx(number(df, c), F.lit(p), F.lit(accuracy)).alias(f"{operation}_{c}") for c in columns])
-    found = exact_quantiles(df, columns, [p], [by])
-    side_by_side = found.groupBy(raw(by)).agg(*[
+        return unkeyed(groups.agg(*[
+            F.percentile_approx(number(df, c), F.lit(p), F.lit(accuracy)).alias(f"{operation}_{c}") for c in columns]), [by])
+    found = exact_quantiles(df, columns, [p], [key])
+    side_by_side = found.groupBy(raw(key)).agg(*[
         F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{operation}_{c}") for c in columns])
     dated = [raw(f"{operation}_{c}") if class_of(field_of(df, c).dataType) != DATETIME
              else from_micros(raw(f"{operation}_{c}"), field_of(df, c).dataType) for c in columns]
     # groups whose values are all missing have no quantile but keep their row
-    return groups.agg(F.count(F.lit(1)).alias("rows")).join(side_by_side, by, "left").select(
-        raw(by), *[d.alias(f"{operation}_{c}") for d, c in zip(dated, columns)])
+    return unkeyed(groups.agg(F.count(F.lit(1)).alias("__tg_rows")).join(side_by_side, key, "left").select(
+        raw(key), *[d.alias(f"{operation}_{c}") for d, c in zip(dated, columns)]), [by])
 
 
 def grouped_all(df: DataFrame, column: str, by: str) -> DataFrame:
-    """(by, mean, sum, min, max, median, std, count)."""
+    """(by, mean, sum, min, max, median, std, count); a statistic with the key's name gets an underscore."""
     column = usable(df, [column], "std")[0]
-    key = value(df, by)
-    rest = df.filter(key.isNotNull()).groupBy(key.alias(by)).agg(
+    df, (key,) = keyed(df, [by])
+    rest = df.filter(raw(key).isNotNull()).groupBy(key).agg(
         *[aggregate(df, column, s).alias(s) for s in GROUPED_ALL if s != "median"])
-    medians = quantile_columns(df, [column], {"median": 0.5}, [by]).drop("column", "n")
-    return rest.join(medians, by, "left").select(raw(by), *GROUPED_ALL)
+    medians = quantile_columns(df, [column], {"median": 0.5}, [key]).drop("column", "n")
+    return unkeyed(rest.join(medians, key, "left").select(raw(key), *GROUPED_ALL), [by])

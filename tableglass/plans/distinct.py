@@ -28,7 +28,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         elif is_integral(data_type):
             whole = raw(c).cast("bigint")
         elif kind == DATETIME:
-            whole = micros(raw(c))
+            whole = micros(raw(c), data_type)
         elif kind == OTHER:
             text = F.to_json(F.when(raw(c).isNotNull(), F.struct(groupable(raw(c), data_type).alias("v"))))
         else:

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new path below the shared folder named by ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs in one local process (tests) a local folder is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tableglass-")
+    """A new path in the folder named by ``spark.checkpoint.dir``, or in the warehouse where that is unset: both are shared by
+    all executors of a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/tableglass-{uuid.uuid4().hex}"

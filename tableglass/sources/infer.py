@@ -19,6 +19,7 @@ DATE_LIKE = r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 DATE_LIKE_SHARE, PARSED_SHARE = 0.5, 0.8
 DATE_FORMATS = ["", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]  # "" is ISO 8601
 DAY, MONTH, YEAR = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])", "[0-9]{4}"
+PLAIN_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 FLOAT32_TOLERANCE = 5e-4
 INTEGER_RANGES = {"tinyint": 2**7, "smallint": 2**15, "int": 2**31}
 
@@ -37,8 +38,10 @@ def parsed(column: Column, date_format: str) -> Column:
 
 
 def as_number(column: Column) -> Column:
-    """A decimal comma reads as a point; white space does not count."""
-    return F.regexp_replace(F.replace(column, F.lit(","), F.lit(".")), r"(?U)\s+", "").try_cast("double")
+    """A decimal comma reads as a point; white space does not count. Words for numbers (NaN, Infinity) and Java's suffixes (1d, 2f)
+    are no numbers."""
+    plain = F.regexp_replace(F.replace(column, F.lit(","), F.lit(".")), r"(?U)\s+", "")
+    return F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double"))
 
 
 def ratio(part: Column) -> Column:
