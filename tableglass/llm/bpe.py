@@ -23,7 +23,7 @@ from tableglass.llm.common import small_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ({"s", "t", "m", "d"}, {"re", "ve", "ll"})
 OTHER, LETTER, NUMBER, WHITE = range(4)
-CACHE = 600_000  # words kept by a worker; then it starts anew
+CACHE = 300_000  # words kept by a worker, and pieces of them; then it starts anew
 LONG = 1 << 20  # code points from which a text is handled in portions
 SAFE = re.compile(r"[A-Za-z0-9] [A-Za-z0-9]")
 
@@ -156,7 +156,7 @@ class Codec:
                 if ids is None:
                     ids = pack(self.piece(part))
                     if len(part) < 64:
-                        if len(self.pieces) >= CACHE:
+                        if len(self.pieces) >= CACHE // 10:
                             self.pieces.clear()
                         self.pieces[part] = ids
                 parts.append(ids)

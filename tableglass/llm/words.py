@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
-BLOCK = 1 << 20  # bytes hashed at a time
+BLOCK = 1 << 19  # bytes hashed at a time; also words, for windows
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of words that are letters, digits or not ASCII.
@@ -20,21 +18,20 @@ BASE = 0x9E3779B97F4A7C15 | 1
 WINDOW_BASES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=None)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64 and their inverses."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(1 << bits, np.uint64)
-        for i in range(bits):  # doubling
-            p[1 << i:2 << i] = p[:1 << i] * np.uint64(pow(b, 1 << i, 1 << 64))
-        out.append(p)
-    return out[0], out[1]
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(12, int(n).bit_length()))
+    """At least n powers of an odd number modulo 2^64, and of its inverse; the longest table of a base is kept."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        bits, out = max(12, (n - 1).bit_length()), []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(1 << bits, np.uint64)
+            for i in range(bits):  # doubling
+                p[1 << i:2 << i] = p[:1 << i] * np.uint64(pow(b, 1 << i, 1 << 64))
+            out.append(p)
+        _tables[base] = (out[0], out[1])
+    return _tables[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,6 +82,8 @@ def window_hashes(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if n > BLOCK:
+        return np.concatenate([window_hashes(words[a:min(a + BLOCK, n) + size - 1], size, lane) for a in range(0, n, BLOCK)])
     up, down = powers(WINDOW_BASES[lane], len(words))
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum((mix(words ^ np.uint64(0x5851F42D4C957F2D)) if lane else words) * up[:len(words)], out=total[1:])
