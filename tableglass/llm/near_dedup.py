@@ -156,30 +156,38 @@ def _similar_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
 
 
-def _alike(sketches: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs whose sketches agree in so many bins that they may reach the threshold (five standard deviations below it)."""
-    m = len(sketches)
-    same, some = np.zeros((m, m), np.int32), np.zeros((m, m), np.int32)
-    for b in range(BINS):
-        s = sketches[:, b]
-        filled = s > 0
-        some += filled[:, None] | filled[None, :]
-        same += (s[:, None] == s[None, :]) & filled[:, None]
-    some = np.maximum(some, 1)
-    return same / some >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / some)
+def _alike(sketches: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the pairs whose sketches agree in so many bins that they may reach the threshold (five standard deviations below it)."""
+    out = np.zeros_like(pairs)
+    first, second = np.nonzero(pairs)
+    for a in range(0, len(first), 1 << 14):
+        i, j = first[a:a + (1 << 14)], second[a:a + (1 << 14)]
+        x, y = sketches[i], sketches[j]
+        some = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+        same = ((x == y) & (x > 0)).sum(axis=1)
+        out[i, j] = same / some >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / some)
+    return out
 
 
 def _needed(members: DataFrame, threshold: float) -> DataFrame:
-    """(leaf, rec) of the sets that have to be looked at in a group, judged by sizes, sketches and the other groups."""
-    def run(group: pa.Table) -> pa.Table:
-        leaf, group = group.column("leaf")[0].as_py(), group.combine_chunks()
-        n = np.asarray(group.column("n"))
-        pairs = _unseen(leaf, [np.asarray(x.values) for x in group.column("leaves")]) & _similar_sizes(n, threshold)
-        if pairs.any():
-            pairs &= _alike(np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sketch")]), threshold)
-        keep = pairs.any(axis=0) | pairs.any(axis=1)
-        return pa.table({"leaf": group.column("leaf"), "rec": group.column("rec")}).filter(pa.array(keep))
-    return members.groupBy("leaf").applyInArrow(run, "leaf bigint, rec bigint")
+    """(leaf, rec) of the sets that have to be looked at in a group, judged by sizes, sketches and the other groups. Groups are
+    dealt out in buckets of many, none of which is larger than a few groups."""
+    total = members.count()
+
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.combine_chunks().sort_by("leaf")
+        leaf, n = np.asarray(bucket.column("leaf")), np.asarray(bucket.column("n"))
+        sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        leaves, keep = bucket.column("leaves"), np.zeros(len(leaf), bool)
+        cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(leaf)]):
+            pairs = np.triu(_similar_sizes(n[a:b], threshold), 1)
+            if pairs.any() and (pairs := _alike(sketches[a:b], pairs, threshold)).any():
+                pairs &= _unseen(int(leaf[a]), [np.asarray(x.values) for x in leaves.slice(a, b - a)])
+                keep[a:b] = pairs.any(axis=0) | pairs.any(axis=1)
+        return bucket.select(["leaf", "rec"]).filter(pa.array(keep))
+    buckets = F.pmod(F.xxhash64("leaf"), F.lit(total // 5000 + 1))
+    return members.groupBy(buckets.alias("bucket")).applyInArrow(run, "leaf bigint, rec bigint")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
