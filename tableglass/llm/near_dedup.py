@@ -197,11 +197,11 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     shared = counts[token] > 1
     who, token = who[shared], token[shared]
     number = np.cumsum(counts > 1) - 1
-    token = number[token]
-    out, width = np.zeros((m, m), np.float32), max(256, (1 << 23) // m)
+    token, n_shared = number[token], int(number[-1]) + 1
+    out, width = np.zeros((m, m), np.float32), max(256, min(n_shared, (1 << 23) // m))
     order = np.argsort(token, kind="stable")
     who, token = who[order], token[order]
-    for a in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+    for a in range(0, n_shared, width):
         part = slice(*np.searchsorted(token, [a, a + width]))
         x = np.zeros((m, width), np.float32)
         x[who[part], token[part] - a] = 1
