@@ -23,10 +23,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: lineage ends here, and what a task has numbered stays."""
-    path = shared_path(df.sparkSession, name)
+    """The table written to the shared folder and read again: lineage ends here, and what a task has numbered stays.
+
+    Spark deletes the shuffle files of a finished job once the driver has collected its garbage, which a driver with little to
+    do puts off; so this asks for it.
+    """
+    path, spark = shared_path(df.sparkSession, name), df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

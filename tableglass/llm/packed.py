@@ -125,8 +125,8 @@ def message(chunk: int, bucket: int, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], NAMES)
 
 
-def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]], name: str, make: Callable | None = None) -> DataFrame:
-    """Each chunk's messages (bucket, body), stored. Messages to buckets below 0 are kept for the chunk itself. ``chunks``: with
+def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]], name: str | None = None, make: Callable | None = None) -> DataFrame:
+    """Each chunk's messages (bucket, body), stored if there is a name. Messages to buckets below 0 are kept for the chunk itself. ``chunks``: with
     a column ``mail`` of messages to the chunk, if there are any yet. The question gets the chunk and its mail, or what ``make``
     makes of the row and the mail."""
     has_mail = "mail" in chunks.columns
@@ -141,7 +141,8 @@ def ask(chunks: DataFrame, question: Callable[..., Iterator[tuple[int, bytes]]],
                     part = out[a:a + 64]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([row[0]] * len(part), pa.int64()), pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], NAMES)
-    return stored(chunks.mapInArrow(run, MESSAGES), name)
+    messages = chunks.mapInArrow(run, MESSAGES)
+    return stored(messages, name) if name else messages
 
 
 def answer(messages: DataFrame, reply: Callable[[np.ndarray, list[bytes]], list[bytes]]) -> DataFrame:

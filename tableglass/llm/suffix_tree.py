@@ -232,7 +232,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
         return np.flatnonzero(t.two())
 
     def asked(known: DataFrame, question: Callable, name: str) -> DataFrame:
-        return stored(answer(ask(known, question, name, tokens), _reply), name)
+        return stored(answer(ask(known, question, make=tokens), _reply), name)
 
     first = asked(chunks, words, "words")
     facts = F.split(F.decode("body", "UTF-8"), ",")
