@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A group of more than this share of all rows is hot; so there are at most HOT_SHARE hot groups, whatever the size.
 HOT_SHARE = 10_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,12 +26,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read again: lineage ends here, and what a task has numbered stays.
 
-    Spark deletes the shuffle files of a finished job once the driver has collected its garbage, which a driver with little to
-    do puts off; so this asks for it.
+    The shuffle files of the job are deleted when it ends: nothing reads them any more.
     """
     path, spark = shared_path(df.sparkSession, name), df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
