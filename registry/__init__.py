@@ -24,3 +24,16 @@ def rounded(df: DataFrame, digits: int = 6, **others: int) -> DataFrame:
 def union(columns: list[str], template: str) -> str:
     """The SELECT once per column, ``{c}`` standing for its name."""
     return "\nUNION ALL\n".join(template.replace("{c}", c) for c in columns)
+
+
+def large(query):
+    """The query with exact quantiles as large tables take them, whatever the size."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        key = "tableglass.quantiles.bufferRows"
+        before = spark.conf.get(key, None)
+        spark.conf.set(key, "0")
+        try:
+            return query(spark, folder)  # the way is chosen as the plan is made
+        finally:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return run

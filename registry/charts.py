@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry import rounded, table
+from registry import large, rounded, table
 from registry.stats import WITH_NULLS, with_nulls
 from tableglass.operators import charts
 from tableglass.operators.stats import value_counts
@@ -125,6 +125,8 @@ QUERIES = {
     "area_series": lambda s, d: rounded(charts.area_series(orders(s, d), "o_orderdate", "o_totalprice", "o_orderpriority"), 2),
     "violin_density": lambda s, d: rounded(charts.violin_density(events(s, d), "value", "event_type"), 5, density=9),
     "violin_density_whole": lambda s, d: rounded(charts.violin_density(events(s, d), "value", grid=50, bins=256), 5, density=9),
+    "box_summary_large": large(lambda s, d: rounded(charts.box_summary(with_nulls(s, d), "value", "event_type"))),
+    "violin_density_large": large(lambda s, d: rounded(charts.violin_density(grouped_events(s, d), "value", "kind", "side"), 5, density=9)),
     # the counting form of the exact quantiles, which large tables take
     "quantiles_by_counting": lambda s, d: rounded(quantiles_by_counting(
         lineitem(s, d), ["l_extendedprice", "l_quantity", "l_partkey"], [0.01, 0.25, 0.5, 0.75, 0.99])),
@@ -186,3 +188,5 @@ SQL = {
         round(quantile_cont({c}, CAST({p} AS DOUBLE)), 6) AS quantile FROM lineitem GROUP BY 1, 2"""
         for c in ("l_extendedprice", "l_tax") for p in (0.25, 0.5, 0.9)),
 }
+
+SQL |= {"box_summary_large": SQL["box_summary"], "violin_density_large": SQL["violin_density_groups"]}

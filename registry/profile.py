@@ -20,13 +20,13 @@ def orders(s, d):
 
 
 def labelled(s, d):
-    """documents with their labels, missing for most; the texts themselves left out."""
+    """documents with their labels, missing for most."""
     docs = table(s, d, "documents")
     return docs.join(table(s, d, "labels"), "doc_id", "left").select(
-        "doc_id", "lang", "source", "n_chars", "quality", "toxic")
+        "doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
 
 
-LABELLED = "(SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) t"
+LABELLED = "(SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) t"
 
 
 def per_order_column(select):
@@ -109,7 +109,7 @@ def document_texts(s, d):
         F.date_format(F.timestamp_seconds(F.col("doc_id") * 86400), "yyyy-MM-dd").alias("day"))
 
 
-WARNED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+WARNED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 TOP5 = """SELECT '{c}' AS "column", {c} AS value, count(*) AS "count",
   (SELECT count(DISTINCT {c}) = 2 FROM orders) AS is_boolean FROM orders WHERE {c} IS NOT NULL GROUP BY {c}
   QUALIFY row_number() OVER (ORDER BY count(*) DESC, {c}) <= 5"""
@@ -125,6 +125,10 @@ QUERIES = {
     "profile_categorical": lambda s, d: profile.profile_categorical(orders(s, d)),
     "profile_warnings": lambda s, d: profile.profile_warnings(labelled(s, d)),
     "profile": lambda s, d: profile.profile(orders(s, d))["columns"],
+    "profile_whole_overview": lambda s, d: profile.profile(orders(s, d))["overview"],
+    "profile_whole_numeric": lambda s, d: rounded(profile.profile(with_nulls(s, d))["numeric"], 5),
+    "profile_whole_categorical": lambda s, d: profile.profile(orders(s, d))["categorical"],
+    "profile_whole_warnings": lambda s, d: profile.profile(labelled(s, d))["warnings"],
     "logical_types": lambda s, d: profile.logical_types(orders(s, d)),
     "logical_types_texts": lambda s, d: profile.logical_types(document_texts(s, d)),
     "suggest_types": lambda s, d: profile.suggest_types(orders(s, d)),
@@ -152,7 +156,7 @@ SQL = {
     "profile_columns": "\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) - count({c}) AS null_count,
       round(100.0 * (count(*) - count({c})) / CAST(count(*) AS DOUBLE), 2) AS null_pct,
       count(DISTINCT {c}) AS unique_count, {b} AS bytes FROM {LABELLED}""" for c, t, b in [
-          ("doc_id", "bigint", "8 * count(doc_id)"), ("lang", "string", "CAST(sum(strlen(lang)) AS BIGINT)"),
+          ("doc_id", "bigint", "8 * count(doc_id)"), ("text", "string", "CAST(sum(strlen(text)) AS BIGINT)"), ("lang", "string", "CAST(sum(strlen(lang)) AS BIGINT)"),
           ("source", "string", "CAST(sum(strlen(source)) AS BIGINT)"), ("n_chars", "bigint", "8 * count(n_chars)"),
           ("quality", "int", "4 * count(quality)"), ("toxic", "int", "4 * count(toxic)")]),
     "profile_numeric": "\nUNION ALL\n".join(numbers_select(c) + WITH_NULLS for c in ("event_id", "user_id", "value")),
@@ -196,3 +200,5 @@ SQL = {
       UNION ALL """ + union(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], """SELECT '{c}', 'double',
         CASE WHEN max(abs({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE))) <= 5e-4 THEN 'float' ELSE 'double' END FROM lineitem"""),
 }
+
+SQL |= {f"profile_whole_{part}": SQL[f"profile_{part}"] for part in ("overview", "numeric", "categorical", "warnings")}

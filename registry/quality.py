@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry import rounded, table, union
+from registry import large, rounded, table, union
 from registry.profile import LABELLED, WARNED, labelled
 from registry.stats import WITH_NULLS, with_nulls
 from tableglass.operators import quality
@@ -33,7 +33,7 @@ def fences(column, of):
 
 VALUE = fences("value", "events")
 MISSING = f"""SELECT * FROM ({union(WARNED, f'''SELECT '{{c}}' AS "column", count(*) - count({{c}}) AS missing, count(*) AS n,
-  '{{c}}' IN ('lang', 'source') AS is_text, abs(skewness(CASE WHEN '{{c}}' IN ('lang', 'source') THEN NULL ELSE
+  '{{c}}' IN ('text', 'lang', 'source') AS is_text, abs(skewness(CASE WHEN '{{c}}' IN ('text', 'lang', 'source') THEN NULL ELSE
   TRY_CAST({{c}} AS DOUBLE) END)) AS skew FROM {LABELLED}''')}) WHERE missing > 0"""
 
 
@@ -49,6 +49,7 @@ def outlier_sql(select):
 
 
 QUERIES = {
+    "outliers_iqr_all_large": large(lambda s, d: quality.outliers_iqr_all(measured(s, d))),
     "missing_report": lambda s, d: quality.missing_report(labelled(s, d)),
     "missing_recommendations": lambda s, d: quality.missing_recommendations(labelled(s, d)),
     "missing_recommendations_skewed": lambda s, d: quality.missing_recommendations(with_nulls(s, d)),
@@ -139,3 +140,5 @@ SQL = {
       UNION ALL SELECT 'SINGLE_GROUP', 'info', 'l_linestatus', ul, ul = 1 FROM f)
       SELECT code, level, "column", round(CAST(measure AS DOUBLE), 6) AS measure FROM r WHERE hit""",
 }
+
+SQL["outliers_iqr_all_large"] = SQL["outliers_iqr_all"]

@@ -34,23 +34,50 @@ def bad_lines(s, d):
     line = F.when(F.col("o_orderkey") % 10 == 0, F.concat_ws(";", *fields, F.lit("extra"))).when(
         F.col("o_orderkey") % 11 == 0, F.concat_ws(";", *fields[:2])).otherwise(F.concat_ws(";", *fields))
     lines = df.select(line.alias("value"))
-    path = scratch_folder(s)
-    rows = written(s, lines, "text")
-    # every file of a CSV folder starts with the header
-    with_header = s.read.text(rows, wholetext=True).select(F.concat(F.lit("key;customer;status\n"), "value").alias("value"))
-    with_header.write.text(path)
-    return path
+    # a column named like the header, and a separator and quotes that occur in no line
+    return written(s, lines.withColumnRenamed("value", "key;customer;status"), "csv", header=True, sep="\x01", quote="\x02", escape="\x03")
 
 
 def json_lines(s, d):
-    return written(s, orders(s, d).drop("o_orderdate"), "json")
+    return written(s, orders(s, d), "json")
+
+
+def bad_json_lines(s, d):
+    """Orders as lines of JSON, every tenth cut off."""
+    df = orders(s, d)
+    line = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
+    return written(s, df.select(F.when(F.col("o_orderkey") % 10 == 0, F.substr(line, F.lit(1), F.lit(20))).otherwise(line).alias("value")), "text")
+
+
+def as_document(s, records, before, after, each=1000):
+    """JSON documents of up to about ``each`` records, spread over lines, a file for each."""
+    parts = records.withColumn("part", F.floor(F.xxhash64("record").cast("double") / 2.0**64 * F.ceil(F.lit(records.count() / each))))
+    text = parts.groupBy("part").agg(F.concat(
+        F.lit(before), F.array_join(F.array_sort(F.collect_list("record")), ",\n"), F.lit(after)).alias("value")).select("value")
+    return written(s, text, "text", maxRecordsPerFile=1)
+
+
+def mixed(s, first, second):
+    """A folder of folders: the first half of a table written one way, the second half another way."""
+    path = scratch_folder(s)
+    for name, (df, options) in {"a": first, "b": second}.items():
+        df.write.options(header=True, **options).csv(f"{path}/{name}")
+    return f"{path}/*"
+
+
+def mixed_separators(s, d):
+    df = orders(s, d).drop("o_orderdate")
+    return mixed(s, (df.filter("o_orderkey % 2 = 0"), {"sep": ";"}), (df.filter("o_orderkey % 2 = 1"), {"sep": ","}))
 
 
-def as_document(s, records, before, after):
-    """One JSON document per table: the records joined in one text, spread over lines."""
-    text = records.agg(F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list("record")), ",\n"),
-                                F.lit(after)).alias("value"))
-    return written(s, text, "text")
+def mixed_encodings(s, d):
+    df = french(s, d)
+    return mixed(s, (df.filter("c_custkey % 2 = 0"), {"sep": "|", "encoding": "ISO-8859-1"}), (df.filter("c_custkey % 2 = 1"), {"sep": "|"}))
+
+
+def one_element(s, d):
+    """A list with one nested object."""
+    return as_document(s, nested(s, d).filter("o_orderkey = 1").select(F.to_json(F.struct("*")).alias("record")), "[\n", "\n]")
 
 
 def json_records(s, d):
@@ -97,15 +124,21 @@ QUERIES = {
         detect.detect_encoding(s, written(s, french(s, d), "csv")).select("encoding").distinct()),
     "read_csv_report_bad": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[0],
     "read_csv_bad_lines": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[1],
-    "read_json_lines": lambda s, d: readers.read_json_auto(s, json_lines(s, d)),
+    "read_csv_mixed_separators": lambda s, d: readers.read_csv_auto(s, mixed_separators(s, d)),
+    "read_csv_mixed_encodings": lambda s, d: readers.read_csv_auto(s, mixed_encodings(s, d)),
+    "read_json_lines": lambda s, d: readers.read_json_auto(s, json_lines(s, d)).withColumn("o_orderdate", F.to_timestamp_ntz("o_orderdate")),
+    "read_json_good_lines": lambda s, d: readers.read_json_report_bad(s, bad_json_lines(s, d))[0],
+    "read_json_bad_lines": lambda s, d: readers.read_json_report_bad(s, bad_json_lines(s, d))[1],
+    "read_json_one_element": lambda s, d: readers.read_json_auto(s, one_element(s, d)).select(
+        "o_orderkey", "order.o_totalprice", "order.state.o_orderstatus", "order.state.o_orderpriority"),
     "read_json_array": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), "[\n", "\n]")),
     "read_json_root": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), '{"data": [\n', "\n]}")),
     "read_json_object": lambda s, d: readers.read_json_auto(s, one_object(s, d)),
     "flatten_struct": lambda s, d: readers.flatten_struct(nested(s, d)),
     "read_parquet": lambda s, d: readers.read_parquet(s, f"{d}/orders.parquet"),
     "read_text_lines": lambda s, d: readers.read_text_lines(s, written(s, table(s, d, "part").select("p_name"), "text")),
-    "read_any_csv": lambda s, d: readers.read_any(s, csv(s, d, sep="|"))[0].select("o_orderkey", "o_totalprice", "o_orderpriority"),
-    "read_any_json": lambda s, d: readers.read_any(s, json_lines(s, d))[0],
+    "read_any_csv": lambda s, d: readers.read_any(s, csv(s, d, sep="|"))[0].withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")),
+    "read_any_json": lambda s, d: readers.read_any(s, json_lines(s, d))[0].withColumn("o_orderdate", F.to_timestamp_ntz("o_orderdate")),
     "read_any_metadata": lambda s, d: readers.read_any(s, f"{d}/orders.parquet")[1].drop("size_bytes"),
     "write_csv": lambda s, d: exported(s, d, None),
     "write_csv_first": lambda s, d: exported(s, d, 1000),
@@ -143,7 +176,15 @@ SQL = {
       CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0""",
     "read_csv_bad_lines": """SELECT concat_ws(';', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, 'extra') AS line
       FROM orders WHERE o_orderkey % 10 = 0""",
-    "read_json_lines": f"SELECT {COLUMNS} FROM orders",
+    "read_csv_mixed_separators": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+      o_totalprice, o_orderpriority FROM orders""",
+    "read_csv_mixed_encodings": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, concat('marché été ', lower(c_mktsegment)) AS segment FROM customer",
+    "read_json_good_lines": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0",
+    "read_json_bad_lines": """SELECT left(concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey, ',"o_orderstatus":"', o_orderstatus, '"}'), 20) AS line
+      FROM orders WHERE o_orderkey % 10 = 0""",
+    "read_json_one_element": """SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority
+      FROM orders WHERE o_orderkey = 1""",
+    "read_json_lines": f"SELECT {COLUMNS}, o_orderdate FROM orders",
     "read_json_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
     "read_json_root": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
     "read_json_object": """SELECT count(*) AS orders, min(o_custkey) AS "customer.least", max(o_custkey) AS "customer.most" FROM orders""",
@@ -151,8 +192,9 @@ SQL = {
       o_orderpriority AS "order.state.o_orderpriority" FROM orders""",
     "read_parquet": "SELECT * FROM orders",
     "read_text_lines": "SELECT p_name AS content FROM part",
-    "read_any_csv": "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority FROM orders",
-    "read_any_json": f"SELECT {COLUMNS} FROM orders",
+    "read_any_csv": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+      o_totalprice, o_orderdate, o_orderpriority FROM orders""",
+    "read_any_json": f"SELECT {COLUMNS}, o_orderdate FROM orders",
     "read_any_metadata": """SELECT 'orders.parquet' AS filename, '.parquet' AS extension, 'Parquet' AS detected_format,
       count(*) AS rows, 6 AS columns FROM orders""",
     "write_csv": f"SELECT {COLUMNS} FROM orders",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry import rounded, table, union
+from registry import large, rounded, table, union
 from tableglass.operators import rows, stats
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -90,6 +90,8 @@ QUERIES = {
     "grouped_all": lambda s, d: rounded(stats.grouped_all(lineitem(s, d), "l_extendedprice", "l_returnflag"), 5, sum=2),
     "grouped_multi": lambda s, d: rounded(stats.grouped_stat(
         lineitem(s, d), ["l_quantity", "l_extendedprice", "l_discount"], "mean", "l_linestatus")),
+    "stat_all_large": large(lambda s, d: rounded(stats.stat(lineitem(s, d), NUMBERS), 5)),
+    "grouped_median_large": large(grouped("median", DOUBLES["median"][1])),
     "grouped_median_many_groups": lambda s, d: rounded(stats.grouped_stat(
         lineitem(s, d), ["l_quantity", "l_extendedprice"], "median", "l_orderkey")),
 }
@@ -151,3 +153,5 @@ SQL = {
     "grouped_median_many_groups": """SELECT l_orderkey, round(median(l_quantity), 6) AS median_l_quantity,
       round(median(l_extendedprice), 6) AS median_l_extendedprice FROM lineitem GROUP BY 1""",
 }
+
+SQL |= {"stat_all_large": SQL["stat_all"], "grouped_median_large": SQL["grouped_median"]}

@@ -56,12 +56,13 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return long.filter(F.col("value").isNotNull()).select(*keys, "column", "value")
 
 
-def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
-    """Whether the group keys number at most BROADCAST_GROUPS: one scan of the key columns alone."""
+def few_groups(df: DataFrame, by: Sequence[str], rows_each: int = 1) -> bool:
+    """Whether all groups together have at most BROADCAST_GROUPS rows, of which each has ``rows_each``: one scan of the key
+    columns alone."""
     if not by:
-        return True
+        return rows_each <= BROADCAST_GROUPS
     found = df.agg(F.approx_count_distinct(F.struct(*[raw(b) for b in by])).alias("n")).first()["n"]
-    return found <= BROADCAST_GROUPS
+    return found * rows_each <= BROADCAST_GROUPS
 
 
 # One statement for the three passes: buckets, slices of the open buckets, values of the open slices.
@@ -130,7 +131,7 @@ def quantiles_by_counting(
 ) -> DataFrame:
     keys = [*[f"by{i}" for i in range(len(by))], "column"]
     facts = long_values(df, columns, by).withColumn("bucket", log_bucket(F.col("value")))
-    few = few_groups(df, by)
+    few = few_groups(df, by, len(columns) * len(probs) * 2)
 
     at = [*keys, "bucket"]
 

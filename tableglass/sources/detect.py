@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,25 +12,13 @@ SEPARATORS = [",", ";", "\t", "|", ":"]
 SAMPLE_BYTES = 4096
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): the lines of the first block of each file, numbered in reading order."""
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         "value", F.monotonically_increasing_id().alias("line")).filter(F.col("start") == 0).drop("start")
 
 
-def sampled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines at the start of one file, the first by name.
-
-    Only as much of the file is read as the sample needs, however large it is.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path")
-    file = files.agg(F.min("path").alias("path")).first()["path"]
-    lines = spark.read.text(file).select(F.substring("value", 1, SAMPLE_BYTES).alias("value")).take(SAMPLE_BYTES)
-    return spark.createDataFrame(
-        [(file, i, r["value"]) for i, r in enumerate(lines)], "file string, line bigint, value string")
-
-
 def separators(lines: DataFrame) -> DataFrame:
     """(file, separator): the separator most frequent in the first 4096 bytes, a comma if none.
 
@@ -52,12 +42,12 @@ def separators(lines: DataFrame) -> DataFrame:
     return counted.select("file", best.alias("separator"))
 
 
-def detect_separator(spark: SparkSession, path: str) -> DataFrame:
+def detect_separator(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, separator) of every file."""
     return separators(numbered_lines(spark, path))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, encoding): UTF-16 or UTF-32 by byte order mark, UTF-8 if all bytes are valid, else
     ISO-8859-1. Lines arrive as raw bytes and every one is looked at, so the answer is not a guess
     from a prefix."""
@@ -70,14 +60,11 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
         F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
-def csv_separator(spark: SparkSession, path: str) -> str:
-    """The separator for reading all files of the path together: that of the first file."""
-    found = separators(sampled_lines(spark, path)).first()
-    return found["separator"] if found else SEPARATORS[0]
+def csv_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, separator, encoding) of every file that has a line."""
+    return separators(numbered_lines(spark, path)).join(detect_encoding(spark, path), "file")
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """An encoding that reads every file: the least special one that some file needs."""
-    rank = F.when(F.col("encoding") == "UTF-8", 0).when(F.col("encoding") == "ISO-8859-1", 1).otherwise(2)
-    found = detect_encoding(spark, path).agg(F.max_by("encoding", rank).alias("encoding")).first()
-    return found["encoding"] or "UTF-8"
+def file_name(uri: str) -> str:
+    """The path to read a file by, from the URI that Spark shows."""
+    return unquote(uri)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableglass.functions.columns import raw
-from tableglass.sources.detect import csv_encoding, csv_separator
+from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
 
 # The extensions of each format.
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -18,40 +20,74 @@ PARQUET_EXTENSIONS = (".parquet", ".pq")
 CORRUPT = "_corrupt_record"
 
 
-def csv_options(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> dict[str, str]:
-    sep = sep or csv_separator(spark, path)
-    encoding = encoding or csv_encoding(spark, path)
-    return {"sep": sep, "encoding": encoding, "header": "true", "escape": '"'}
+def csv_groups(spark: SparkSession, path: str, sep: str | None, encoding: str | None, multi_line: bool) -> list[tuple[dict[str, str], str | list[str]]]:
+    """(reader options, files) of the files that share separator and encoding; one row per file reaches the driver."""
+    def options(s: str, e: str) -> dict[str, str]:
+        # Spark finds no line ends in encodings of two or four bytes; such a file is read whole
+        whole = multi_line or e.upper().startswith(("UTF-16", "UTF-32"))
+        return {"sep": s, "encoding": e, "header": "true", "escape": '"', "multiLine": str(whole).lower()}
+    if sep and encoding:
+        return [(options(sep, encoding), path)]
+    groups = defaultdict(list)
+    for row in csv_facts(spark, path).collect():
+        groups[sep or row["separator"], encoding or row["encoding"]].append(file_name(row["file"]))
+    return [(options(*key), sorted(files)) for key, files in sorted(groups.items())] or [(options(sep or SEPARATORS[0], encoding or "UTF-8"), path)]
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables under their columns' names; a column that some lack is NULL there. Where types differ, numbers
+    become DOUBLE and all else text."""
+    kinds = defaultdict(set)
+    for f in (f for t in tables for f in t.schema.fields):
+        kinds[f.name].add(f.dataType)
+
+    def common(name: str) -> T.DataType | None:
+        if len(kinds[name]) == 1:
+            return None
+        return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds[name]) else T.StringType()
+    alike = [t.select(*[raw(c).cast(common(c)).alias(c) if common(c) else raw(c) for c in t.columns]) for t in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 def read_csv_auto(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-    schema: T.StructType | None = None, skip_bad: bool = True,
+    schema: T.StructType | None = None, skip_bad: bool = True, multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header; separator, encoding and types are found out unless given.
+    """CSV with a header; separator, encoding and types are found out unless given, the first two for each file.
 
     Lines with more fields than the header are skipped. ``skip_bad=False`` keeps their first fields
-    instead and lets Spark parse only the columns asked for.
+    instead and lets Spark parse only the columns asked for. ``multi_line=True`` accepts line breaks inside quotes; a file is
+    then read by one task, as one in UTF-16 or UTF-32 always is.
     """
     if skip_bad:
-        return read_csv_report_bad(spark, path, sep, encoding, schema)[0]
-    reader = spark.read.options(**csv_options(spark, path, sep, encoding))
-    return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
+        return read_csv_report_bad(spark, path, sep, encoding, schema, multi_line)[0]
+    tables = []
+    for options, files in csv_groups(spark, path, sep, encoding, multi_line):
+        reader = spark.read.options(**options)
+        tables.append(reader.schema(schema).csv(files) if schema else reader.csv(files, inferSchema=True))
+    return together(tables)
 
 
 def read_csv_report_bad(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): a line with more fields than the header is bad and left out of the
     rows; one with fewer is filled with NULL. Bad lines come as (line)."""
-    options = csv_options(spark, path, sep, encoding)
+    parts = [_csv_part(spark, files, options, schema) for options, files in csv_groups(spark, path, sep, encoding, multi_line)]
+    return together([good for good, _ in parts]), together([bad for _, bad in parts])
+
+
+def _csv_part(
+    spark: SparkSession, files: str | list[str], options: dict[str, str], schema: T.StructType | None,
+) -> tuple[DataFrame, DataFrame]:
+    reader = spark.read.options(**options)
     if schema is None:
-        schema = spark.read.options(**options).csv(path, inferSchema=True).schema
+        schema = reader.csv(files, inferSchema=True).schema
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     # without pruning: a line is judged by all its fields, whichever are asked for
     lines = spark.read.options(**options, columnPruning="false").schema(marked).csv(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        files, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     unquoted = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(options["sep"]), F.lit(""))) + 1
     too_many = F.coalesce(fields > len(schema.fields), F.lit(False))
@@ -73,26 +109,41 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     return df.select(*[c for f in df.schema.fields for c in leaves(raw(f.name), f.name, f.dataType)])
 
 
+def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files by layout, from their first line that is not blank: ``list`` where it begins with [, ``object`` where it begins
+    with a { that does not close on the line, else ``lines``. A single file with a single line is an ``object`` too."""
+    text = F.trim("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("text"),
+                                         F.monotonically_increasing_id().alias("line")).filter(F.col("text") != "")
+    first = F.min_by(F.struct(F.substring("text", 1, 1).alias("mark"), F.from_json("text", "map<string,string>").isNotNull().alias("whole")), "line")
+    files = lines.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("lines")).collect()
+    found = defaultdict(list)
+    for row in files:
+        mark, whole = row["first"]["mark"], row["first"]["whole"]
+        alone = len(files) == 1 and row["lines"] == 1
+        found["list" if mark == "[" else "object" if mark == "{" and (alone or not whole) else "lines"].append(file_name(row["file"]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
 def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
-    """JSON in any of four layouts: one object per line; a list of objects; one object holding a
+    """JSON in any of four layouts, found out for each file: one object per line; a list of objects; one object holding a
     single list (its elements become the rows); one other object (flattened to one row).
 
-    The layout follows from the inferred schema. Lines are tried first because only they can be
-    read in parallel; a document spread over lines shows up as corrupt lines.
+    Lines are read in parallel, a document by one task. What is no JSON is an error, never left out;
+    :func:`read_json_report_bad` returns bad lines beside the good ones.
     """
-    lines = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    by_document = CORRUPT in lines.columns
-    df = lines
-    if by_document:
-        df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=True)
+    tables = []
+    for layout, files in sorted(json_layouts(spark, path).items()):
+        df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(files, multiLine=layout != "lines")
         if CORRUPT in df.columns:
-            raise ValueError(f"not JSON in any known layout: {path}")
+            raise ValueError(f"{path}: not JSON in any known layout, or lines that are malformed (read_json_report_bad shows them)")
+        tables.append(_of_object(df) if layout == "object" else df)
+    return together(tables) if tables else spark.createDataFrame([], T.StructType())
+
+
+def _of_object(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
-    nested = any(isinstance(f.dataType, T.StructType) for f in fields)
-    single_list = len(fields) == 1 and isinstance(fields[0].dataType, T.ArrayType)
-    if not (nested or single_list) or len(df.select(F.lit(1).alias("one")).take(2)) != 1:
-        return df
-    if single_list:
+    if len(fields) == 1 and isinstance(fields[0].dataType, T.ArrayType):
         name = fields[0].name
         if isinstance(fields[0].dataType.elementType, T.StructType):
             return df.select(F.inline(raw(name)))
@@ -100,6 +151,19 @@ def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
     return flatten_struct(df)
 
 
+def read_json_report_bad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad lines) of files with one object per line. Bad lines come as (line)."""
+    found = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    fields = [f for f in found.schema.fields if f.name != CORRUPT]
+    marked = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.schema(marked).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    names = [raw(f.name) for f in fields]
+    # as for CSV, the test names a parsed field as well
+    read = names[0].isNull() | names[0].isNotNull() if names else F.lit(True)
+    bad = F.col(CORRUPT).isNotNull()
+    return lines.filter(read & ~bad).select(*names), lines.filter(read & bad).select(F.col(CORRUPT).alias("line"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

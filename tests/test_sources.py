@@ -113,3 +113,51 @@ def test_write_csv_and_sales(spark):
     assert back.count() == 1000 and dict(back.dtypes)["Client_Satisfait"] == "boolean"
     with pytest.raises(ValueError):
         writers.write_csv(demo, path, 10)
+
+
+def test_each_file_has_its_own_separator_and_encoding(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(b"k;v\n1;2\n")
+    (folder / "b c%.csv").write_bytes(b"k,v\n3,4\n")
+    (folder / "d.csv").write_bytes("k|v\né|5\n".encode("latin-1"))
+    (folder / "e.csv").write_bytes("k|v\nü|6\n".encode())
+    (folder / "f.csv").write_bytes("k,v\nà,7\n".encode("utf-16"))
+    rows = {tuple(map(str, r)) for r in readers.read_csv_auto(spark, str(folder)).select("k", "v").collect()}
+    assert rows == {("1", "2"), ("3", "4"), ("é", "5"), ("ü", "6"), ("à", "7")}
+    assert readers.read_csv_auto(spark, str(folder), skip_bad=False).count() == 5
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = put(tmp_path, "a.csv", 'k,v\n1,"a\nb"\n2,c\n')
+    assert {tuple(r) for r in readers.read_csv_auto(spark, path, multi_line=True).collect()} == {(1, "a\nb"), (2, "c")}
+
+
+def test_bad_json_is_never_lost(spark, tmp_path):
+    text = "".join(f'{{"a": {i}}}\n' for i in range(999)) + '{"a": \n'
+    path = put(tmp_path, "a.json", text)
+    with pytest.raises(ValueError):
+        readers.read_json_auto(spark, path)
+    good, bad = readers.read_json_report_bad(spark, path)
+    assert good.count() == 999 and [r["line"] for r in bad.collect()] == ['{"a": ']
+    whole = readers.read_json_report_bad(spark, put(tmp_path, "b.json", '{"a": 1}\n'))
+    assert whole[0].count() == 1 and whole[1].count() == 0
+
+
+def test_columns_do_not_depend_on_the_number_of_rows(spark, tmp_path):
+    one, two = '{"a": 1, "b": {"c": 2}}', '{"a": 3, "b": {"c": 4}}'
+    for text in (f"[{one}]", f"[{one}, {two}]", f"[\n{one},\n{two}\n]", f"{one}\n{two}\n"):
+        assert readers.read_json_auto(spark, put(tmp_path, "a.json", text)).columns == ["a", "b"], text
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "lines.json").write_text(one)
+    (folder / "list.json").write_text(f"[{two}]")
+    (folder / "object.json").write_text('{\n"a": 5,\n"e": 6}')
+    rows = sorted(tuple(r) for r in readers.read_json_auto(spark, str(folder)).select("a", "b.c", "e").collect())
+    assert rows == [(1, 2, None), (3, 4, None), (5, None, 6)]
+
+
+def test_what_is_no_number(spark):
+    df = spark.createDataFrame([(t,) for t in ("1d", "2f", "3D", "NaN", "Infinity", "-inf", "0x1F", "1e", "", ".", "1 234,5", "-7", "+.5", "3.", "1E3")], "t string")
+    got = [r["t"] for r in df.select(infer.as_number(df.t).alias("t")).collect()]
+    assert got == [None] * 10 + [1234.5, -7.0, 0.5, 3.0, 1000.0]
