@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tableglass.functions.columns import number, numeric_columns
 from tableglass.functions.moments import pearson
+from tableglass.plans.joins import lookup
 from tableglass.plans.ranks import few_values, ordered_counts
 
 STRONG, VERY_STRONG = 0.7, 0.9
+BROADCAST_VALUES = 100_000  # ranks are broadcast up to so many; beyond that only those of hot values are
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
 BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
 
@@ -114,22 +116,29 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     missing, distinct = value_facts(numbers)
     few = few_values(max(distinct))
     if missing:
-        return spearman_by_pair(df, chosen, few)
+        return spearman_by_pair(df, chosen, few, distinct)
     ranked = numbers
     for c in numbers.columns:
         values = numbers.groupBy(F.lit(0).alias("key"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-        ranks = ordered_counts(values, ["key"], few).select(F.col("value").alias(c), centred_rank().alias(f"rank_{c}"))
-        ranked = ranked.join(ranks, c).drop(c)
+        ranks = ordered_counts(values, ["key"], few).select(F.col("value").alias(c), centred_rank().alias(f"rank_{c}"), "cnt")
+        ranked = lookup(ranked, ranks, [c], max(distinct) <= BROADCAST_VALUES, "cnt").drop(c, "cnt")
     return pearson_pairs(ranked.select(*[F.col(f"rank_{c}").alias(c) for c in numbers.columns]), chosen)
 
 
-def spearman_by_pair(df: DataFrame, chosen: Sequence[str], few: bool) -> DataFrame:
+def on_side(counted: DataFrame, ranks: DataFrame, side: str, few: bool) -> DataFrame:
+    """The cells with the rank of one side's value. A value that many rows have may stand in as many cells, so the hot ones are
+    broadcast."""
+    return lookup(counted, ranks, [*PAIR, side], few, "cnt").drop("cnt")
+
+
+def spearman_by_pair(df: DataFrame, chosen: Sequence[str], few: bool, distinct: Sequence[int]) -> DataFrame:
     counted = cells(df, chosen)
-    x = side_ranks(counted, "x", few).select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"))
-    y = side_ranks(counted, "y", few).select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"))
+    all_few = max(distinct) * len(chosen) ** 2 <= BROADCAST_VALUES
+    x = side_ranks(counted, "x", few).select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"), "cnt")
+    y = side_ranks(counted, "y", few).select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"), "cnt")
     c, dx, dy = F.col("c").cast("double"), F.col("dx"), F.col("dy")
     spread = F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))
-    found = counted.join(x, [*PAIR, "x"]).join(y, [*PAIR, "y"]).groupBy(*PAIR).agg(
+    found = on_side(on_side(counted, x, "x", all_few), y, "y", all_few).groupBy(*PAIR).agg(
         F.try_divide(F.sum(c * dx * dy), spread).alias("r"))
     return every_pair(df, chosen, found)
 
@@ -153,10 +162,11 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     _, distinct = value_facts(numbers_of(df, chosen))
     counted, few = cells(df, chosen, distinct), few_values(max(distinct))
     xs, ys = side_ranks(counted, "x", few), side_ranks(counted, "y", few)
-    ranked = (
-        counted.join(xs.select(*PAIR, F.col("value").alias("x"), F.col("dense").alias("xr")), [*PAIR, "x"])
-        .join(ys.select(*PAIR, F.col("value").alias("y"), F.col("dense").alias("yr")), [*PAIR, "y"])
-    )
+    # each value of a pair is one row: of x the larger number of the two columns, of y the smaller
+    rows_x = sum(max(p) for p in combinations(distinct, 2))
+    rows_y = sum(min(p) for p in combinations(distinct, 2))
+    ranked = on_side(counted, xs.select(*PAIR, F.col("value").alias("x"), F.col("dense").alias("xr"), "cnt"), "x", rows_x <= BROADCAST_VALUES)
+    ranked = on_side(ranked, ys.select(*PAIR, F.col("value").alias("y"), F.col("dense").alias("yr"), "cnt"), "y", rows_y <= BROADCAST_VALUES)
     # one row per pair of columns
     depth = ys.groupBy(*PAIR).agg(F.greatest(F.length(F.bin(F.max("dense"))), F.lit(1)).alias("bits"))
     levels = ranked.join(F.broadcast(depth), PAIR).withColumn(

@@ -316,3 +316,24 @@ def test_profile_tables(mixed):
     assert as_dict(tables["numeric"])["n"]["zeros"] == 0
     assert all(t.columns for t in tables.values()) and tables["categorical"].count() == 4
     assert profile.explore(mixed, "head", order_by="n", n=2).count() == 2
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_ranks_of_hot_values(spark, monkeypatch, nulls):
+    """The same coefficients where ranks are not broadcast but for hot values."""
+    df = spark.range(400).select(
+        F.when((F.col("id") % 7 == 0) & F.lit(nulls), None).otherwise(F.col("id") % 40).alias("a"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.sqrt("id")).alias("b"), ((F.col("id") * 37) % 101).alias("c"))
+    tables = (correlate.corr_spearman, correlate.corr_kendall)
+    want = [{tuple(r)[:2]: r["r"] for r in t(df).collect()} for t in tables]
+    monkeypatch.setattr(correlate, "BROADCAST_VALUES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("tableglass.joins.hotRows", "20")
+    try:
+        got = [{tuple(r)[:2]: r["r"] for r in t(df).collect()} for t in tables]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("tableglass.joins.hotRows")
+    for w, g in zip(want, got):
+        assert w.keys() == g.keys() and all(g[k] == pytest.approx(w[k]) for k in w)
