@@ -29,10 +29,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; n_chars follows the text."""
+    """Lines found in ten documents or more go; n_chars follows the text.
+
+    A document that would lose more than half of its lines is a copy rather than one with lines of a site's frame. Among
+    such documents the first line of each kind stays, in the order of ids, and only lines that ten of them hold go; so one of a
+    group of copies keeps its text, and those that have no line left go.
+    """
     kept = line_dedup.drop_shared_lines(docs, 10, carry=docs.columns)
+    filled = F.size(F.filter(F.split("text", "\n", -1), lambda line: line_dedup.line_key(line) != ""))
+    copy = F.col("n_dropped") > filled
+    whole = stored(kept.filter(copy).select("carried.*"), "copies").select(*docs.columns)
+    again = line_dedup.drop_shared_lines(whole, 10, keep_first=True, carry=docs.columns)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return kept.select(*[new.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns])
+    columns = [new.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns]
+    return kept.filter(~copy).select(*columns).unionByName(again.filter((F.col("n_dropped") == 0) | (filled > 0)).select(*columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,20 @@ def test_tokens(steps):
     want = {(r["doc_id"], b"".join(i.to_bytes(4, "little") for i in t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in steps[4]}
     assert want == {(r["doc_id"], bytes(r["ids"])) for r in steps[5]}
     assert len(steps[4]) == len(steps[5])
+
+
+def test_copies_keep_one_text(spark):
+    """Of 12 equal documents one survives whole, of 12 near copies no line is lost, and a site's line goes everywhere else."""
+    lines = [" ".join(f"{a}{b}w" for b in range(12)) for a in "abcdefgh"]
+    equal, near = "\n".join(lines[:4]), lines[4:]
+    rows = [(i, equal, "en", "s", 1) for i in range(12)]
+    rows += [(100 + i, "\n".join([*near, f"own line {i} " + " ".join(f"x{i}y{j}" for j in range(4))]), "en", "s", 1) for i in range(12)]
+    rows += [(200 + i, f"one{i} two{i} three{i}\nfour{i} five{i}\nthe frame", "en", "s", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    lines_gone = P.stored(P.shared_lines(spark, docs, FOLDER), "test")
+    after = {r["doc_id"]: r["text"] for r in lines_gone.collect()}
+    assert [i for i in after if i < 100] == [0] and after[0] == equal
+    assert after[100] == rows[12][1] and all(after[100 + i] == rows[12 + i][1].split("\n")[-1] for i in range(1, 12))
+    assert all(after[200 + i] == rows[24 + i][1].removesuffix("\nthe frame") for i in range(12))
+    assert all(r["n_chars"] == len(r["text"]) for r in lines_gone.collect())
+    assert [r["text"] for r in P.near_duplicates(spark, lines_gone, FOLDER).collect() if r["doc_id"] < 100] == [equal]
