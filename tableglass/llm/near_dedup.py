@@ -18,16 +18,31 @@ SHINGLE = 5
 LIMIT = 800  # sets compared with each other in one group
 DEPTH = 3
 BINS = 64  # of a set's sketch
-PRESELECT = 16.0
+PRESELECT = 64.0
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``, if all its groups are split to ``depth``.
-    Such a pair shares one sampled token a level on average, so it survives a level with 1 - exp(-survival of the rest)."""
-    survival = 1.0
+def miss(runs: int, depth: int = DEPTH) -> float:
+    """The probability that a pair at the threshold, whose groups are split ``depth`` times, does not meet in so many runs.
+
+    Such a pair shares PRESELECT preselected tokens a level on average (Poisson), and all nodes of all runs choose a
+    PRESELECTth of these. So the runs are independent only once the levels' shared tokens are given: with k of them a pair
+    survives a level with 1 - (1 - survival of the rest / PRESELECT) ** k.
+    """
+    k = np.arange(int(PRESELECT + 12 * math.sqrt(PRESELECT)) + 1)
+    chance = np.exp(k * math.log(PRESELECT) - PRESELECT - np.array([math.lgamma(x + 1) for x in k.tolist()]))
+    survival = weight = np.ones(1)
     for _ in range(depth):
-        survival = 1 - math.exp(-survival)
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival))
+        survival, weight = (1 - (1 - survival[:, None] / PRESELECT) ** k).ravel(), (weight[:, None] * chance).ravel()
+        survival, weight = survival[weight > 1e-13], weight[weight > 1e-13]
+    return float((weight * (1 - survival) ** runs).sum() + max(0.0, 1 - weight.sum()))
+
+
+def runs_for(recall: float, depth: int = DEPTH) -> int:
+    """The least runs after which a pair at the threshold has met with probability ``recall``, if all its groups are split to ``depth``."""
+    runs = 1
+    while miss(runs, depth) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -261,7 +276,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     Texts with equal sets are one record. Each run starts with all records in one group; a group is split by the tokens that it
     samples of its sets, 1 / (threshold * n) of a set's n tokens. Groups of up to ``limit`` records are compared in full and exactly;
     larger ones are split again, and after three splits cut into blocks. There are as many runs as bring a pair at the threshold
-    together with probability ``recall`` even if all its groups are split three times (more, if they are not). A pair is looked
+    together with probability ``recall`` even if all its groups are split three times (more, if they are not), counting that runs
+    share preselected tokens. A pair is looked
     at in its smallest group only, so links are counted once, and no pairs leave the task: just components and numbers.
     """
     small_batches(docs.sparkSession)
