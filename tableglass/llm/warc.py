@@ -96,22 +96,25 @@ def parse_record(data: memoryview, at: int) -> tuple[int, dict[str, str], memory
     if not re.compile(rb"WARC/1\.[01]\r?\n").match(raw, at):
         raise ValueError("no version line")
     first = raw.find(b"\n", at) + 1
-    stop = re.compile(rb"\r?\n\r?\n").search(raw, first - 1, min(len(raw), first + (1 << 20)))
-    if not stop:
-        raise ValueError("header without end")
-    headers = {}
-    for line in raw[first:stop.start()].decode("utf-8", "replace").splitlines():
-        key, colon, value = line.partition(":")
+    headers, begin = {}, first
+    while True:  # only CR LF or LF ends a line, whatever else a url may hold
+        stop = raw.find(b"\n", begin)
+        if stop < 0:
+            raise ValueError("header without end")
+        line, begin = raw[begin:stop].removesuffix(b"\r"), stop + 1
+        if not line:
+            break
+        key, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("bad header line")
-        key = key.strip().lower()
+        key = key.strip(" \t").lower()
         if key in headers and key != "warc-concurrent-to":
             raise ValueError("repeated header")
-        headers[key] = value.strip()
+        headers[key] = value.strip(" \t")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise ValueError("no content length")
-    begin, end = stop.end(), stop.end() + int(length)
+    end = begin + int(length)
     if end > len(raw):
         raise ValueError("truncated")
     block = data[begin:end]

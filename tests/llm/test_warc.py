@@ -62,3 +62,12 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).collect() == []
+
+
+def test_any_url_comes_back(spark, tmp_path):
+    """Characters that str.splitlines takes for line ends, and a header of more than 1 MB."""
+    urls = [f"http://a/{c}type: x{c}rest{c}" for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"] + ["http://a/" + "u" * 1_500_000, "http://a/\u2028WARC-Type: response"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "'<p>' || page_id AS html")
+    warc.write_archives(df, str(tmp_path / "w"))
+    read = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["kind"], r["reason"], r["record_id"], r["target_uri"]) for r in read) == sorted(("record", None, f"<urn:page:{i}>", u) for i, u in enumerate(urls))
