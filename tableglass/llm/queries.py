@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, suffix_tree, url_filter, warc
+from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, suffix_tree, toxicity, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -37,6 +37,13 @@ def op7(s, d):
     return language.predict(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12(s, d):
+    docs = table(s, d, "documents")
+    model = toxicity.learn(docs, table(s, d, "labels").filter(fold() != 0))
+    texts = docs.select("doc_id", "text", (fold() == 0).alias("held_out"))
+    return toxicity.score(texts, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(s, d):
     return importlib.import_module("corpus_pipeline").run(s, d)
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op10_bpe": lambda s, d: bpe.encode_decode(
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
             "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+    "op12_toxicity": op12,
     "pipeline": pipeline,
 }
 
