@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, substring_dedup, suffix_tree, toxicity, url_filter, warc
+from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, periodic_runs, substring_dedup, suffix_tree, toxicity, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -65,6 +65,8 @@ QUERIES = {
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
             "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
     "op12_toxicity": op12,
+    "op13_periodic_runs": lambda s, d: periodic_runs.digests(periodic_runs.find_runs(
+        periodic_runs.with_planted_runs(table(s, d, "documents").select("doc_id", "text")))),
     "pipeline": pipeline,
 }
 
@@ -110,4 +112,28 @@ SQL = {
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    # h: CRC-32 of the id's digits, bit by bit
+    "op13_periodic_runs": """WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+        xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8),
+          lambda b: CAST((ascii(c) >> CAST(b AS INTEGER)) & 1 AS BIGINT)))),
+          lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1)), 4294967295), 4294967295) AS h FROM documents),
+      g AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, h, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a, h // 10 AS g FROM c),
+      d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CAST(
+        CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS BIGINT) + 1]) ELSE ws END AS ws FROM g),
+      s AS (SELECT doc_id, n, pos, array_to_string(ws[pos:pos + 5], ' ') AS six FROM d, LATERAL (SELECT unnest(generate_series(1, n - 5)) AS pos)),
+      m AS (SELECT x.doc_id, x.pos, x.pos - y.pos AS lag FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.six = y.six
+        AND x.pos > y.pos AND 2 * (x.pos - y.pos) <= x.n),
+      k AS (SELECT doc_id, lag, min(pos) - 1 AS i, count(*) + 5 AS same FROM (
+          SELECT *, pos - row_number() OVER (PARTITION BY doc_id, lag ORDER BY pos) AS diagonal FROM m)
+        GROUP BY doc_id, lag, diagonal HAVING count(*) + 5 >= greatest(lag, 12 - lag)),
+      r AS (SELECT doc_id, i - lag AS start, same + lag AS length, min(lag) AS period FROM k GROUP BY doc_id, i - lag, same + lag),
+      w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+      x AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS pos FROM r),
+      t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN x USING (doc_id, pos) GROUP BY doc_id),
+      b AS (SELECT doc_id, count(*) AS n_runs, arg_max(r, (length, -start, -period)) AS best,
+        string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id)
+      SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length,
+        CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+      FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
