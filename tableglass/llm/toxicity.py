@@ -15,7 +15,7 @@ from tableglass.llm.words import NOT_ALNUM, mix, word_hashes
 BUCKETS = 1 << 16  # rows of the embedding table
 WIDTH = 8  # of an embedding
 GRAMS = (3, 4, 5)  # characters of a subword, the marks < and > at the word's ends included
-SAMPLE = 4000  # labelled documents of each class that are learned from, at most
+SAMPLE = 2000  # labelled documents of each class that are learned from, at most
 EPOCHS, BATCH, RATE = 10, 64, 5.0
 FLOOR = 1e-6  # sums of squared gradients start here, so that rare subwords move little
 PAD = 10  # words that weigh nothing, averaged in with every text's own
@@ -56,7 +56,8 @@ def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a text: the mean of its words' bags, a bag being the mean of a word's subwords; weights add up to 1."""
+    """(buckets, weights) of a text: the mean of its words' bags, a bag being the mean of a word's subwords; weights add up to
+    a little less than 1, because of PAD."""
     words, number, _ = distinct_words(data)
     total = np.zeros(BUCKETS)
     times = np.bincount(number, minlength=len(words)) / (len(number) + PAD)
@@ -65,7 +66,7 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         share = times[a:a + WORDS] / np.bincount(word)
         total += np.bincount(bucket, share[word], BUCKETS)
     buckets = np.flatnonzero(total)
-    return buckets.astype(np.int32), total[buckets].astype(np.float32)
+    return buckets.astype(np.uint16), total[buckets].astype(np.float32)
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -79,7 +80,10 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tupl
     weight = (len(rows) / 2 / counts)[labels].astype(np.float32)
     random = np.random.Generator(np.random.PCG64(seed))
     # what few documents share tells the documents apart, not the classes
-    known = np.bincount(np.concatenate([b for _, b, _ in rows]), minlength=BUCKETS) >= min(LEAST_DOCS, len(rows) // 2)
+    docs_with = np.zeros(BUCKETS, np.int64)
+    for _, b, _ in rows:
+        docs_with[b] += 1
+    known = docs_with >= min(LEAST_DOCS, len(rows) // 2)
     rows = [(y, b[known[b]], w[known[b]]) for y, b, w in rows]
     table = random.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32) * known[:, None]
     softmax = random.normal(0, 1, (WIDTH, 2)).astype(np.float32)
@@ -130,9 +134,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]],
                                              ["id", "label", "buckets", "shares"])
     small_batches(docs.sparkSession)
+    # subwords' buckets are 16-bit numbers, so a row is 400 KB at most, and some 15 KB for a text of 3 KB
     some = labelled(docs, labels, label, text, id_col, sample).select(F.col("id").cast("string").alias("id"), "label", F.col("text").cast("binary").alias("text"))
-    rows = some.mapInArrow(run, "id string, label int, buckets binary, shares binary").collect()
-    return train([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in sorted(rows, key=lambda r: r["id"])])
+    found = some.mapInArrow(run, "id string, label int, buckets binary, shares binary").toArrow().sort_by("id")
+    rows = [(y, np.frombuffer(b, np.uint16), np.frombuffer(w, np.float32)) for y, b, w in zip(
+        *[found.column(c).to_pylist() for c in ("label", "buckets", "shares")])]
+    return train(rows)
 
 
 def _parts(texts: pa.Array) -> Iterator[list[bytes]]:
