@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tableglass.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, periodic_runs, substring_dedup, suffix_tree, toxicity, url_filter, warc
+from tableglass.llm import bpe, collocations, decontaminate, exact_dedup, language, line_dedup, near_dedup, periodic_runs, substring_dedup, suffix_tree, toxicity, url_filter, warc
 from tableglass.llm.common import fold, shared_path, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -64,6 +64,7 @@ QUERIES = {
     "op10_bpe": lambda s, d: bpe.encode_decode(
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_decoded=False).select(
             "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+    "op11_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
     "op12_toxicity": op12,
     "op13_periodic_runs": lambda s, d: periodic_runs.digests(periodic_runs.find_runs(
         periodic_runs.with_planted_runs(table(s, d, "documents").select("doc_id", "text")))),
@@ -112,6 +113,22 @@ SQL = {
     "op5_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_collocations": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+      f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS f
+        FROM w, LATERAL (SELECT unnest([1, 2, 3]) AS size) k, LATERAL (SELECT unnest(generate_series(1, len(ws) - k.size + 1)) AS i) GROUP BY ALL),
+      t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+      c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 10),
+      k AS (SELECT *, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+        FROM c, LATERAL (SELECT unnest(generate_series(1, size - 1)) AS k)),
+      s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = first JOIN f y ON y.lang = k.lang AND y.phrase = rest),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+      i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(unnest([ws[1:2], ws[2:3]]), ' ') AS phrase
+        FROM c WHERE size = 3) GROUP BY lang, phrase)
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+      FROM b LEFT JOIN i USING (lang, phrase) JOIN t USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000""",
     # h: CRC-32 of the id's digits, bit by bit
     "op13_periodic_runs": """WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
         xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8),
