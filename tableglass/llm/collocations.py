@@ -110,7 +110,9 @@ def segments(text: bytes) -> Iterator[bytes]:
     while len(text) - a > CHUNK_BYTES:
         cut = max(text.rfind(x, a, a + CHUNK_BYTES) for x in ENDS_PIECE)
         if cut < 0:
-            cut = min((i for x in ENDS_PIECE if (i := text.find(x, a + CHUNK_BYTES)) >= 0), default=len(text) - 1)
+            cut = min((i for x in ENDS_PIECE if (i := text.find(x, a + CHUNK_BYTES)) >= 0), default=-1)
+        if cut < 0:
+            break
         yield text[a:cut + 1]
         a = cut + 1
     yield text[a:]
