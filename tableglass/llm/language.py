@@ -17,6 +17,7 @@ DIMENSION = 1024
 GRAM = 3
 UNKNOWN = "und"
 MAX_LANGUAGES = 10_000  # so that profiles never exceed 80 MB; more distinct values are an error
+SLICE = 4096  # distinct n-grams turned into vectors at a time
 PART = 1 << 21  # code points of texts turned into vectors at a time
 
 
@@ -48,6 +49,22 @@ def gram_vectors(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def bundles(row: np.ndarray, gram: np.ndarray, n: np.ndarray, rows: int, grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The sum of the n-grams' vectors, each n times, for each of ``rows`` rows. Goes through the distinct n-grams in slices, so that memory
+    doesn't grow with their number: letters of Chinese or Japanese have millions of trigrams."""
+    total = np.zeros((rows, DIMENSION), np.float32)
+    order = np.argsort(gram, kind="stable")
+    row, gram, n = row[order], gram[order], n[order]
+    for a in range(0, len(grams), SLICE):
+        part = slice(*np.searchsorted(gram, [a, a + SLICE]))
+        some = grams[a:a + SLICE]
+        letters_of, own = np.unique(some, return_inverse=True)
+        counts = np.zeros((rows, len(some)), np.float32)
+        np.add.at(counts, (row[part], gram[part] - a), n[part])
+        total += counts @ gram_vectors(own.reshape(some.shape), alphabet[letters_of])
+    return total
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, gram, count), the grams and the alphabet: letters lower-cased, each run of others one gap, which also stands
     at both ends. Documents without letters have no grams."""
@@ -110,9 +127,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                 if not len(n):
                     continue
                 names, of = np.unique(np.array(langs[a:a + len(part)], object).astype(str), return_inverse=True)
-                counts = np.zeros((len(names), len(grams)), np.float32)
-                np.add.at(counts, (of[doc], gram), n)
-                for name, v in zip(names.tolist(), counts @ gram_vectors(grams, alphabet)):
+                for name, v in zip(names.tolist(), bundles(of[doc], gram, n, len(names), grams, alphabet)):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([TaskContext.get().partitionId() % 64] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()])], ["lang", "salt", "vector"])
@@ -150,9 +165,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
                     best += [UNKNOWN] * len(part)
                     score += [0.0] * len(part)
                     continue
-                counts = np.zeros((len(part), len(grams)), np.float32)
-                counts[doc, gram] = n
-                vectors = counts @ gram_vectors(grams, alphabet)
+                vectors = bundles(doc, gram, n, len(part), grams, alphabet)
                 length = np.linalg.norm(vectors, axis=1)
                 cosines = (vectors @ matrix) / np.maximum(length, 1e-9)[:, None]
                 top, has = cosines.argmax(axis=1), np.bincount(doc, minlength=len(part)) > 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableglass.llm.common import lookup, small_batches, stored
-from tableglass.llm.packed import NO_ID, Chunk, chunked
+from tableglass.llm.packed import MOST_ROWS, NO_ID, Chunk, chunked
 from tableglass.llm.words import mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -100,6 +100,11 @@ SETS = ("row bigint, id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, l
         "p3 array<int>, l3 array<bigint>")
 
 
+def record(chunk: int, k: int) -> int:
+    """The number of the k-th document of a chunk: 23 bits for the task that made the chunk, 20 for its chunk, 20 for the document."""
+    return ((chunk >> 32) << 40) | ((chunk & 0xFFFFFFFF) << 20) | k
+
+
 def _sets(chunks: DataFrame, threshold: float, runs: int) -> DataFrame:
     """A row for each document: its set's size, hash and sketch, and its nodes at the three levels."""
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
@@ -112,7 +117,7 @@ def _sets(chunks: DataFrame, threshold: float, runs: int) -> DataFrame:
                 for k, tokens in chunk_sets(chunk):
                     (_, l1), (p2, l2), (p3, l3) = paths(tokens, threshold, runs, 3)
                     s1, s2 = (int(mix(tokens ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x1234567, 0xFEDCBA9876543))
-                    out.append((chunk.chunk * (1 << 24) + k, None if chunk.ids[k] == NO_ID else int(chunk.ids[k]), len(tokens), s1, s2, sketch(tokens).tobytes(),
+                    out.append((record(chunk.chunk, k), None if chunk.ids[k] == NO_ID else int(chunk.ids[k]), len(tokens), s1, s2, sketch(tokens).tobytes(),
                                 l1.view(np.int64), p2.astype(np.int32), l2.view(np.int64), p3.astype(np.int32), l3.view(np.int64)))
                     if len(out) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*out), fields)], [f for f, _ in fields])
@@ -296,14 +301,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     of_leaf = facts.select("*", F.explode("leaves").alias("leaf"))
     needed = stored(_needed(of_leaf, threshold), "needed").groupBy("rec").agg(F.collect_list("leaf").alias("to"))
     orders = needed.join(facts.select("rec", "copies", "leaves"), "rec").select(
-        F.shiftright("rec", 24).alias("chunk"), F.struct("rec", "copies", "to", "leaves").alias("order")).groupBy("chunk").agg(
+        F.expr("shiftleft(shiftright(rec, 40), 32) | (shiftright(rec, 20) & 1048575L)").alias("chunk"), F.struct("rec", "copies", "to", "leaves").alias("order")).groupBy("chunk").agg(
             F.collect_list("order").alias("orders"))  # no more than a chunk's documents
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(*(batch.column(j)[i].as_py() for j in range(4)))
-                orders = {o["rec"] & 0xFFFFFF: o for o in batch.column(4)[i].as_py()}
+                orders = {o["rec"] & (MOST_ROWS - 1): o for o in batch.column(4)[i].as_py()}
                 for k, tokens in chunk_sets(chunk, sorted(orders)):
                     o, raw = orders[k], tokens.astype("<u8").tobytes()
                     n = len(o["to"])

@@ -19,6 +19,7 @@ from tableglass.llm.common import small_batches, stored
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket
+MOST_ROWS = 1 << 20  # of a chunk, however short its texts
 NO_ID = -(1 << 63)  # stands for a null id
 
 CHUNKS = "chunk bigint, ids binary, lengths binary, body binary"
@@ -81,7 +82,7 @@ def gathered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tu
             ids.append(NO_ID if i is None else i)
             texts.append(t.as_py())
             size += len(texts[-1])
-            if size >= chunk_bytes:
+            if size >= chunk_bytes or len(ids) == MOST_ROWS:
                 yield number, ids, texts
                 number, ids, texts, size = number + 1, [], [], 0
     if ids:

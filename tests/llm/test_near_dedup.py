@@ -80,3 +80,19 @@ def test_recall_of_pairs_at_the_threshold():
         missed += not len(np.intersect1d(*last))
     assert missed <= 0.014 * pairs  # four standard deviations above 0.0079
     assert near_dedup.miss(runs) <= 0.01 < near_dedup.miss(runs - 1) and near_dedup.miss(runs, 1) < 0.00005
+
+
+def test_many_partitions_and_empty_rows(spark, rows):
+    """More partitions than 128, whose numbers once overflowed, and a partition of a great many empty rows."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(131)
+    found = near_dedup.near_duplicates(df, recall=0.9999).select("doc_id", "class_id", "n_links", "class_size").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(brute(rows), key=str)
+    empty = spark.range(0, 1_300_000, 1, 1).selectExpr("id AS doc_id", "CAST(null AS string) AS text")
+    some = spark.createDataFrame([(-1, "a b c d e f"), (-2, "a b c d e f")], "doc_id bigint, text string")
+    found = near_dedup.near_duplicates(empty.union(some).coalesce(1)).groupBy("class_size", "kept").count().collect()
+    assert sorted(map(tuple, found)) == [(1, True, 1_300_000), (2, False, 1), (2, True, 1)]
+
+
+def test_numbers_of_records():
+    seen = {near_dedup.record((p << 32) + c, k) for p in (0, 127, 128, 5_000_000) for c in (0, 1, 1_048_575) for k in (0, 1, 1_048_575)}
+    assert len(seen) == 36 and all(0 <= x < 1 << 63 for x in seen)
