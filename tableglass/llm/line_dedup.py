@@ -150,20 +150,20 @@ def keep_bitmaps(docs: DataFrame, least_docs: int, least_chars: int = 1, keep_fi
 
 
 def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_first: bool = False,
-                      text: str = "text", id_col: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+                      text: str = "text", id_col: str = "doc_id", carry: Sequence[str] = (), most: float = 1.0) -> DataFrame:
     """(id, place, text, n_lines, n_dropped, bitmap, kept_sha256, carried): one row for each document.
 
     Lines are split at \\n. A line whose key (white space stripped at both ends, A-Z lower-cased) has at least ``least_chars``
     code points and is found in at least ``least_docs`` documents is dropped everywhere; ``keep_first`` leaves the first such
     line of the corpus, in the order of ids and positions. ``bitmap`` has a zlib-compressed bit for each line, null where all
     stay; ``place`` tells rows of one id apart; ``carried`` has the
-    columns named in ``carry``. Null and empty texts are one empty line. Rows with equal ids (null is an id too)
+    columns named in ``carry``. A document that would lose more than the share ``most`` of its characters keeps all its lines. Null and empty texts are one empty line. Rows with equal ids (null is an id too)
     count as one document. Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("place"), body.alias("text"),
-                       F.struct(F.lit(1).alias("__"), *[F.col(c) for c in carry]).alias("carried"))
+                       F.struct(F.lit(1).alias("__"), *[F.col(f"`{c.replace('`', '``')}`") for c in carry]).alias("carried"))
     bitmaps = keep_bitmaps(docs, least_docs, least_chars, keep_first).withColumnsRenamed({"id": "b_id", "place": "b_place"})
     joined = docs.join(bitmaps, (F.col("place") == F.col("b_place")) & F.col("id").eqNullSafe(F.col("b_id")), "left").select("id", "place", "text", "bitmap", "carried")
     shape = T.StructType.fromDDL("id bigint, place bigint, text string, n_lines bigint, n_dropped bigint, bitmap binary, kept_sha256 string").add(
@@ -176,6 +176,8 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
                 lines = t.as_py().split("\n")
                 kept = _kept(lines, m.as_py())
                 whole = "\n".join(kept)
+                if most < 1 and len(whole) < (1 - most) * len(t.as_py()):
+                    kept, whole = lines, t.as_py()
                 out.append((whole, len(lines), len(lines) - len(kept), hashlib.sha256(whole.encode()).hexdigest()))
             if out:
                 texts, n, lost, sha = zip(*out)
