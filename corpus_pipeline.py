@@ -24,25 +24,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null, without letters or far from every learned language go."""
     profiles = language.learn(docs.filter(fold() != 0))
-    judged = language.predict(docs.select("text", F.struct("*").alias("__doc")), profiles)
-    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("__doc.*")
+    places = [f"c{i}" for i in range(len(docs.columns))]  # no column's name meets one that the operator makes
+    judged = language.predict(docs.toDF(*places), profiles, text=places[docs.columns.index("text")])
+    fine = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)
+    return judged.filter(fine).select(*places).toDF(*docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text.
 
-    A document that would lose more than half of its lines is a copy rather than one with lines of a site's frame. Among
-    such documents the first line of each kind stays, in the order of ids, and only lines that ten of them hold go; so one of a
-    group of copies keeps its text, and those that have no line left go.
+    A document that would lose more than half of its characters is, as far as its lines tell, a copy rather than one with lines of a
+    site's frame. It stays whole, so that the next stage compares whole copies and keeps one of each, and no fragments are left.
     """
-    kept = line_dedup.drop_shared_lines(docs, 10, carry=docs.columns)
-    filled = F.size(F.filter(F.split("text", "\n", -1), lambda line: line_dedup.line_key(line) != ""))
-    copy = F.col("n_dropped") > filled
-    whole = stored(kept.filter(copy).select("carried.*"), "copies").select(*docs.columns)
-    again = line_dedup.drop_shared_lines(whole, 10, keep_first=True, carry=docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]  # the text goes through Python once
+    kept = line_dedup.drop_shared_lines(docs, 10, carry=others, most=0.5)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    columns = [new.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns]
-    return kept.filter(~copy).select(*columns).unionByName(again.filter((F.col("n_dropped") == 0) | (filled > 0)).select(*columns))
+    return kept.select(*[new[c].alias(c) if c in new else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
