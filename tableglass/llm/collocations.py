@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableglass.llm.common import lookup, small_batches, stored
+from tableglass.llm.common import give_back, lookup, small_batches, stored
 from tableglass.llm.packed import MESSAGES, answer, by_bucket, message, sorted_numbers, squeeze, squeeze_numbers, squeeze_sorted, numbers, unsqueeze
 from tableglass.llm.words import mix, spans, word_hashes
 
@@ -165,6 +165,8 @@ def survivors(chunks: DataFrame, longest: int, least: int, mass: int) -> DataFra
                 keys, counts = counted(Phrases(row["langs"], row["of"], row["lengths"], row["body"]), longest, shift)
                 for bucket, at in by_bucket(keys << np.uint64(shift), first_bits):
                     yield message(row["chunk"], bucket, len(p := squeeze_sorted(keys[at])).to_bytes(4, "little") + p + squeeze_numbers(counts[at]))
+                del keys, counts
+                give_back()
 
     def reply(_: np.ndarray, bodies: list[bytes]) -> list[bytes]:
         def keys_of(b: bytes) -> np.ndarray:
@@ -177,6 +179,8 @@ def survivors(chunks: DataFrame, longest: int, least: int, mass: int) -> DataFra
         for b in bodies:
             summary.add(keys_of(b), counts_of(b))
         frequent = np.r_[summary.reaching(least), np.uint64(0xFFFFFFFFFFFFFFFF)]
+        del summary
+        give_back()
         return [np.packbits(frequent[np.searchsorted(frequent, k)] == k).tobytes() for k in map(keys_of, bodies)]
     return answer(chunks.mapInArrow(ask, MESSAGES), reply)
 
@@ -198,28 +202,24 @@ def exact_counts(chunks: DataFrame, bits: DataFrame, longest: int, mass: int) ->
                 for bucket, at in by_bucket(keys << np.uint64(shift), first_bits):
                     passed[at] = np.unpackbits(np.frombuffer(mail[bucket], np.uint8), count=at.stop - at.start)
                 frequent = np.r_[keys[passed], np.uint64(0xFFFFFFFFFFFFFFFF)]
-                _, word, number = np.unique(chunk.words, return_index=True, return_inverse=True)
-                # of the words as written in the chunk, lower-cased
-                names = pa.array([chunk.data[x:y].lower() for x, y in zip(chunk.starts[word].tolist(), chunk.ends[word].tolist())], pa.binary()).cast(pa.string())
+                del keys, passed
+                langs = pa.array(chunk.langs, pa.string())
                 for n, at, h in chunk.begins(longest):
                     short = h >> np.uint64(shift)
-                    at = at[frequent[np.searchsorted(frequent, short)] == short]
-                    # told apart by the words themselves
-                    columns = [chunk.lang[at].astype(np.int64), *[number[at + k] for k in range(n)]]
-                    order = np.lexsort(columns[::-1])
-                    columns = [c[order] for c in columns]
-                    new = np.zeros(len(at), bool)
-                    new[:1] = True
-                    for c in columns:
-                        new[1:] |= c[1:] != c[:-1]
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.r_[first, len(at)])
+                    some = np.flatnonzero(frequent[np.searchsorted(frequent, short)] == short)
+                    _, first, times = np.unique(h[some], return_index=True, return_counts=True)
+                    first = at[some[first]]
                     for a in range(0, len(first), 50_000):
-                        some = first[a:a + 50_000]
-                        phrase = pc.binary_join_element_wise(*[names.take(pa.array(c[some])) for c in columns[1:]], " ")
+                        part = first[a:a + 50_000]
+                        # the words as written in the chunk, lower-cased
+                        words = [pa.array([chunk.data[x:y].lower() for x, y in zip(chunk.starts[part + k].tolist(), chunk.ends[part + k].tolist())], pa.binary())
+                                 for k in range(n)]
+                        phrase = pc.binary_join_element_wise(*words, b" ").cast(pa.string())
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(chunk.langs, pa.string()).take(pa.array(columns[0][some])), pa.array(np.full(len(some), n), pa.int32()),
+                            langs.take(pa.array(chunk.lang[part])), pa.array(np.full(len(part), n), pa.int32()),
                             phrase, pa.array(times[a:a + 50_000], pa.int64())], ["lang", "size", "phrase", "f"])
+                del chunk, h, at, short, some, first, times, frequent
+                give_back()
     counts = chunks.join(mail, "chunk", "left").mapInArrow(run, "lang string, size int, phrase string, f bigint")
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 

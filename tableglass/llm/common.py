@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Sequence
 
@@ -43,6 +44,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system, where the allocators would keep it for the worker's life."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def lookup(values: DataFrame, groups: DataFrame, on: Sequence[str], rows: str, total: int, how: str = "inner") -> DataFrame:
     """Each row of ``values`` with its group's row; ``groups`` holds one row a key and its number of rows in ``rows``.
 
