@@ -11,14 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableglass.llm.common import small_batches, stored
+from tableglass.llm.common import give_back, small_batches, stored
 
 DIMENSION = 1024
 GRAM = 3
 UNKNOWN = "und"
 MAX_LANGUAGES = 10_000  # so that profiles never exceed 80 MB; more distinct values are an error
 SLICE = 4096  # distinct n-grams turned into vectors at a time
-PART = 1 << 21  # code points of texts turned into vectors at a time
+PART = 1 << 20  # code points of texts turned into vectors at a time
 
 
 @lru_cache(maxsize=1)
@@ -129,6 +129,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                 names, of = np.unique(np.array(langs[a:a + len(part)], object).astype(str), return_inverse=True)
                 for name, v in zip(names.tolist(), bundles(of[doc], gram, n, len(names), grams, alphabet)):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
+                del doc, gram, n, grams
+            give_back()
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([TaskContext.get().partitionId() % 64] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()])], ["lang", "salt", "vector"])
 
@@ -169,7 +171,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
                 length = np.linalg.norm(vectors, axis=1)
                 cosines = (vectors @ matrix) / np.maximum(length, 1e-9)[:, None]
                 top, has = cosines.argmax(axis=1), np.bincount(doc, minlength=len(part)) > 0
+                del doc, gram, n, grams, vectors
                 best += [names[i] if h else UNKNOWN for i, h in zip(top.tolist(), has)]
                 score += [min(1.0, max(0.0, float(c))) if h else 0.0 for c, h in zip(cosines.max(axis=1), has)]
+            give_back()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=shape.names)
     return docs.mapInArrow(run, shape)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableglass.llm.common import ascii_lower, small_batches, stored
+from tableglass.llm.common import ascii_lower, give_back, small_batches, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -184,4 +184,6 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), b.column(3),
                     pa.array(sha, pa.string()), b.column(4)], ["id", "place", "text", "n_lines", "n_dropped", "bitmap", "kept_sha256", "carried"])
+                del out, texts
+                give_back()
     return joined.mapInArrow(apply, shape).withColumnRenamed("id", id_col)

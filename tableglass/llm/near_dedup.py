@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableglass.llm.common import lookup, small_batches, stored
+from tableglass.llm.common import give_back, lookup, small_batches, stored
 from tableglass.llm.packed import MOST_ROWS, NO_ID, Chunk, chunked
 from tableglass.llm.words import mix, window_hashes, word_hashes
 
@@ -124,6 +124,8 @@ def _sets(chunks: DataFrame, threshold: float, runs: int) -> DataFrame:
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*out), fields)], [f for f, _ in fields])
+                del chunk, out
+                give_back()
     return stored(chunks.mapInArrow(run, SETS), "sets")
 
 
@@ -245,7 +247,11 @@ def _compared(shipped: DataFrame, threshold: float) -> DataFrame:
             if (new == root).all():
                 break
             root = new
-        return pa.table({"rec": rec, "root": root, "links": linked @ copies}).filter(pa.array(linked.any(axis=1)))
+        found = pa.table({"rec": rec, "root": root, "links": linked @ copies}).filter(pa.array(linked.any(axis=1)))
+        if len(sets) > LIMIT // 4:
+            del sets, common, linked
+            give_back()
+        return found
     return stored(shipped.groupBy("leaf").applyInArrow(run, "rec bigint, root bigint, links bigint"), "links")
 
 
