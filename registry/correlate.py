@@ -65,12 +65,35 @@ def unquoted(sql):
     return sql.replace("'\"constant\"'", "'constant'")
 
 
+WIDE = [f"c{i}" for i in range(24)]
+# columns of every kind: related, unrelated, with many or few values, one constant; every third lacks values
+CELL = "CASE WHEN {i} % 3 = 2 AND l_suppkey % ({i} + 3) = 0 THEN NULL ELSE l_quantity * {i} + l_partkey % ({i} * 7 + 1) - l_linenumber * 1000.0 * ({i} % 2) END"
+FULL = [c for i, c in enumerate(WIDE) if i and i % 3 != 2] + [f"d{i}" for i in range(3)]
+MORE = "l_extendedprice * {i} + l_quantity * 50.0"
+
+
+def wide(s, d):
+    return table(s, d, "lineitem").selectExpr(*[f"CAST({CELL.format(i=i)} AS DOUBLE) AS c{i}" for i in range(24)])
+
+
+def wide_full(s, d):
+    return table(s, d, "lineitem").selectExpr(
+        *[f"CAST({CELL.format(i=i)} AS DOUBLE) AS c{i}" for i in range(1, 24) if i % 3 != 2], *[f"CAST({MORE.format(i=i)} AS DOUBLE) AS d{i}" for i in range(3)])
+
+
+def wide_sql(names):
+    cells = [f"CAST({CELL.format(i=int(c[1:])) if c[0] == 'c' else MORE.format(i=int(c[1:]))} AS DOUBLE) AS {c}" for c in names]
+    return f"(SELECT {', '.join(cells)} FROM lineitem)"
+
+
 QUERIES = {
     "corr_pearson": lambda s, d: rounded(correlate.corr_pearson(table(s, d, "lineitem"))),
     "corr_pearson_nulls": lambda s, d: rounded(correlate.corr_pearson(with_nulls(s, d))),
     "corr_pearson_constant": lambda s, d: rounded(correlate.corr_pearson(related(s, d))),
     "corr_spearman": lambda s, d: rounded(correlate.corr_spearman(lineitem(s, d))),
     "corr_spearman_nulls": lambda s, d: rounded(correlate.corr_spearman(with_nulls(s, d), ["user_id", "value"])),
+    "corr_pearson_wide": lambda s, d: rounded(correlate.corr_pearson(wide(s, d))),
+    "corr_spearman_wide": lambda s, d: rounded(correlate.corr_spearman(wide_full(s, d))),
     "corr_kendall": lambda s, d: rounded(correlate.corr_kendall(lineitem(s, d), ["l_quantity", "l_discount", "l_tax"])),
     "corr_kendall_nulls": lambda s, d: rounded(correlate.corr_kendall(numbers_of(s, d))),
     "corr_kendall_unique_values": lambda s, d: rounded(correlate.corr_kendall(
@@ -91,6 +114,8 @@ SQL = {
     "corr_pearson": six(pearson_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *PRICES], "lineitem")),
     "corr_pearson_nulls": six(pearson_sql(["event_id", "user_id", "value"], WITH_NULLS)),
     "corr_pearson_constant": six(unquoted(pearson_sql(NAMES, RELATED))),
+    "corr_pearson_wide": f"WITH w AS MATERIALIZED {wide_sql(WIDE)} " + six(pearson_sql(WIDE, "w")),
+    "corr_spearman_wide": f"WITH w AS MATERIALIZED {wide_sql(FULL)} " + six(spearman_sql(FULL, "w")),
     "corr_spearman": six(spearman_sql(PRICES, "lineitem")),
     "corr_spearman_nulls": six(spearman_sql(["user_id", "value"], WITH_NULLS)),
     "corr_kendall": six(kendall_sql(["l_quantity", "l_discount", "l_tax"], "lineitem")),

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableglass.functions.columns import number, numeric_columns
 from tableglass.functions.moments import pearson
 from tableglass.plans.joins import lookup
 from tableglass.plans.ranks import few_values, ordered_counts
+from tableglass.plans.scratch import scratch_folder
+from tableglass.plans.tiles import correlations
 
 STRONG, VERY_STRONG = 0.7, 0.9
 BROADCAST_VALUES = 100_000  # ranks are broadcast up to so many; beyond that only those of hot values are
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
+WIDE = 16  # more columns than these are multiplied in tiles: rows would be copied once per six pairs, or joined once per column
 BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
 
 
@@ -33,9 +36,11 @@ def numbers_of(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
 def pearson_pairs(numbers: DataFrame, names: Sequence[str]) -> DataFrame:
     """(var1, var2, r) for every pair of the columns v0, v1...
 
-    One aggregate over all pairs would outgrow generated code from about ten pairs on and run many
+    Many columns go through matrix products. For a few, one aggregate over all pairs would outgrow generated code from about ten pairs on and run many
     times slower, so each row is split into blocks of a few pairs and aggregated per block.
     """
+    if len(names) > WIDE:
+        return named_pairs(correlations(numbers, [F.col(c) for c in numbers.columns]), names)
     pairs = list(combinations(range(len(names)), 2))
     blocks = [pairs[i:i + PAIRS_PER_BLOCK] for i in range(0, len(pairs), PAIRS_PER_BLOCK)]
     width = min(PAIRS_PER_BLOCK, len(pairs))
@@ -55,20 +60,35 @@ def pearson_pairs(numbers: DataFrame, names: Sequence[str]) -> DataFrame:
     return listed.join(F.broadcast(lines), "place", "left").select("var1", "var2", "r")
 
 
+def numbered_pairs(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """(i, j, var1, var2) of all pairs i < j."""
+    k, place, name = len(names), F.col("id"), F.array(*[F.lit(c) for c in names])
+    pairs = spark.range(0, k * k, 1, 1 if k <= 100 else None).select((place / k).cast("int").alias("i"), (place % k).cast("int").alias("j")).filter("i < j")
+    return pairs.select("i", "j", F.get(name, F.col("i")).alias("var1"), F.get(name, F.col("j")).alias("var2"))
+
+
+def named_pairs(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(var1, var2, r) of all pairs i < j, with NULL where nothing was found; ``found`` has (i, j, r)."""
+    return numbered_pairs(found.sparkSession, names).join(found, ["i", "j"], "left").select("var1", "var2", "r")
+
+
 def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(var1, var2, r) for every pair of numeric columns, in one pass; NULL if either is constant."""
     chosen = two_or_more(df, columns)
     return pearson_pairs(numbers_of(df, chosen), chosen)
 
 
-def cells(df: DataFrame, chosen: Sequence[str], distinct: Sequence[int] | None = None) -> DataFrame:
+def cells(df: DataFrame, chosen: Sequence[str], distinct: Sequence[int] | None = None, without: Sequence[str] = ()) -> DataFrame:
     """(var1, var2, x, y, c): how often each combination of values occurs, for every pair of columns.
 
-    x is the first column of the pair, or with ``distinct`` given the one with more distinct values.
+    x is the first column of the pair, or with ``distinct`` given the one with more distinct values. Pairs of two columns in
+    ``without`` are left out.
     """
     numbers = numbers_of(df, chosen)
-    pairs = []
+    pairs, known = [], set(without)
     for i, j in combinations(range(len(chosen)), 2):
+        if chosen[i] in known and chosen[j] in known:
+            continue
         x, y = (j, i) if distinct and distinct[i] < distinct[j] else (i, j)
         pairs.append(F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"),
                               F.col(f"v{x}").alias("x"), F.col(f"v{y}").alias("y")))
@@ -85,19 +105,17 @@ def side_ranks(counted: DataFrame, side: str, few: bool) -> DataFrame:
     return ordered_counts(values, PAIR, few)
 
 
-def value_facts(numbers: DataFrame) -> tuple[bool, list[int]]:
-    """(whether anything is missing, about how many distinct values each column has): one row."""
+def value_facts(numbers: DataFrame) -> tuple[list[bool], list[int]]:
+    """(whether anything is missing, about how many distinct values there are) of each column: one row."""
     row = numbers.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in numbers.columns], *[
         F.approx_count_distinct(c).alias(f"d_{c}") for c in numbers.columns]).first()
-    return any(row[f"n_{c}"] < row["rows"] for c in numbers.columns), [row[f"d_{c}"] for c in numbers.columns]
+    return [row[f"n_{c}"] < row["rows"] for c in numbers.columns], [row[f"d_{c}"] for c in numbers.columns]
 
 
 def every_pair(df: DataFrame, chosen: Sequence[str], found: DataFrame) -> DataFrame:
     """The pairs in column order, with NULL where nothing was found (no complete rows)."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2")) for a, b in combinations(chosen, 2)])).alias("pair")
-    listed = df.sparkSession.range(1).select(pairs).select("pair.*")
-    return listed.join(F.broadcast(found), PAIR, "left").select(*PAIR, "r")
+    listed = numbered_pairs(df.sparkSession, chosen).select(*PAIR)
+    return listed.join(F.broadcast(found) if len(chosen) <= WIDE else found, PAIR, "left").select(*PAIR, "r")
 
 
 def centred_rank() -> Column:
@@ -109,13 +127,20 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """(var1, var2, r): Pearson's coefficient of the average ranks among the rows complete for the pair.
 
     Whether values are missing is counted first. Without any, a column has the same ranks in every
-    pair: they are looked up once per column. Otherwise each pair has its own ranks.
+    pair: they are looked up once per column. Otherwise each pair has its own ranks. Of many columns those
+    without missing values are ranked together, and only pairs with another one go by pair.
     """
     chosen = two_or_more(df, columns)
     numbers = numbers_of(df, chosen)
-    missing, distinct = value_facts(numbers)
+    lacking, distinct = value_facts(numbers)
     few = few_values(max(distinct))
-    if missing:
+    whole = [c for c, some in zip(chosen, lacking) if not some]
+    if len(whole) > WIDE:
+        found = spearman_of_whole(df, whole)
+        if len(whole) == len(chosen):
+            return found
+        return spearman_by_pair(df, chosen, few, distinct, found, whole)
+    if any(lacking):
         return spearman_by_pair(df, chosen, few, distinct)
     ranked = numbers
     for c in numbers.columns:
@@ -131,8 +156,27 @@ def on_side(counted: DataFrame, ranks: DataFrame, side: str, few: bool) -> DataF
     return lookup(counted, ranks, [*PAIR, side], few, "cnt").drop("cnt")
 
 
-def spearman_by_pair(df: DataFrame, chosen: Sequence[str], few: bool, distinct: Sequence[int]) -> DataFrame:
-    counted = cells(df, chosen)
+def spearman_of_whole(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """(var1, var2, r) of columns without missing values. Cells are ranked column by column together, and meet again by row:
+    as many narrow rows as the table has cells are shuffled, however many pairs there are."""
+    path = scratch_folder(df.sparkSession)
+    numbers_of(df, chosen).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # so that rows keep their numbers
+    numbers = df.sparkSession.read.parquet(path)
+    own = numbers.select("row", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("value")) for i in range(len(chosen))])))
+    counts = own.groupBy("c", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    distinct = value_facts(numbers.drop("row"))[1]
+    ranks = ordered_counts(counts, ["c"], few_values(max(distinct))).select("c", "value", centred_rank().alias("rank"), "cnt")
+    ranked = lookup(own, ranks, ["c", "value"], sum(distinct) <= BROADCAST_VALUES, "cnt")
+    vectors = ranked.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    return named_pairs(correlations(vectors, [F.get("ranks", F.lit(i)) for i in range(len(chosen))]), chosen)
+
+
+def spearman_by_pair(
+    df: DataFrame, chosen: Sequence[str], few: bool, distinct: Sequence[int], known: DataFrame | None = None, of: Sequence[str] = (),
+) -> DataFrame:
+    """Each pair's own ranks; pairs of two columns named in ``of`` are ``known``."""
+    counted = cells(df, chosen, without=of)
     all_few = max(distinct) * len(chosen) ** 2 <= BROADCAST_VALUES
     x = side_ranks(counted, "x", few).select(*PAIR, F.col("value").alias("x"), centred_rank().alias("dx"), "cnt")
     y = side_ranks(counted, "y", few).select(*PAIR, F.col("value").alias("y"), centred_rank().alias("dy"), "cnt")
@@ -140,7 +184,7 @@ def spearman_by_pair(df: DataFrame, chosen: Sequence[str], few: bool, distinct:
     spread = F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))
     found = on_side(on_side(counted, x, "x", all_few), y, "y", all_few).groupBy(*PAIR).agg(
         F.try_divide(F.sum(c * dx * dy), spread).alias("r"))
-    return every_pair(df, chosen, found)
+    return every_pair(df, chosen, found.unionByName(known) if known else found)
 
 
 def pairs_of(count: Column) -> Column:
