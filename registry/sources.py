@@ -57,6 +57,13 @@ def as_document(s, records, before, after, each=1000):
     return written(s, text, "text", maxRecordsPerFile=1)
 
 
+def broken_lines(s, d):
+    """Orders as CSV with a remark that holds line breaks, quotes and separators, in one file a task."""
+    o = orders(s, d)
+    remark = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('first "line"\n'), F.col("o_orderpriority"), F.lit(",\n\nlast"))).otherwise(F.col("o_orderpriority"))
+    return written(s, o.select("o_orderkey", remark.alias("remark"), "o_totalprice"), "csv", header=True, escape='"')
+
+
 def mixed(s, first, second):
     """A folder of folders: the first half of a table written one way, the second half another way."""
     path = scratch_folder(s)
@@ -124,6 +131,7 @@ QUERIES = {
         detect.detect_encoding(s, written(s, french(s, d), "csv")).select("encoding").distinct()),
     "read_csv_report_bad": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[0],
     "read_csv_bad_lines": lambda s, d: readers.read_csv_report_bad(s, bad_lines(s, d))[1],
+    "read_csv_line_breaks": lambda s, d: readers.read_csv_auto(s, broken_lines(s, d), sep=",", multi_line=True),
     "read_csv_mixed_separators": lambda s, d: readers.read_csv_auto(s, mixed_separators(s, d)),
     "read_csv_mixed_encodings": lambda s, d: readers.read_csv_auto(s, mixed_encodings(s, d)),
     "read_json_lines": lambda s, d: readers.read_json_auto(s, json_lines(s, d)).withColumn("o_orderdate", F.to_timestamp_ntz("o_orderdate")),
@@ -176,6 +184,8 @@ SQL = {
       CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0""",
     "read_csv_bad_lines": """SELECT concat_ws(';', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, 'extra') AS line
       FROM orders WHERE o_orderkey % 10 = 0""",
+    "read_csv_line_breaks": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0
+      THEN concat('first "line"', chr(10), o_orderpriority, ',', chr(10), chr(10), 'last') ELSE o_orderpriority END AS remark, o_totalprice FROM orders""",
     "read_csv_mixed_separators": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
       o_totalprice, o_orderpriority FROM orders""",
     "read_csv_mixed_encodings": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, concat('marché été ', lower(c_mktsegment)) AS segment FROM customer",

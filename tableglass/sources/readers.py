@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
+from tableglass.sources.records import parsed_records
 
 # The extensions of each format.
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -20,11 +21,11 @@ PARQUET_EXTENSIONS = (".parquet", ".pq")
 CORRUPT = "_corrupt_record"
 
 
-def csv_groups(spark: SparkSession, path: str, sep: str | None, encoding: str | None, multi_line: bool) -> list[tuple[dict[str, str], str | list[str]]]:
+def csv_groups(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> list[tuple[dict[str, str], str | list[str]]]:
     """(reader options, files) of the files that share separator and encoding; one row per file reaches the driver."""
     def options(s: str, e: str) -> dict[str, str]:
         # Spark finds no line ends in encodings of two or four bytes; such a file is read whole
-        whole = multi_line or e.upper().startswith(("UTF-16", "UTF-32"))
+        whole = e.upper().startswith(("UTF-16", "UTF-32"))
         return {"sep": s, "encoding": e, "header": "true", "escape": '"', "multiLine": str(whole).lower()}
     if sep and encoding:
         return [(options(sep, encoding), path)]
@@ -56,13 +57,19 @@ def read_csv_auto(
     """CSV with a header; separator, encoding and types are found out unless given, the first two for each file.
 
     Lines with more fields than the header are skipped. ``skip_bad=False`` keeps their first fields
-    instead and lets Spark parse only the columns asked for. ``multi_line=True`` accepts line breaks inside quotes; a file is
-    then read by one task, as one in UTF-16 or UTF-32 always is.
+    instead and lets Spark parse only the columns asked for. ``multi_line=True`` accepts line breaks inside quotes; many tasks
+    read a file all the same. One in UTF-16 or UTF-32 is read by one task.
     """
     if skip_bad:
         return read_csv_report_bad(spark, path, sep, encoding, schema, multi_line)[0]
     tables = []
-    for options, files in csv_groups(spark, path, sep, encoding, multi_line):
+    for options, files in csv_groups(spark, path, sep, encoding):
+        if by_records(options, multi_line):
+            fields, _ = parsed_records(spark, files, options, schema, CORRUPT)
+            tables.append(fields.drop(CORRUPT))
+            continue
+        if multi_line:
+            options["multiLine"] = "true"
         reader = spark.read.options(**options)
         tables.append(reader.schema(schema).csv(files) if schema else reader.csv(files, inferSchema=True))
     return together(tables)
@@ -74,20 +81,28 @@ def read_csv_report_bad(
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): a line with more fields than the header is bad and left out of the
     rows; one with fewer is filled with NULL. Bad lines come as (line)."""
-    parts = [_csv_part(spark, files, options, schema) for options, files in csv_groups(spark, path, sep, encoding, multi_line)]
+    parts = [_csv_part(spark, files, options, schema, by_records(options, multi_line)) for options, files in csv_groups(spark, path, sep, encoding)]
     return together([good for good, _ in parts]), together([bad for _, bad in parts])
 
 
+def by_records(options: dict[str, str], multi_line: bool) -> bool:
+    """Whether records are found over lines; encodings of two or four bytes are left to Spark, which then reads a file whole."""
+    return multi_line and options["multiLine"] == "false"
+
+
 def _csv_part(
-    spark: SparkSession, files: str | list[str], options: dict[str, str], schema: T.StructType | None,
+    spark: SparkSession, files: str | list[str], options: dict[str, str], schema: T.StructType | None, records: bool,
 ) -> tuple[DataFrame, DataFrame]:
-    reader = spark.read.options(**options)
-    if schema is None:
-        schema = reader.csv(files, inferSchema=True).schema
-    marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    # without pruning: a line is judged by all its fields, whichever are asked for
-    lines = spark.read.options(**options, columnPruning="false").schema(marked).csv(
-        files, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    if records:
+        lines, schema = parsed_records(spark, files, options, schema, CORRUPT)
+    else:
+        reader = spark.read.options(**options)
+        if schema is None:
+            schema = reader.csv(files, inferSchema=True).schema
+        marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        # without pruning: a line is judged by all its fields, whichever are asked for
+        lines = spark.read.options(**options, columnPruning="false").schema(marked).csv(
+            files, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     unquoted = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(options["sep"]), F.lit(""))) + 1
     too_many = F.coalesce(fields > len(schema.fields), F.lit(False))
