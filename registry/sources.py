@@ -83,12 +83,23 @@ def mixed_encodings(s, d):
 
 
 def one_element(s, d):
-    """A list with one nested object."""
-    return as_document(s, nested(s, d).filter("o_orderkey = 1").select(F.to_json(F.struct("*")).alias("record")), "[\n", "\n]")
+    """A list with one nested object, a document for each supplier."""
+    nested = table(s, d, "supplier").select(F.to_json(F.struct("s_suppkey", F.struct("s_name", F.struct("s_acctbal").alias("account")).alias("who"))).alias("value"))
+    return written(s, nested.select(F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")), "text", maxRecordsPerFile=1)
 
 
 def json_records(s, d):
-    return table(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("record"))
+    return orders(s, d).select(F.to_json(F.struct("o_orderkey", "o_orderpriority")).alias("record"))
+
+
+def one_list(s, d):
+    """One document with all orders in one list, its elements with nested objects, quotes, brackets and backslashes; written by one task."""
+    odd = F.when(F.col("o_orderkey") % 3 == 0, F.lit('a "}" and ]\\')).otherwise(F.col("o_orderpriority"))
+    record = F.to_json(F.struct("o_orderkey", odd.alias("remark"), F.struct("o_totalprice", F.array(F.struct("o_custkey")).alias("list")).alias("more")))
+    least = orders(s, d).agg(F.min("o_orderkey")).scalar()
+    lines = orders(s, d).select("o_orderkey", F.concat(F.when(F.col("o_orderkey") == least, "[").otherwise(","), record).alias("value"))
+    end = orders(s, d).agg((F.max("o_orderkey") + 1).alias("o_orderkey"), F.lit("]").alias("value"))
+    return written(s, lines.unionByName(end).coalesce(1).sortWithinPartitions("o_orderkey").select("value"), "text")
 
 
 def nested(s, d):
@@ -137,8 +148,9 @@ QUERIES = {
     "read_json_lines": lambda s, d: readers.read_json_auto(s, json_lines(s, d)).withColumn("o_orderdate", F.to_timestamp_ntz("o_orderdate")),
     "read_json_good_lines": lambda s, d: readers.read_json_report_bad(s, bad_json_lines(s, d))[0],
     "read_json_bad_lines": lambda s, d: readers.read_json_report_bad(s, bad_json_lines(s, d))[1],
-    "read_json_one_element": lambda s, d: readers.read_json_auto(s, one_element(s, d)).select(
-        "o_orderkey", "order.o_totalprice", "order.state.o_orderstatus", "order.state.o_orderpriority"),
+    "read_json_one_element": lambda s, d: readers.read_json_auto(s, one_element(s, d)).select("s_suppkey", "who.s_name", "who.account.s_acctbal"),
+    "read_json_one_list": lambda s, d: readers.read_json_auto(s, one_list(s, d), cut_bytes=0).select(
+        "o_orderkey", "remark", "more.o_totalprice", F.col("more.list")[0]["o_custkey"].alias("o_custkey")),
     "read_json_array": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), "[\n", "\n]")),
     "read_json_root": lambda s, d: readers.read_json_auto(s, as_document(s, json_records(s, d), '{"data": [\n', "\n]}")),
     "read_json_object": lambda s, d: readers.read_json_auto(s, one_object(s, d)),
@@ -192,11 +204,12 @@ SQL = {
     "read_json_good_lines": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0",
     "read_json_bad_lines": """SELECT left(concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey, ',"o_orderstatus":"', o_orderstatus, '"}'), 20) AS line
       FROM orders WHERE o_orderkey % 10 = 0""",
-    "read_json_one_element": """SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority
-      FROM orders WHERE o_orderkey = 1""",
+    "read_json_one_element": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "read_json_one_list": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'a "}" and ]\\' ELSE o_orderpriority END AS remark,
+      o_totalprice, o_custkey FROM orders""",
     "read_json_lines": f"SELECT {COLUMNS}, o_orderdate FROM orders",
-    "read_json_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
-    "read_json_root": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
+    "read_json_array": "SELECT o_orderkey, o_orderpriority FROM orders",
+    "read_json_root": "SELECT o_orderkey, o_orderpriority FROM orders",
     "read_json_object": """SELECT count(*) AS orders, min(o_custkey) AS "customer.least", max(o_custkey) AS "customer.most" FROM orders""",
     "flatten_struct": """SELECT o_orderkey, o_totalprice AS "order.o_totalprice", o_orderstatus AS "order.state.o_orderstatus",
       o_orderpriority AS "order.state.o_orderpriority" FROM orders""",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
+from tableglass.sources.elements import list_files, read_elements
 from tableglass.sources.records import parsed_records
 
 # The extensions of each format.
@@ -140,15 +141,37 @@ def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in found.items()}
 
 
-def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
+def large_lists(spark: SparkSession, layout: str, files: list[str], cut_bytes: int | None) -> tuple[list[str], int]:
+    """(those of the files above ``cut_bytes`` that are a list of objects throughout, the list's depth)."""
+    depth = {"list": 1, "object": 2}.get(layout)
+    if depth is None:
+        return [], 0
+    if cut_bytes is None:  # a smaller file is one task's work in any case
+        cut_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    lengths = spark.read.format("binaryFile").load(files).filter(F.col("length") > cut_bytes).select("path")
+    large = [file_name(r["path"]) for r in lengths.collect()]
+    return [file_name(f) for f in list_files(spark, large, depth)] if large else [], depth
+
+
+def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None) -> DataFrame:
     """JSON in any of four layouts, found out for each file: one object per line; a list of objects; one object holding a
     single list (its elements become the rows); one other object (flattened to one row).
 
-    Lines are read in parallel, a document by one task. What is no JSON is an error, never left out;
+    Lines are read in parallel, and so are the elements of a list of objects in a document of more than ``cut_bytes`` (what
+    Spark gives to one task of a file); other documents by one task each. What is no JSON is an error, never left out;
     :func:`read_json_report_bad` returns bad lines beside the good ones.
     """
     tables = []
     for layout, files in sorted(json_layouts(spark, path).items()):
+        cut, depth = large_lists(spark, layout, files, cut_bytes)
+        if cut:
+            df = read_elements(spark, cut, depth, CORRUPT)
+            if CORRUPT in df.columns:
+                raise ValueError(f"{path}: elements of a list that are no JSON")
+            tables.append(df)
+            files = sorted(set(files) - set(cut))
+        if not files:
+            continue
         df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(files, multiLine=layout != "lines")
         if CORRUPT in df.columns:
             raise ValueError(f"{path}: not JSON in any known layout, or lines that are malformed (read_json_report_bad shows them)")

@@ -1,12 +1,13 @@
-"""CSV with line breaks in quotes: records over the borders of the blocks that tasks read."""
+"""CSV with line breaks in quotes and JSON lists: records over the borders of the blocks that tasks read."""
 
 import csv
 import io
+import json
 import random
 
 import pytest
 
-from tableglass.sources import readers, records
+from tableglass.sources import elements, readers, records
 
 
 @pytest.fixture
@@ -67,3 +68,41 @@ def test_bad_records_folders_and_schema(spark, tmp_path, small_blocks):
 
 def test_header_names():
     assert records.header_names("﻿a,,b,A", ",") == ["a0", "_c1", "b", "A3"]
+
+
+def objects(n):
+    rng = random.Random(n)
+    texts = ["plain", 'quote " here', "}", "{[", "back\\slash\\", '\\"}', "line\nbreak", "é日", "]" * 50, "long " * 100]
+    return [{"k": i, "t": "".join(rng.choice(texts) for _ in range(rng.randint(0, 4))), "o": {"p": [{"q": i % 3}], "e": {}}} for i in range(n)]
+
+
+def plain(rows):
+    return sorted((r["k"], r["t"], r["o"]["p"][0]["q"]) for r in rows)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("root", [None, 'da"t}a['])
+def test_list_elements_over_block_borders(spark, tmp_path, small_blocks, indent, root):
+    rows = objects(150)
+    (tmp_path / "a.json").write_text(json.dumps({root: rows} if root else rows, indent=indent, ensure_ascii=False) + "\n")
+    df = readers.read_json_auto(spark, str(tmp_path / "a.json"))
+    assert plain(df.collect()) == plain(rows)
+    assert "file_block_start" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert elements.blocks(spark, str(tmp_path / "a.json"), "}", "UTF-8").rdd.getNumPartitions() > 20
+
+
+def test_documents_that_are_no_plain_list(spark, tmp_path, small_blocks):
+    """Whatever doesn't look like a list of objects from end to end is read as before, by one task."""
+    def judged(text, depth):
+        (tmp_path / "x.json").write_text(text)
+        return len(elements.list_files(spark, [str(tmp_path / "x.json")], depth))
+    many = ", ".join(json.dumps(o) for o in objects(20))
+    assert judged(f"[{many}]", 1) == 1 and judged(f'{{"a": [{many}]}}', 2) == 1 and judged('[{"a": {}}]', 1) == 1
+    for text, depth in ((f"[{many}, 5]", 1), (f"[{many}", 1), (f"[{many}] x", 1), (f'{{"a": [{many}], "b": 1}}', 2), (f'{{"b": 1, "a": [{many}]}}', 2),
+                        ("[1, 2]", 1), ("[]", 1), (f"[{many} {many}]", 1), (f"[[{many}]]", 1), ('{"a": {"b": 1}}', 2)):
+        assert judged(text, depth) == 0, text[-30:]
+    (tmp_path / "y.json").write_text(json.dumps({"n": list(range(500)), "m": {"x": 1}}))
+    assert readers.read_json_auto(spark, str(tmp_path / "y.json")).columns == ["m.x", "n"]
+    (tmp_path / "z.json").write_text(f"[{many}, {{broken}}]")
+    with pytest.raises(ValueError):
+        readers.read_json_auto(spark, str(tmp_path / "z.json"))
