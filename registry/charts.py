@@ -98,6 +98,15 @@ def named(s, d):
     return events(s, d).select(F.col("user_id").alias("count"), F.col("event_type").alias("n"), F.col("value").alias("y"))
 
 
+def line_points_sql(x, y, color, place, n, of):
+    """In each of n equal parts of x (and colour) the first, last, lowest and highest point."""
+    by = f"{color}, bin" if color else "bin"
+    ends = " UNION ".join(f"SELECT {color + ', ' if color else ''}{x}, {y} FROM p QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {order}) = 1" for order in (
+        f"{x}, {y}", f"{x} DESC, {y} DESC", f"{y}, {x}", f"{y} DESC, {x} DESC"))
+    return f"""WITH e AS (SELECT min({place}) AS lo, max({place}) AS hi FROM {of}),
+      p AS (SELECT *, least(floor(({place} - lo) / (hi - lo) * {n}.0e0) + 1, {n}) AS bin FROM {of}, e) {ends}"""
+
+
 QUERIES = {
     "hist_numeric": lambda s, d: rounded(charts.hist_numeric(lineitem(s, d), "l_extendedprice")),
     "hist_empty_bins": lambda s, d: rounded(charts.hist_numeric(with_nulls(s, d), "value", 200)),
@@ -115,7 +124,9 @@ QUERIES = {
     "line_raw": lambda s, d: charts.line_raw(orders(s, d), "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderkey"),
     "line_auto": lambda s, d: rounded(charts.line_auto(orders(s, d), "o_orderdate", "o_totalprice"), 5),
     "line_auto_raw": lambda s, d: charts.line_auto(
-        orders(s, d), "o_orderdate", "o_totalprice", "o_orderstatus", aggregate=False, order_by="o_orderkey"),
+        orders(s, d), "o_orderdate", "o_totalprice", "o_orderstatus", aggregate=False, order_by="o_orderkey", max_points=None),
+    "line_auto_points": lambda s, d: charts.line_auto(events(s, d), "ts", "value", "event_type", aggregate=False, max_points=50),
+    "line_points_numbers": lambda s, d: charts.line_points(lineitem(s, d), "l_extendedprice", "l_quantity", max_points=1000),
     "value_counts_named_count": lambda s, d: value_counts(named(s, d), "count", 20),
     "box_summary_named_n": lambda s, d: rounded(charts.box_summary(named(s, d), "y", "n")),
     "violin_density_groups": lambda s, d: rounded(charts.violin_density(grouped_events(s, d), "value", "kind", "side"), 5, density=9),
@@ -164,6 +175,8 @@ SQL = {
     "line_auto": "SELECT o_orderdate, round(avg(o_totalprice), 5) AS o_totalprice FROM orders GROUP BY 1",
     "scatter_sample": """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
       ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 5000""",
+    "line_auto_points": line_points_sql("ts", "value", "event_type", "CAST(epoch_us(ts) AS DOUBLE)", 50, "events"),
+    "line_points_numbers": line_points_sql("l_extendedprice", "l_quantity", None, "l_extendedprice", 1000, "lineitem"),
     "line_auto_raw": "SELECT o_orderdate, o_totalprice, o_orderstatus FROM orders",
     "value_counts_named_count": """SELECT user_id AS "count", count(*) AS count_ FROM events WHERE user_id IS NOT NULL GROUP BY 1
       ORDER BY 2 DESC, 1 LIMIT 20""",

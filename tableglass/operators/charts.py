@@ -178,15 +178,41 @@ def line_raw(
     return ordered.select(*[value(df, c).alias(c) for c in names])
 
 
+def line_points(df: DataFrame, x: str, y: str, color: str | None = None, max_points: int = LINE_POINTS) -> DataFrame:
+    """The points that draw the same line as all rows on ``max_points`` columns of pixels: in each column, of each colour, the first and
+    last point and the lowest and highest. At most four a column; rows without x or y are left out.
+
+    x has to be a number or a date. Points are compared by x, then y (first and last) or by y, then x (lowest and highest), so ties
+    take the smaller, for last and highest the larger. One aggregate with map-side combining; only columns of pixels are shuffled.
+    """
+    keys = [color] if color and color not in (x, y) else []
+    named, names = keyed(df, keys)
+    place, height = number(df, x), number(df, y)
+    edges = scalars(df.filter(height.isNotNull()), lo=F.min(place), hi=F.max(place))
+    own = F.struct(value(df, x).alias("x"), value(df, y).alias("y"))
+    points = named.filter(place.isNotNull() & height.isNotNull()).select(
+        *[raw(n) for n in names], bin_of(place, edges.getField("lo"), edges.getField("hi"), max_points).alias("bin"),
+        F.struct(place.alias("a"), height.alias("b"), own.alias("p")).alias("across"), F.struct(height.alias("a"), place.alias("b"), own.alias("p")).alias("up"))
+    ends = points.groupBy(*names, "bin").agg(
+        F.min("across").alias("first"), F.max("across").alias("last"), F.min("up").alias("low"), F.max("up").alias("high"))
+    four = F.array_distinct(F.array(*[F.col(f"{c}.p") for c in ("first", "last", "low", "high")]))
+    drawn = ends.select(*names, F.inline(four))
+    shown = drawn.select(raw("x").alias(x), *([raw("y").alias(y)] if y != x else []), *[raw(n).alias(k) for n, k in zip(names, keys)])
+    return shown.orderBy(raw(x), *([raw(y)] if y != x else []))
+
+
 def line_auto(
     df: DataFrame, x: str, y: str, color: str | None = None, aggregate: bool = True,
-    order_by: Sequence[str] | str | None = None,
+    order_by: Sequence[str] | str | None = None, max_points: int | None = LINE_POINTS,
 ) -> DataFrame:
-    """The mean of y per x, whatever the colour, or the rows as they are with ``aggregate=False``. Whoever draws them asks for
-    rows up to LINE_POINTS of them; the result's columns don't depend on how many there are."""
+    """The mean of y per x, whatever the colour, or with ``aggregate=False`` the rows: the points that draw the same line on ``max_points``
+    columns of pixels, or all rows with ``max_points=None``, or where x is neither a number nor a date. The result's columns
+    don't depend on how many rows there are."""
     if aggregate:
         return line_mean_by(df, y, x)
-    return line_raw(df, y, x, color, order_by or x)
+    if max_points is None or class_of(field_of(df, x).dataType) not in (NUMERIC, DATETIME):
+        return line_raw(df, y, x, color, order_by or x)
+    return line_points(df, x, y, color, max_points)
 
 
 def area_series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

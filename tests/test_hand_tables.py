@@ -337,3 +337,27 @@ def test_ranks_of_hot_values(spark, monkeypatch, nulls):
         spark.conf.unset("tableglass.joins.hotRows")
     for w, g in zip(want, got):
         assert w.keys() == g.keys() and all(g[k] == pytest.approx(w[k]) for k in w)
+
+
+def test_line_points_draw_the_same_line(spark):
+    """In every column of pixels the reduced line starts, ends, falls and rises where the whole one does."""
+    import random
+
+    from tableglass.operators import charts
+    rng = random.Random(1)
+    rows = [(float(rng.randint(0, 999)), rng.choice("ab"), rng.gauss(0, 5)) for _ in range(5000)] + [(None, "a", 1.0), (5.0, "a", None), (5.0, None, 99.0), (7.0, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "x double, k string, y double").repartition(4)
+    few = [tuple(r) for r in charts.line_points(df, "x", "y", "k", max_points=40).collect()]
+    assert len(few) <= 4 * 40 * 3
+
+    def columns(points):
+        found = {}
+        for x, y, k in points:
+            found.setdefault((k, min(int(x / 999.0 * 40), 39)), []).append((x, y))
+        return {c: (min(p), max(p), min(y for _, y in p), max(y for _, y in p)) for c, p in found.items()}
+    assert columns(few) == columns([(x, y, k) for x, k, y in rows if x is not None and y is not None and y == y])
+    assert [r[0] for r in few] == sorted(r[0] for r in few)
+    one = charts.line_auto(df, "x", "y", aggregate=False, max_points=10)
+    assert one.columns == ["x", "y"] and one.count() <= 40
+    assert charts.line_auto(df.limit(0), "x", "y", "k", aggregate=False).collect() == []
+    assert charts.line_auto(df, "x", "y", "k", aggregate=False, max_points=None).count() == len(rows)
