@@ -37,6 +37,7 @@ def step(number, kind, column="NULL", method="NULL", before="NULL", after="NULL"
 
 
 QUERIES = {
+    "remove_duplicates_wide": lambda s, d: clean.remove_duplicates(table(s, d, "lineitem").unionAll(table(s, d, "lineitem").filter("l_orderkey % 100 = 7"))),
     "remove_duplicates": lambda s, d: clean.remove_duplicates(table(s, d, "events").select("user_id", "event_type")),
     "fill_mean": lambda s, d: rounded(clean.fill_mean(gaps(s, d), "value").select("event_id", "value")),
     "fill_median": lambda s, d: rounded(clean.fill_median(gaps(s, d), "value").select("event_id", "value")),
@@ -48,6 +49,7 @@ QUERIES = {
 }
 
 SQL = {
+    "remove_duplicates_wide": "SELECT DISTINCT * FROM lineitem",
     "remove_duplicates": "SELECT DISTINCT user_id, event_type FROM events",
     "fill_mean": f"SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {GAPS})), 6) AS value FROM {GAPS}",
     "fill_median": f"SELECT event_id, round(coalesce(value, (SELECT median(value) FROM {GAPS})), 6) AS value FROM {GAPS}",

@@ -48,6 +48,12 @@ def outlier_sql(select):
     return f"SELECT {select} FROM ({' UNION ALL '.join(parts)}) WHERE present >= 10 AND outliers > 0"
 
 
+def wide_repeated(s, d):
+    """Whole line items, those of every hundredth order twice."""
+    items = table(s, d, "lineitem")
+    return items.unionAll(items.filter("l_orderkey % 100 = 7"))
+
+
 QUERIES = {
     "outliers_iqr_all_large": large(lambda s, d: quality.outliers_iqr_all(measured(s, d))),
     "missing_report": lambda s, d: quality.missing_report(labelled(s, d)),
@@ -55,6 +61,8 @@ QUERIES = {
     "missing_recommendations_skewed": lambda s, d: quality.missing_recommendations(with_nulls(s, d)),
     "duplicate_count": lambda s, d: quality.duplicate_count(repeated(s, d)),
     "duplicate_rows": lambda s, d: quality.duplicate_rows(repeated(s, d), 10),
+    "duplicate_count_wide": lambda s, d: quality.duplicate_count(wide_repeated(s, d)),
+    "duplicate_rows_wide": lambda s, d: quality.duplicate_rows(wide_repeated(s, d), 10),
     "key_candidate_duplicates": lambda s, d: quality.key_candidate_duplicates(
         table(s, d, "lineitem").select("l_returnflag", "l_shipdate", "l_partkey", "l_orderkey")).select(
         F.concat_ws(",", "columns").alias("columns"), "duplicates"),
@@ -84,6 +92,11 @@ SQL = {
       FROM (SELECT count(*) AS n FROM lineitem GROUP BY {COLUMNS4})""",
     "duplicate_rows": f"""SELECT {COLUMNS4} FROM (SELECT {COLUMNS4}, count(*) OVER (PARTITION BY {COLUMNS4}) AS n FROM lineitem)
       WHERE n > 1 ORDER BY {COLUMNS4} LIMIT 10""",
+    "duplicate_count_wide": """SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+      round(100.0 * sum(n - 1) / CAST(sum(n) AS DOUBLE), 2) AS pct FROM (SELECT count(*) AS n FROM (
+        SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 100 = 7) t GROUP BY t)""",
+    "duplicate_rows_wide": """SELECT * EXCLUDE (n) FROM (SELECT *, 2 AS n FROM lineitem WHERE l_orderkey % 100 = 7 UNION ALL
+      SELECT *, 2 FROM lineitem WHERE l_orderkey % 100 = 7) ORDER BY ALL LIMIT 10""",
     "key_candidate_duplicates": """SELECT * FROM (
       SELECT 'l_returnflag' AS columns, count(*) - count(DISTINCT l_returnflag) AS duplicates FROM lineitem UNION ALL
       SELECT 'l_returnflag,l_shipdate', count(*) - count(DISTINCT (l_returnflag, l_shipdate)) FROM lineitem UNION ALL

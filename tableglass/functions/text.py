@@ -14,8 +14,7 @@ from tableglass.functions import words
 
 def normalized(text: Column) -> Column:
     """Lower case, everything but letters, digits and underscores as single spaces."""
-    spaced = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " ")
-    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
 
 
 def normalized_name(name: str) -> str:

@@ -15,13 +15,20 @@ from tableglass.operators.quality import whole_rows
 from tableglass.operators.rows import drop_column
 from tableglass.operators.stats import mode_of
 from tableglass.plans.quantiles import exact_quantiles
+from tableglass.plans.repeats import split_repeats
 
 REPORT = "step int, type string, column string, method string, rows_before bigint, rows_after bigint, " \
          "rows_removed bigint, filled bigint"
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """One of each group of identical rows."""
+    """One of each group of identical rows. Unique rows of a wide table stay where they are."""
+    alone, others = split_repeats(df, whole_rows(df))
+    first = first_of_each(others)
+    return first if alone is None else first.unionByName(clean(alone))
+
+
+def first_of_each(df: DataFrame) -> DataFrame:
     table = clean(df)
     if not any(has_map(f.dataType) for f in df.schema.fields):
         return table.dropDuplicates()

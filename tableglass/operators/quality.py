@@ -16,6 +16,7 @@ from tableglass.operators.profile import kind, missing, of_class, rows
 from tableglass.plans.distinct import distinct_metric
 from tableglass.plans.names import free
 from tableglass.plans.quantiles import quantile_columns
+from tableglass.plans.repeats import split_repeats
 from tableglass.plans.reports import column_report, scalars
 
 # Thresholds of the reports.
@@ -72,8 +73,19 @@ def whole_rows(df: DataFrame) -> list[Column]:
 
 
 def row_groups(df: DataFrame) -> DataFrame:
-    """(columns..., COPIES): one row per distinct row; copies meet already on the map side."""
-    return df.groupBy(*whole_rows(df)).agg(F.count(F.lit(1)).alias(COPIES))
+    """(columns..., COPIES): one row per distinct row; copies meet already on the map side. Unique rows of a wide table are not
+    shuffled."""
+    alone, others = split_repeats(df, whole_rows(df))
+    groups = others.groupBy(*whole_rows(others)).agg(F.count(F.lit(1)).alias(COPIES))
+    if alone is None:
+        return groups
+    return groups.unionByName(alone.select(*whole_rows(alone), F.lit(1).cast("bigint").alias(COPIES)))
+
+
+def repeated_groups(df: DataFrame) -> DataFrame:
+    """Those of the row groups that have more than one copy; unique rows of a wide table are not looked at again."""
+    _, others = split_repeats(df, whole_rows(df))
+    return others.groupBy(*whole_rows(others)).agg(F.count(F.lit(1)).alias(COPIES)).filter(F.col(COPIES) > 1)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -86,7 +98,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows, in order of all columns, of those that have an identical other row."""
     keys = [raw(c).asc_nulls_last() for c in df.columns]
-    groups = row_groups(df).filter(F.col(COPIES) > 1).orderBy(*keys).limit(n)
+    groups = repeated_groups(df).orderBy(*keys).limit(n)
     copies = F.explode(F.sequence(F.lit(1), F.least(F.col(COPIES), F.lit(n)).cast("int"))).alias("__tg_copy")
     return groups.select(*[raw(c) for c in df.columns], copies).orderBy(*keys).limit(n).drop("__tg_copy")
 

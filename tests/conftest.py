@@ -27,3 +27,19 @@ def counting(spark):
     spark.conf.set("tableglass.quantiles.bufferRows", "0")
     yield
     spark.conf.unset("tableglass.quantiles.bufferRows")
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that an action shuffles."""
+    def measured(action):
+        sc = spark.sparkContext._jsc.sc()
+
+        def total():
+            sc.listenerBus().waitUntilEmpty(30_000)
+            executors = sc.statusStore().executorList(True)
+            return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+        before = total()
+        action()
+        return total() - before
+    return measured
