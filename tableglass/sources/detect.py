@@ -7,6 +7,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tableglass.sources.heads import heads
+
 # The separators considered, in order of preference, and the bytes looked at.
 SEPARATORS = [",", ";", "\t", "|", ":"]
 SAMPLE_BYTES = 4096
@@ -32,9 +34,14 @@ def separators(lines: DataFrame) -> DataFrame:
     start = few.withColumn("before", before).filter(F.col("before") < SAMPLE_BYTES).select(
         "file", F.substring(F.col("value"), F.lit(1), (F.lit(SAMPLE_BYTES) - F.col("before")).cast("int")).alias("value"))
 
+    return most_frequent(start, "value")
+
+
+def most_frequent(texts: DataFrame, column: str) -> DataFrame:
+    """(file, separator): of each file's texts the separator that occurs most, the earlier of equal ones, a comma if none."""
     def times(separator: str):
-        return F.coalesce(F.sum(F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))), F.lit(0))
-    counted = start.groupBy("file").agg(*[times(s).alias(f"n{i}") for i, s in enumerate(SEPARATORS)])
+        return F.coalesce(F.sum(F.octet_length(column) - F.octet_length(F.replace(column, F.lit(separator), F.lit("")))), F.lit(0))
+    counted = texts.groupBy("file").agg(*[times(s).alias(f"n{i}") for i, s in enumerate(SEPARATORS)])
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(SEPARATORS))])
     best = F.when(most == 0, SEPARATORS[0])
     for i, s in enumerate(SEPARATORS):
@@ -42,9 +49,17 @@ def separators(lines: DataFrame) -> DataFrame:
     return counted.select("file", best.alias("separator"))
 
 
+def separators_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, separator) from the first 4096 bytes of each file; only files whose beginning can't be read by itself are scanned."""
+    known = heads(spark, path, SAMPLE_BYTES)
+    apart = most_frequent(known.filter("head IS NOT NULL").select("file", F.col("head").cast("string").alias("value")), "value")
+    others = sorted(file_name(r["file"]) for r in known.filter("head IS NULL").select("file").collect())
+    return apart.unionByName(separators(numbered_lines(spark, others))) if others else apart
+
+
 def detect_separator(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, separator) of every file."""
-    return separators(numbered_lines(spark, path))
+    return separators_of(spark, path)
 
 
 def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,7 +77,7 @@ def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def csv_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, separator, encoding) of every file that has a line."""
-    return separators(numbered_lines(spark, path)).join(detect_encoding(spark, path), "file")
+    return separators_of(spark, path).join(detect_encoding(spark, path), "file")
 
 
 def file_name(uri: str) -> str:

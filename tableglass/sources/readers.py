@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
 from tableglass.sources.elements import list_files, read_elements
+from tableglass.sources.heads import head_lines, heads
 from tableglass.sources.records import parsed_records
 
 # The extensions of each format.
@@ -127,18 +128,43 @@ def flatten_struct(df: DataFrame) -> DataFrame:
 
 def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The files by layout, from their first line that is not blank: ``list`` where it begins with [, ``object`` where it begins
-    with a { that does not close on the line, else ``lines``. A single file with a single line is an ``object`` too."""
+    with a { that does not close on the line, else ``lines``. A single file with a single line is an ``object`` too.
+
+    The first bytes of a file tell as a rule; only a file whose first line is longer, or that may have no second one, is read.
+    """
+    complete = F.filter(F.transform(head_lines(F.col("head"), F.col("length")), lambda x: F.trim(x)), lambda x: x != "")
+    begin = F.trim(F.regexp_replace(F.col("head").cast("string"), "^[ \r\n]+", ""))
+    known = heads(spark, path).select("file", F.substring(begin, 1, 1).alias("mark"), F.get(complete, F.lit(0)).alias("first"), F.size(complete).alias("lines"), "length",
+                                      F.octet_length("head").alias("seen"))
+    facts = known.select("file", "mark", F.from_json("first", "map<string,string>").isNotNull().alias("whole"), "lines", (F.col("first").isNull()).alias("cut"),
+                         (F.col("length") <= F.col("seen")).alias("all")).collect()  # a row for each file
+    found, unknown = defaultdict(list), []
+    for row in facts:
+        alone = len(facts) == 1
+        if row["mark"] == "[":
+            found["list"].append(file_name(row["file"]))
+        elif not row["mark"] or row["cut"] or (alone and row["lines"] == 1 and not row["all"]):
+            if row["mark"] or not row["all"]:  # a file of blanks has no rows
+                unknown.append(file_name(row["file"]))
+        else:
+            single = alone and row["lines"] == 1
+            found["object" if row["mark"] == "{" and (single or not row["whole"]) else "lines"].append(file_name(row["file"]))
+    for layout, files in (scanned_layouts(spark, unknown, len(facts) == 1) if unknown else {}).items():
+        found[layout] += files
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def scanned_layouts(spark: SparkSession, path: list[str], alone: bool) -> dict[str, list[str]]:
+    """The layouts of files whose first lines are long or packed, found by reading them."""
     text = F.trim("value")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("text"),
                                          F.monotonically_increasing_id().alias("line")).filter(F.col("text") != "")
     first = F.min_by(F.struct(F.substring("text", 1, 1).alias("mark"), F.from_json("text", "map<string,string>").isNotNull().alias("whole")), "line")
-    files = lines.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("lines")).collect()
     found = defaultdict(list)
-    for row in files:
+    for row in lines.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("lines")).collect():
         mark, whole = row["first"]["mark"], row["first"]["whole"]
-        alone = len(files) == 1 and row["lines"] == 1
-        found["list" if mark == "[" else "object" if mark == "{" and (alone or not whole) else "lines"].append(file_name(row["file"]))
-    return {k: sorted(v) for k, v in found.items()}
+        found["list" if mark == "[" else "object" if mark == "{" and (alone and row["lines"] == 1 or not whole) else "lines"].append(file_name(row["file"]))
+    return found
 
 
 def large_lists(spark: SparkSession, layout: str, files: list[str], cut_bytes: int | None) -> tuple[list[str], int]:
