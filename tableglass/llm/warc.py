@@ -77,6 +77,7 @@ def write_archives(pages: DataFrame, path: str, url: str = "url", payload: str =
 # ---------------------------------------------------------------- reading
 
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
 def _sha1_of(label: str | None) -> str | None:
@@ -124,65 +125,106 @@ def parse_record(data: memoryview, at: int) -> tuple[int, dict[str, str], memory
     tail = re.compile(rb"\r\n\r\n|\n\n").match(raw, end)
     if not tail:
         raise ValueError("no record end")
+    wanted = _sha1_of(headers.get("warc-payload-digest"))
+    if wanted and headers.get("warc-type") != "revisit" and hashlib.sha1(_payload(headers, block)[0]).hexdigest() != wanted:
+        raise ValueError("payload digest differs")
     return tail.end(), headers, block
 
 
-def parse_at(data: memoryview, at: int) -> tuple[int, list[tuple[dict[str, str], memoryview]]]:
-    """(end, records) of the gzip member or plain record at ``at``; every record of a member must pass."""
-    if bytes(data[at:at + 3]) != b"\x1f\x8b\x08":
-        end, headers, block = parse_record(data, at)
-        return end, [(headers, block)]
-    member = zlib.decompressobj(31)
-    parts, part, left = [], at, b""
-    try:
-        while not member.eof:
-            if part >= len(data):
-                raise ValueError("truncated member")
-            parts.append(member.decompress(data[part:part + (1 << 20)]))
-            part += 1 << 20
-    except zlib.error as e:
-        raise ValueError("bad member") from e
-    left = member.unused_data
-    plain, pos, found = memoryview(b"".join(parts)), 0, []
-    if not plain:
-        raise ValueError("empty member")
-    while pos < len(plain):
-        pos, headers, block = parse_record(plain, pos)
-        found.append((headers, block))
-    return min(part, len(data)) - len(left), found
-
+STEP, FINE_STEP = 1 << 20, 64  # compressed bytes unpacked at a time, and before the place of an error
 
-def salvage(content: bytes) -> Iterator[tuple]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason): every byte belongs to one of them.
 
-    Where a check fails, the bytes up to the next version line or gzip member that passes all checks are a gap.
-    """
-    data, at, gap, reason = memoryview(content), 0, None, ""
-    while at < len(content):
+def unpack(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """(what the gzip member at ``at`` holds, its end, what is wrong with it or ""). Of a cut or damaged member all that can be
+    unpacked; its end is then where that ended. One whose check sum differs holds nothing that can be relied on."""
+    member, parts, part = zlib.decompressobj(31), [], at
+    while not member.eof:
+        if part >= len(data):
+            return b"".join(parts), len(data), "truncated member"
+        step, before = data[part:part + STEP], member.copy()
+        try:
+            parts.append(member.decompress(step))
+            part += len(step)
+        except zlib.error as e:
+            if "check" in str(e):
+                return b"", part, "bad member"
+            for i in range(0, len(step), FINE_STEP):
+                try:
+                    parts.append(before.decompress(step[i:i + FINE_STEP]))
+                except zlib.error:
+                    return b"".join(parts), part + i, "bad member"
+    return b"".join(parts), part - len(member.unused_data), ""
+
+
+def _plain(data: memoryview, version: re.Pattern) -> Iterator[tuple]:
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason) of plain records; where ``version`` finds
+    something else than a record, what stands there is looked at by :func:`_member`."""
+    at, gap, reason = 0, None, ""
+    while at < len(data):
         try:
-            end, found = parse_at(data, at)
+            if bytes(data[at:at + 3]) == b"\x1f\x8b\x08" and version is VERSION:
+                end, found, rest = _member(data, at)
+            else:
+                end, headers, block = parse_record(data, at)
+                found, rest = [("record", at, end - at, headers, block)], ""
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            following = VERSION.search(content, at + 1)
-            at = following.start() if following else len(content)
+            following = version.search(data.obj, at + 1)
+            at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
-            gap = None
-        for headers, block in found:
-            yield "record", at, end - at, headers, block
-        at = end
-    if gap is not None:
-        yield "gap", gap, len(content) - gap, reason
+        yield from found
+        gap, reason, at = (None, "", end) if not rest else (end, rest, end)
+        if rest:  # the member's end isn't known: on to what comes next
+            following = version.search(data.obj, at)
+            at = following.start() if following else len(data)
+            if at == gap:
+                gap = None
+    if gap is not None and gap < len(data):
+        yield "gap", gap, len(data) - gap, reason
+
+
+def _member(data: memoryview, at: int) -> tuple[int, list[tuple], str]:
+    """(end, records and gaps, what is wrong with the rest) of the gzip member at ``at``. A gap inside stands at the member's place in the
+    file, and its reason names the unpacked bytes. Of a damaged member only records that carry a digest are taken."""
+    unpacked, end, wrong = unpack(data, at)
+    if not unpacked:
+        raise ValueError(wrong or "empty member")
+    sure = lambda h: wrong != "bad member" or h.get("warc-block-digest") or h.get("warc-payload-digest")
+    found, first = [], "no record"
+    for kind, begin, length, *more in _plain(memoryview(unpacked), LINE):
+        if kind == "record" and sure(more[0]):
+            found.append((kind, at, end - at, *more))
+        else:
+            reason = more[0] if kind == "gap" else "record without digest in a bad member"
+            first = reason if first == "no record" else first
+            found.append(("gap", at, end - at, f"{reason} (unpacked bytes {begin} to {begin + length} of a member)"))
+    if not any(x[0] == "record" for x in found):
+        raise ValueError(wrong or first)
+    return end, found, wrong
+
+
+def salvage(content: bytes) -> Iterator[tuple]:
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason): every byte belongs to one of them.
+
+    Where a check fails, the bytes up to the next version line or gzip member that passes are a gap. Inside a gzip member the
+    same holds for its unpacked bytes: records beside a damaged one, and those before a cut or an error in the
+    compressed bytes, are found.
+    """
+    yield from _plain(memoryview(content), VERSION)
 
 
 def _payload(headers: dict[str, str], block: memoryview) -> tuple[memoryview, int | None]:
     """The payload, and its length as the HTTP header has it."""
     if not headers.get("content-type", "").startswith("application/http"):
         return block, None
-    raw = bytes(block[:1 << 16])
-    stop = raw.find(b"\r\n\r\n")
+    size, stop, raw = 1 << 14, -1, b""
+    while stop < 0 and len(raw) < len(block):  # a header of any length
+        size *= 4
+        raw = bytes(block[:size])
+        stop = raw.find(b"\r\n\r\n")
     if stop < 0:
         return block, None
     said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", raw[:stop])
@@ -198,9 +240,6 @@ def _rows(file: str, content: bytes, with_payload: bool) -> Iterator[tuple]:
         payload, said = _payload(headers, block)
         revisit = headers.get("warc-type") == "revisit"
         digest, wanted = hashlib.sha1(payload).hexdigest(), _sha1_of(headers.get("warc-payload-digest"))
-        if not revisit and wanted and wanted != digest:
-            yield (kind := "gap", file, at, length, "payload digest differs", *[None] * 7)
-            continue
         yield ("record", file, at, length, None, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"),
                headers.get("warc-refers-to"), said if revisit else len(payload), wanted if revisit else digest,
                bytes(payload) if with_payload else None)
@@ -212,7 +251,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     Columns: kind (record or gap), file, offset and length of its bytes in the file, reason of a gap, type, record_id, target_uri,
     refers_to, payload_bytes, payload_digest (SHA-1, hex; of a revisit as its header has it), payload. A record passes if its
     version line, header, length, block digest, end and payload digest are right; records after a damaged one are found again
-    at the next version line or gzip member that passes. Each file is one row of one task, so keep archives at some tens of MB
+    at the next version line or gzip member that passes, inside gzip members too (offset and length are then the member's). Each file is one row of one task, so keep archives at some tens of MB
     (``write_archives`` does); an empty file has no rows.
     """
     small_batches(spark)

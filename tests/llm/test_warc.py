@@ -71,3 +71,52 @@ def test_any_url_comes_back(spark, tmp_path):
     warc.write_archives(df, str(tmp_path / "w"))
     read = warc.read_archives(spark, str(tmp_path / "w")).collect()
     assert sorted((r["kind"], r["reason"], r["record_id"], r["target_uri"]) for r in read) == sorted(("record", None, f"<urn:page:{i}>", u) for i, u in enumerate(urls))
+
+
+def members(data):
+    return [(x[0], bytes(x[4]) if x[0] == "record" else x[3].split(" (")[0]) for x in warc.salvage(data)]
+
+
+def test_salvage_inside_members():
+    """Of a member of many records all but the damaged one come back; of a cut or damaged one those before the damage."""
+    bodies = [f"body {i} ".encode() * 50 for i in range(10)]
+    records = [record(b) for b in bodies]
+    other = gzip.compress(record(b"after"))
+    broken = [*records[:3], records[3].replace(b"body 3", b"bodY 3", 1), *records[4:]]
+    data = gzip.compress(b"".join(broken))
+    got = list(warc.salvage(data + other))
+    assert [bytes(x[4]) for x in got if x[0] == "record"] == [*bodies[:3], *bodies[4:], b"after"]
+    gap = next(x for x in got if x[0] == "gap")
+    begin = sum(map(len, records[:3]))
+    assert gap[1:3] == (0, len(data)) and gap[3] == f"block digest differs (unpacked bytes {begin} to {begin + len(records[3])} of a member)"
+    import random
+    rng = random.Random(1)
+    many = [record(bytes(rng.randbytes(300)), digest=i % 2 == 0) for i in range(200)]
+    packed = gzip.compress(b"".join(many))
+    cut = [x for x in warc.salvage(packed[:len(packed) * 9 // 10]) if x[0] == "record"]
+    assert len(cut) > 175
+    bent = bytearray(packed)
+    at = len(packed) * 9 // 10
+    bent[at:at + 200] = b"\xff" * 200
+    got = list(warc.salvage(bytes(bent) + other))
+    kept = {bytes(x[4]) for x in got if x[0] == "record"}
+    assert kept <= {r.split(b"\r\n\r\n", 1)[1][:-4] for r in many} | {b"after"} and b"after" in kept
+    assert all(x[1] + x[2] <= len(bent) + len(other) for x in got)
+
+
+def test_a_payload_digest_that_differs_is_searched_on():
+    """The stated length of a record that fails isn't relied on, so a good record inside it is found."""
+    inner = record(b"inner")
+    bad = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Payload-Digest: sha1:" + b"0" * 40 + f"\r\nContent-Length: {len(inner) + 5}\r\n\r\nshort".encode() + inner + b"\r\n\r\n"
+    got = members(bad + record(b"next"))
+    assert [x for x in got if x[0] == "record"] == [("record", b"inner"), ("record", b"next")] and got[0] == ("gap", "payload digest differs")
+
+
+def test_long_http_header():
+    payload = b"<p>x"
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 70_000 + b"\r\nContent-Length: 4\r\n\r\n" + payload
+    sha = hashlib.sha1(payload).hexdigest().encode()
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:" + sha + (
+        f"\r\nContent-Length: {len(http)}\r\n\r\n".encode()) + http + b"\r\n\r\n"
+    (row,) = warc._rows("f", data, True)
+    assert row[0] == "record" and row[-1] == payload and row[-3] == 4
