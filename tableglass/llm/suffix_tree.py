@@ -84,7 +84,7 @@ class _Tokens:
         """The counts answered in a round for the sorted hashes."""
         out = np.zeros(len(hashes), np.int64)
         for bucket, at in by_bucket(hashes, self.first_bits):
-            out[at] = numbers(self.mail[number][bucket], "<u4")
+            out[at] = numbers(self.mail[number][bucket], "<u8")
         return out
 
     def words(self) -> np.ndarray:
@@ -157,7 +157,7 @@ def _reply(chunks: np.ndarray, bodies: list[bytes]) -> list[bytes]:
     out, a = [], 0
     for h in hashes:
         part = totals[a:a + len(h)]
-        out.append(np.packbits(part > 0).tobytes() if gain else squeeze_numbers(part.astype("<u4")))
+        out.append(np.packbits(part > 0).tobytes() if gain else squeeze_numbers(part.astype("<u8")))
         a += len(h)
     return out if gain else [*out, b"%d,%d" % ((sums > 0).sum(), sums.sum())]
 

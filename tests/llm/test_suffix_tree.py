@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tableglass.llm import packed, suffix_tree as S
@@ -94,3 +95,13 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     assert len(S.score(df).collect()) == 2
     assert S.score(df.limit(0)).collect() == []
+
+
+def test_counts_beyond_32_bits():
+    """Totals of words with billions of occurrences come back whole."""
+    from tableglass.llm import suffix_tree as S
+    from tableglass.llm.packed import numbers
+    hashes = np.array([5, 9], np.uint64)
+    bodies = [body for _, body in (m for _ in range(2) for m in S._count_messages(hashes, np.array([3_000_000_000, 1]), 0))]
+    answers = S._reply(np.arange(2), bodies)
+    assert [numbers(a, "<u8").tolist() for a in answers[:2]] == [[6_000_000_000, 2]] * 2
