@@ -185,9 +185,41 @@ def survivors(chunks: DataFrame, longest: int, least: int, mass: int) -> DataFra
     return answer(chunks.mapInArrow(ask, MESSAGES), reply)
 
 
-def exact_counts(chunks: DataFrame, bits: DataFrame, longest: int, mass: int) -> DataFrame:
-    """(lang, size, phrase, f) of the phrases that passed, counted exactly: the second pass. Chunks count their own phrases
-    first, and write them out as text; phrases that share a hash part here."""
+PACKED = ["lang", "size", "phrase", "f"]
+COUNTED = "lang string, size int, phrase string, f bigint"
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _written_out(chunk: Phrases, longest: int, frequent: np.ndarray, shift: int, first_bits: int) -> pa.Table:
+    """(bucket, lang, size, phrase, f) of the chunk's phrases whose shortened hash is in ``frequent``, by bucket and phrase."""
+    langs, parts = pa.array(chunk.langs, pa.string()), []
+    for n, at, h in chunk.begins(longest):
+        short = h >> np.uint64(shift)
+        some = np.flatnonzero(frequent[np.searchsorted(frequent, short)] == short)
+        keys, first, times = np.unique(h[some], return_index=True, return_counts=True)
+        first = at[some[first]]
+        buckets = (keys >> np.uint64(64 - first_bits)).astype(np.int32) if first_bits else np.zeros(len(keys), np.int32)
+        for a in range(0, len(first), 50_000):
+            part = first[a:a + 50_000]
+            # the words as written in the chunk, lower-cased
+            words = [pa.array([chunk.data[x:y].lower() for x, y in zip(chunk.starts[part + k].tolist(), chunk.ends[part + k].tolist())], pa.binary())
+                     for k in range(n)]
+            parts.append(pa.table([
+                pa.array(buckets[a:a + 50_000]), langs.take(pa.array(chunk.lang[part])), pa.array(np.full(len(part), n, np.int32)),
+                pc.binary_join_element_wise(*words, b" ").cast(pa.string()), pa.array(times[a:a + 50_000], pa.int64())], names=["bucket", *PACKED]))
+    # sorted phrases take less room packed
+    return pa.concat_tables(parts).combine_chunks().sort_by([("bucket", "ascending"), ("phrase", "ascending")]) if parts else None
+
+
+def exact_counts(chunks: DataFrame, bits: DataFrame, longest: int, least: int, mass: int) -> DataFrame:
+    """(lang, size, phrase, f) of the phrases with f of ``least`` or more, counted exactly: the second pass. Chunks count their own phrases
+    that passed, and send them as text, sorted and packed, to the hash partitions, where they are added up by their text."""
     shift = max(0, 64 - HASH_BITS - max(mass, 1).bit_length())
     first_bits = max(0, (mass // BUCKET_MASS).bit_length())
     mail = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias("mail"))  # a few small ones from each partition
@@ -201,27 +233,26 @@ def exact_counts(chunks: DataFrame, bits: DataFrame, longest: int, mass: int) ->
                 mail = {m["bucket"]: m["body"] for m in row["mail"] or ()}
                 for bucket, at in by_bucket(keys << np.uint64(shift), first_bits):
                     passed[at] = np.unpackbits(np.frombuffer(mail[bucket], np.uint8), count=at.stop - at.start)
-                frequent = np.r_[keys[passed], np.uint64(0xFFFFFFFFFFFFFFFF)]
-                del keys, passed
-                langs = pa.array(chunk.langs, pa.string())
-                for n, at, h in chunk.begins(longest):
-                    short = h >> np.uint64(shift)
-                    some = np.flatnonzero(frequent[np.searchsorted(frequent, short)] == short)
-                    _, first, times = np.unique(h[some], return_index=True, return_counts=True)
-                    first = at[some[first]]
-                    for a in range(0, len(first), 50_000):
-                        part = first[a:a + 50_000]
-                        # the words as written in the chunk, lower-cased
-                        words = [pa.array([chunk.data[x:y].lower() for x, y in zip(chunk.starts[part + k].tolist(), chunk.ends[part + k].tolist())], pa.binary())
-                                 for k in range(n)]
-                        phrase = pc.binary_join_element_wise(*words, b" ").cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([
-                            langs.take(pa.array(chunk.lang[part])), pa.array(np.full(len(part), n), pa.int32()),
-                            phrase, pa.array(times[a:a + 50_000], pa.int64())], ["lang", "size", "phrase", "f"])
-                del chunk, h, at, short, some, first, times, frequent
+                rows = _written_out(chunk, longest, np.r_[keys[passed], np.uint64(0xFFFFFFFFFFFFFFFF)], shift, first_bits)
+                del chunk, keys, passed, mail
+                if rows is not None and rows.num_rows:
+                    bucket = np.asarray(rows.column("bucket"))
+                    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
+                    for a, z in zip(cuts, [*cuts[1:], len(bucket)]):
+                        yield message(row["chunk"], int(bucket[a]), _packed(rows.slice(a, z - a).select(PACKED)))
+                del rows
                 give_back()
-    counts = chunks.join(mail, "chunk", "left").mapInArrow(run, "lang string, size int, phrase string, f bigint")
-    return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+
+    def add(group: pa.Table) -> pa.Table:
+        """A partition's phrases: no more of them than the occurrences that a partition stands for."""
+        tables = [pa.ipc.open_stream(b.as_py()).read_all() for b in group.column("body")]
+        sums = pa.concat_tables(tables).group_by(PACKED[:3], use_threads=False).aggregate([("f", "sum")]).rename_columns(PACKED)
+        found = sums.filter(pc.greater_equal(sums.column("f"), least))
+        del tables, sums
+        give_back()
+        return found
+    sent = chunks.join(mail, "chunk", "left").mapInArrow(run, MESSAGES)
+    return sent.groupBy("bucket").applyInArrow(add, COUNTED)
 
 
 def totals(chunks: DataFrame) -> DataFrame:
@@ -250,7 +281,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     per_lang = stored(totals(chunks), "totals")
     mass = int(per_lang.agg(F.sum("n")).first()[0] or 0) * longest  # not less than all phrases
     bits = survivors(chunks, longest, least, mass)
-    counts = stored(exact_counts(chunks, bits, longest, mass).filter(F.col("f") >= least), "phrases")
+    counts = stored(exact_counts(chunks, bits, longest, least, mass), "phrases")
     phrases = counts.filter("size > 1")
     rows = phrases.count()
     # each cut asks for two parts; a part that many phrases have is hot
