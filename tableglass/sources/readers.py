@@ -14,7 +14,7 @@ from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
 from tableglass.sources.elements import list_files, read_elements
 from tableglass.sources.heads import head_lines, heads
-from tableglass.sources.records import parsed_records
+from tableglass.sources.records import WIDE, parsed_records
 
 # The extensions of each format.
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -26,17 +26,31 @@ CORRUPT = "_corrupt_record"
 def csv_groups(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> list[tuple[dict[str, str], str | list[str]]]:
     """(reader options, files) of the files that share separator and encoding; one row per file reaches the driver."""
     def options(s: str, e: str) -> dict[str, str]:
-        # Spark finds no line ends in encodings of two or four bytes; such a file is read whole
-        whole = e.upper().startswith(("UTF-16", "UTF-32"))
+        # of encodings of two or four bytes lines are found if the order of bytes is known, else a file is read whole
+        whole = e.upper() in ("UTF-16", "UTF-32")
         return {"sep": s, "encoding": e, "header": "true", "escape": '"', "multiLine": str(whole).lower()}
     if sep and encoding:
         return [(options(sep, encoding), path)]
     groups = defaultdict(list)
     for row in csv_facts(spark, path).collect():
         groups[sep or row["separator"], encoding or row["encoding"]].append(file_name(row["file"]))
+    for s, e in [k for k in groups if k[1] in ("UTF-16", "UTF-32")]:
+        for exact, files in byte_orders(spark, groups.pop((s, e)), e).items():
+            groups[s, exact] += files
     return [(options(*key), sorted(files)) for key, files in sorted(groups.items())] or [(options(sep or SEPARATORS[0], encoding or "UTF-8"), path)]
 
 
+def byte_orders(spark: SparkSession, files: list[str], encoding: str) -> dict[str, list[str]]:
+    """The files by their exact encoding, from the byte order mark; the one named where it can't be read by itself."""
+    mark = F.hex(F.substring("head", 1, 4))
+    little, big = ("FFFE", "FEFF") if encoding == "UTF-16" else ("FFFE0000", "0000FEFF")
+    exact = F.when(mark.startswith(little), f"{encoding}LE").when(mark.startswith(big), f"{encoding}BE").otherwise(encoding)
+    found = defaultdict(list)
+    for row in heads(spark, files, 4).select("file", F.coalesce(exact, F.lit(encoding)).alias("encoding")).collect():
+        found[row["encoding"]].append(file_name(row["file"]))
+    return found
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     """The rows of all tables under their columns' names; a column that some lack is NULL there. Where types differ, numbers
     become DOUBLE and all else text."""
@@ -60,7 +74,7 @@ def read_csv_auto(
 
     Lines with more fields than the header are skipped. ``skip_bad=False`` keeps their first fields
     instead and lets Spark parse only the columns asked for. ``multi_line=True`` accepts line breaks inside quotes; many tasks
-    read a file all the same. One in UTF-16 or UTF-32 is read by one task.
+    read a file all the same, in UTF-16 and UTF-32 too.
     """
     if skip_bad:
         return read_csv_report_bad(spark, path, sep, encoding, schema, multi_line)[0]
@@ -88,8 +102,8 @@ def read_csv_report_bad(
 
 
 def by_records(options: dict[str, str], multi_line: bool) -> bool:
-    """Whether records are found over lines; encodings of two or four bytes are left to Spark, which then reads a file whole."""
-    return multi_line and options["multiLine"] == "false"
+    """Whether records are found over lines; where the order of two or four bytes isn't known, Spark reads a file whole."""
+    return options["encoding"].upper() in WIDE or multi_line and options["multiLine"] == "false"
 
 
 def _csv_part(

@@ -35,23 +35,16 @@ def before_block(totals: DataFrame, **sums: Column) -> DataFrame:
     return totals.select(*BLOCK, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in sums.items()])
 
 
-def csv_records(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    """(file, head, text): every record of the files; ``head`` marks a file's first one. Records are lines, joined where a
-    quote is open; a carriage return before the line break goes. Empty lines outside quotes are no records."""
-    lines = blocks(spark, path, "\n", encoding).withColumn("quotes", times(F.col("value"), '"'))
-    state = before_block(lines.groupBy(*BLOCK).agg((F.sum("quotes") % 2).alias("odd")), quotes_before=F.col("odd"))
-    here = Window.partitionBy(*BLOCK).orderBy("line")
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends_open = (F.col("quotes_before") + F.sum("quotes").over(upto)) % 2 == 1
-    placed = lines.join(state, BLOCK).withColumn("open", ends_open).withColumn(
-        "begins", (F.when(F.col("open"), 1).otherwise(0) + F.col("quotes")) % 2 == 0).withColumn(
-        "record", F.sum(F.col("begins").cast("int")).over(upto)).withColumn(
-        "head", (F.col("start") == 0) & (F.row_number().over(here) == 1))
-    # most records are one line and stay where they are
-    alone = placed.filter("begins AND NOT open").select("file", "head", F.col("value").alias("text"))
-    parts = placed.filter("NOT begins OR open")
-    # lines before a block's first record go on with the last one of the nearest block before that has any
-    ends = placed.groupBy(*BLOCK).agg(F.max("record").alias("last"))
+def stitched(placed: DataFrame, glue: Column) -> DataFrame:
+    """(file, start, line, text): lines put together, over the borders of blocks too. ``placed`` has (file, start, line, value) and
+    says of each line whether it ``begins`` something and whether it is ``open``, so that the next line goes on with it."""
+    upto = Window.partitionBy(*BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = placed.withColumn("record", F.sum(F.col("begins").cast("int")).over(upto))
+    # most lines are alone and stay where they are
+    alone = counted.filter("begins AND NOT open").select(*BLOCK, "line", F.col("value").alias("text"))
+    parts = counted.filter("NOT begins OR open")
+    # lines before a block's first beginning go on with the last one of the nearest block before that has any
+    ends = counted.groupBy(*BLOCK).agg(F.max("record").alias("last"))
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     owner = F.last(F.when(F.col("last") > 0, F.struct("start", "last")), ignorenulls=True).over(earlier)
     owners = ends.select(*BLOCK, owner.alias("owner"))
@@ -59,10 +52,53 @@ def csv_records(spark: SparkSession, path: str | list[str], encoding: str) -> Da
     kept = parts.filter("record > 0").withColumn("owner", own)
     carried = parts.filter("record = 0").join(owners, BLOCK).select(*parts.columns, F.col("owner").alias("owner"))
     order = F.array_sort(F.collect_list(F.struct("start", "line", "value")))
-    joined = kept.unionByName(carried).groupBy("file", "owner").agg(
-        F.max("head").alias("head"), F.array_join(F.transform(order, lambda x: x["value"]), "\n").alias("text")).drop("owner")
+    joined = kept.unionByName(carried).groupBy("file", "owner").agg(order.alias("lines"))
+    first = F.get("lines", F.lit(0))
+    text = F.aggregate(F.slice("lines", 2, F.size("lines")), first["value"], lambda t, x: F.concat(t, glue, x["value"]))
+    return alone.unionByName(joined.select("file", first["start"].alias("start"), first["line"].alias("line"), text.alias("text")))
+
+
+#: Bytes of a character, and a line break, in encodings in which bytes of other characters may look like one.
+WIDE = {"UTF-16LE": (2, "\n\0"), "UTF-16BE": (2, "\0\n"), "UTF-32LE": (4, "\n\0\0\0"), "UTF-32BE": (4, "\0\0\0\n")}
+
+MARKS = {"UTF-32LE": b"\xff\xfe\0\0", "UTF-32BE": b"\0\0\xfe\xff"}
+
+
+def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """(file, start, line, value): the lines of files in an encoding of two or four bytes. Line breaks are looked for as bytes; one
+    that doesn't stand at a whole character is none, which the number of bytes before it tells: by running sums again."""
+    width, separator = WIDE[encoding]
+    found = spark.read.option("lineSep", separator).text(path)
+    pieces = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                          F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"))
+    size = F.octet_length("value") + width
+    state = before_block(pieces.groupBy(*BLOCK).agg((F.sum(size) % width).alias("bytes")), bytes_before=F.col("bytes"))
+    here = Window.partitionBy(*BLOCK).orderBy("line")
+    upto, earlier = here.rowsBetween(Window.unboundedPreceding, Window.currentRow), here.rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.join(state, BLOCK).withColumn("open", (F.col("bytes_before") + F.sum(size).over(upto)) % width != 0).withColumn(
+        "begins", (F.col("bytes_before") + F.coalesce(F.sum(size).over(earlier), F.lit(0))) % width == 0)
+    glue = F.lit(separator).cast("binary")
+    text, charset = F.col("text"), encoding
+    if width == 4:  # Spark knows UTF-32 by its mark only
+        text, charset = F.concat(F.lit(MARKS[encoding]), text), "UTF-32"
+    return stitched(placed, glue).select(*BLOCK, "line", F.decode(text, charset).alias("value"))
+
+
+def csv_records(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """(file, head, text): every record of the files; ``head`` marks a file's first one. Records are lines, joined where a
+    quote is open; a carriage return before the line break goes. Empty lines outside quotes are no records."""
+    lines = wide_lines(spark, path, encoding.upper()) if encoding.upper() in WIDE else blocks(spark, path, "\n", encoding)
+    lines = lines.withColumn("quotes", times(F.col("value"), '"'))
+    state = before_block(lines.groupBy(*BLOCK).agg((F.sum("quotes") % 2).alias("odd")), quotes_before=F.col("odd"))
+    upto = Window.partitionBy(*BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends_open = (F.col("quotes_before") + F.sum("quotes").over(upto)) % 2 == 1
+    placed = lines.join(state, BLOCK).withColumn("open", ends_open).withColumn(
+        "begins", (F.when(F.col("open"), 1).otherwise(0) + F.col("quotes")) % 2 == 0)
+    found = stitched(placed, F.lit("\n"))
+    first = lines.filter("start = 0").groupBy(F.col("file").alias("head_file")).agg(F.min("line").alias("head_line"))  # a row a file
+    marked = found.join(first, (F.col("file") == F.col("head_file")) & (F.col("start") == 0) & (F.col("line") == F.col("head_line")), "left")
     text = F.regexp_replace("text", "\r$", "")
-    return alone.unionByName(joined).select("file", "head", text.alias("text")).filter(F.col("text") != "")
+    return marked.select("file", F.col("head_file").isNotNull().alias("head"), text.alias("text")).filter(F.col("text") != "")
 
 
 def header_names(line: str, separator: str) -> list[str]:
@@ -75,7 +111,7 @@ def header_names(line: str, separator: str) -> list[str]:
 def csv_schema(records: DataFrame, names: list[str], options: dict[str, str]) -> T.StructType:
     """The types of the records' fields, inferred by Spark from all of them."""
     spark = records.sparkSession
-    reader = spark.read.options(**{**options, "header": "false", "inferSchema": "true"})
+    reader = spark.read.options(**{**options, "encoding": "UTF-8", "header": "false", "inferSchema": "true"})
     texts = getattr(records.select("text")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
     found = reader._df(reader._jreader.csv(texts)).schema
     kinds = [f.dataType for f in found.fields] + [T.StringType()] * len(names)

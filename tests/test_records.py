@@ -106,3 +106,14 @@ def test_documents_that_are_no_plain_list(spark, tmp_path, small_blocks):
     (tmp_path / "z.json").write_text(f"[{many}, {{broken}}]")
     with pytest.raises(ValueError):
         readers.read_json_auto(spark, str(tmp_path / "z.json"))
+
+
+@pytest.mark.parametrize("encoding,mark", [("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-32-le", b"\xff\xfe\0\0"), ("utf-32-be", b"\0\0\xfe\xff")])
+def test_wide_encodings_over_block_borders(spark, tmp_path, small_blocks, encoding, mark):
+    """Bytes that look like a line break at half a character, in characters such as U+0A00 and U+0100, are none."""
+    rows = [[i, "\u0a05\u0100\u0a0a\u0a00" * (i % 5) + f"t{i}\u0a41A" + ('"\n"' if i % 7 == 0 else ""), "Ā\u000bx"] for i in range(120)]
+    (tmp_path / "a.csv").write_bytes(mark + content([["key", "text", "more"], *rows], ";").encode(encoding))
+    df = readers.read_csv_auto(spark, str(tmp_path / "a.csv"), sep=";")
+    assert df.columns == ["key", "text", "more"] and sorted(map(tuple, df.collect())) == [tuple(r) for r in rows]
+    named = readers.read_csv_auto(spark, str(tmp_path / "a.csv"), sep=";", encoding=encoding.replace("utf-", "UTF-").replace("-le", "LE").replace("-be", "BE"))
+    assert named.count() == 120
