@@ -115,15 +115,19 @@ SQL = {
       FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op11_collocations": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
-      w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
-      f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS f
-        FROM w, LATERAL (SELECT unnest([1, 2, 3]) AS size) k, LATERAL (SELECT unnest(generate_series(1, len(ws) - k.size + 1)) AS i) GROUP BY ALL),
+      w AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+      o AS (SELECT lang, word, lead(word, 1) OVER k AS second, lead(word, 2) OVER k AS third
+        FROM (SELECT lang, id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w) WINDOW k AS (PARTITION BY id ORDER BY pos)),
+      f AS (SELECT lang, 1 AS size, word AS phrase, count(*) AS f FROM o GROUP BY ALL UNION ALL
+        SELECT lang, 2, concat(word, ' ', second), count(*) FROM o WHERE second IS NOT NULL GROUP BY ALL UNION ALL
+        SELECT lang, 3, concat(word, ' ', second, ' ', third), count(*) FROM o WHERE third IS NOT NULL GROUP BY ALL),
       t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+      g AS (SELECT concat(lang, chr(10), phrase) AS key, f FROM f),
       c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 10),
       k AS (SELECT *, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
         FROM c, LATERAL (SELECT unnest(generate_series(1, size - 1)) AS k)),
       s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = first JOIN f y ON y.lang = k.lang AND y.phrase = rest),
+        FROM k JOIN g x ON x.key = concat(k.lang, chr(10), first) JOIN g y ON y.key = concat(k.lang, chr(10), rest)),
       b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
       i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(unnest([ws[1:2], ws[2:3]]), ' ') AS phrase
         FROM c WHERE size = 3) GROUP BY lang, phrase)
