@@ -85,7 +85,8 @@ def mixed_encodings(s, d):
 def one_element(s, d):
     """A list with one nested object, a document for each supplier."""
     nested = table(s, d, "supplier").select(F.to_json(F.struct("s_suppkey", F.struct("s_name", F.struct("s_acctbal").alias("account")).alias("who"))).alias("value"))
-    return written(s, nested.select(F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")), "text", maxRecordsPerFile=1)
+    documents = nested.select(F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value"))
+    return written(s, documents.repartition(documents.count() // 500 + 1), "text", maxRecordsPerFile=1)  # files of a task are written one by one
 
 
 def json_records(s, d):

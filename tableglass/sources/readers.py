@@ -6,7 +6,7 @@ import os
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,14 @@ from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
 from tableglass.sources.elements import list_files, read_elements
 from tableglass.sources.heads import head_lines, heads
-from tableglass.sources.records import WIDE, parsed_records
+from tableglass.sources.records import MARKS, WIDE, parsed_records
 
 # The extensions of each format.
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
 JSON_EXTENSIONS = (".json", ".jsonl")
 PARQUET_EXTENSIONS = (".parquet", ".pq")
 CORRUPT = "_corrupt_record"
+TEXT_BYTES = 1 << 29  # a longer document is not taken as one text to infer types
 
 
 def csv_groups(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> list[tuple[dict[str, str], str | list[str]]]:
@@ -140,31 +141,38 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     return df.select(*[c for f in df.schema.fields for c in leaves(raw(f.name), f.name, f.dataType)])
 
 
-def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+def json_layouts(spark: SparkSession, path: str) -> dict[str, str | list[str]]:
     """The files by layout, from their first line that is not blank: ``list`` where it begins with [, ``object`` where it begins
-    with a { that does not close on the line, else ``lines``. A single file with a single line is an ``object`` too.
+    with a { that does not close on the line, else ``lines``. A single file with a single line is an ``object`` too. Files that
+    are all alike are named by the path itself, however many they are; else a row for each reaches the driver.
 
     The first bytes of a file tell as a rule; only a file whose first line is longer, or that may have no second one, is read.
     """
     complete = F.filter(F.transform(head_lines(F.col("head"), F.col("length")), lambda x: F.trim(x)), lambda x: x != "")
     begin = F.trim(F.regexp_replace(F.col("head").cast("string"), "^[ \r\n]+", ""))
-    known = heads(spark, path).select("file", F.substring(begin, 1, 1).alias("mark"), F.get(complete, F.lit(0)).alias("first"), F.size(complete).alias("lines"), "length",
-                                      F.octet_length("head").alias("seen"))
-    facts = known.select("file", "mark", F.from_json("first", "map<string,string>").isNotNull().alias("whole"), "lines", (F.col("first").isNull()).alias("cut"),
-                         (F.col("length") <= F.col("seen")).alias("all")).collect()  # a row for each file
-    found, unknown = defaultdict(list), []
-    for row in facts:
-        alone = len(facts) == 1
-        if row["mark"] == "[":
-            found["list"].append(file_name(row["file"]))
-        elif not row["mark"] or row["cut"] or (alone and row["lines"] == 1 and not row["all"]):
-            if row["mark"] or not row["all"]:  # a file of blanks has no rows
-                unknown.append(file_name(row["file"]))
-        else:
-            single = alone and row["lines"] == 1
-            found["object" if row["mark"] == "{" and (single or not row["whole"]) else "lines"].append(file_name(row["file"]))
-    for layout, files in (scanned_layouts(spark, unknown, len(facts) == 1) if unknown else {}).items():
-        found[layout] += files
+    known = heads(spark, path).select("file", F.coalesce(F.substring(begin, 1, 1), F.lit("")).alias("mark"), F.get(complete, F.lit(0)).alias("first"),
+                                      F.coalesce(F.size(complete), F.lit(0)).alias("lines"), (F.col("length") <= F.octet_length("head")).alias("all"))
+    whole = F.from_json("first", "map<string,string>").isNotNull()
+
+    def layout(alone: bool) -> Column:
+        single = (F.col("lines") == 1) & F.lit(alone)
+        cut = F.col("first").isNull() | single & ~F.coalesce("all", F.lit(False))
+        unread = F.when((F.col("mark") != "") | ~F.coalesce("all", F.lit(False)), "unknown").otherwise("blank")  # a file of blanks has no rows
+        return F.when(F.col("mark") == "[", "list").when((F.col("mark") == "") | cut, unread).when(
+            (F.col("mark") == "{") & (single | ~whole), "object").otherwise("lines")
+    facts = known.select("file", layout(False).alias("layout"), layout(True).alias("alone"))
+    counted = facts.groupBy("layout", "alone").count().collect()
+    alone = sum(r["count"] for r in counted) == 1
+    kind = "alone" if alone else "layout"
+    kinds = {r[kind] for r in counted} - {"blank"}
+    if len(kinds) == 1 and "unknown" not in kinds:
+        return {kinds.pop(): path}
+    found = defaultdict(list)
+    for row in facts.filter(F.col(kind) != "blank").select("file", kind).collect() if kinds else ():
+        found[row[kind]].append(file_name(row["file"]))
+    unknown = found.pop("unknown", [])
+    for name, files in (scanned_layouts(spark, unknown, alone) if unknown else {}).items():
+        found[name] += files
     return {k: sorted(v) for k, v in found.items()}
 
 
@@ -181,18 +189,43 @@ def scanned_layouts(spark: SparkSession, path: list[str], alone: bool) -> dict[s
     return found
 
 
-def large_lists(spark: SparkSession, layout: str, files: list[str], cut_bytes: int | None) -> tuple[list[str], int]:
+def file_names(spark: SparkSession, path: str | list[str], longer_than: int) -> list[str]:
+    """The files of more bytes; a row for each reaches the driver."""
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > longer_than).select("path")
+    return [file_name(r["path"]) for r in files.collect()]
+
+
+def large_lists(spark: SparkSession, layout: str, files: str | list[str], cut_bytes: int | None) -> tuple[list[str], int]:
     """(those of the files above ``cut_bytes`` that are a list of objects throughout, the list's depth)."""
     depth = {"list": 1, "object": 2}.get(layout)
     if depth is None:
         return [], 0
     if cut_bytes is None:  # a smaller file is one task's work in any case
         cut_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    lengths = spark.read.format("binaryFile").load(files).filter(F.col("length") > cut_bytes).select("path")
-    large = [file_name(r["path"]) for r in lengths.collect()]
+    large = file_names(spark, files, cut_bytes)
     return [file_name(f) for f in list_files(spark, large, depth)] if large else [], depth
 
 
+def document_texts(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """(value): each file as one text. UTF-16LE and UTF-32LE show by the bytes of zero behind the first one; what isn't in any of
+    these encodings is no JSON, and neither is the text that stands for it."""
+    content = spark.read.text(files, wholetext=True).select("value", F.col("value").cast("binary").alias("bytes"))
+    first = F.hex(F.substring("bytes", 1, 4))
+    text = F.when(first.rlike("^..000000"), F.decode(F.concat(F.lit(MARKS["UTF-32LE"]), F.col("bytes")), "UTF-32")).when(
+        first.rlike("^..00"), F.decode("bytes", "UTF-16LE")).when(F.is_valid_utf8("value"), F.col("value")).otherwise("{")
+    return content.select(text.alias("value")).filter(F.col("value").rlike(r"\S"))
+
+
+def read_documents(spark: SparkSession, files: str | list[str], whole: bool) -> DataFrame:
+    """The rows of files with one JSON document each. To infer the types of many files Spark goes through the list of all of them in
+    each task and for each file, so they are inferred from the documents as texts; not ``whole`` says that one is too long for that."""
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
+    if whole:
+        texts = getattr(document_texts(spark, files)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        reader = reader.schema(reader._df(reader._jreader.json(texts)).schema)
+    return reader.json(files, multiLine=True)
+
+
 def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None) -> DataFrame:
     """JSON in any of four layouts, found out for each file: one object per line; a list of objects; one object holding a
     single list (its elements become the rows); one other object (flattened to one row).
@@ -209,10 +242,13 @@ def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None)
             if CORRUPT in df.columns:
                 raise ValueError(f"{path}: elements of a list that are no JSON")
             tables.append(df)
-            files = sorted(set(files) - set(cut))
+            files = sorted(set(file_names(spark, files, 0) if isinstance(files, str) else files) - set(cut))
         if not files:
             continue
-        df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(files, multiLine=layout != "lines")
+        if layout == "lines":
+            df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(files)
+        else:
+            df = read_documents(spark, files, not file_names(spark, files, TEXT_BYTES))
         if CORRUPT in df.columns:
             raise ValueError(f"{path}: not JSON in any known layout, or lines that are malformed (read_json_report_bad shows them)")
         tables.append(_of_object(df) if layout == "object" else df)

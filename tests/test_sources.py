@@ -1,5 +1,7 @@
 """Readers and inference over small files written for the test."""
 
+import json
+
 import pytest
 
 from tableglass.plans.scratch import scratch_folder
@@ -161,3 +163,25 @@ def test_what_is_no_number(spark):
     df = spark.createDataFrame([(t,) for t in ("1d", "2f", "3D", "NaN", "Infinity", "-inf", "0x1F", "1e", "", ".", "1 234,5", "-7", "+.5", "3.", "1E3")], "t string")
     got = [r["t"] for r in df.select(infer.as_number(df.t).alias("t")).collect()]
     assert got == [None] * 10 + [1234.5, -7.0, 0.5, 3.0, 1000.0]
+
+
+def test_many_json_documents(spark, tmp_path):
+    """Types come from all files, in UTF-16 and UTF-32 too, in many tasks, and a folder of like files is read by its name."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(60):
+        text = json.dumps([{"k": i, "v": {"x": 1 if i % 2 else 1.5, "é": "日" * (i % 3)}}] + ([{"late": True}] if i == 59 else []), ensure_ascii=False, indent=1)
+        (folder / f"{i:02}.json").write_bytes(text.encode({7: "utf-16-le", 9: "utf-32-le"}.get(i, "utf-8")))
+    (folder / "blank.json").write_text(" \n\n ")
+    assert readers.json_layouts(spark, str(folder)) == {"list": str(folder)}
+    assert readers.document_texts(spark, str(folder)).rdd.getNumPartitions() > 1
+    df = readers.read_json_auto(spark, str(folder))
+    assert df.dtypes == [("k", "bigint"), ("late", "boolean"), ("v", "struct<x:double,é:string>")]
+    expected = sorted((i, 1.0 if i % 2 else 1.5, "日" * (i % 3)) for i in range(60))
+    assert sorted((r["k"], r["v"]["x"], r["v"]["é"]) for r in df.filter("k is not null").collect()) == expected and df.count() == 61
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, spark.read.json(str(folder), multiLine=True).collect()), key=str)
+    (folder / "bad.json").write_bytes(b'[{"k": "\xff"}]')
+    with pytest.raises(ValueError):
+        readers.read_json_auto(spark, str(folder))
+    (folder / "bad.json").write_text('{"k": 70}\n{"k": 71}\n')
+    assert readers.read_json_auto(spark, str(folder)).count() == 63
