@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tableglass.functions.columns import raw
 from tableglass.sources.detect import SEPARATORS, csv_facts, file_name
-from tableglass.sources.elements import list_files, read_elements
+from tableglass.sources.elements import json_pieces, judged, read_elements
 from tableglass.sources.heads import head_lines, heads
 from tableglass.sources.records import MARKS, WIDE, parsed_records
 
@@ -195,15 +195,17 @@ def file_names(spark: SparkSession, path: str | list[str], longer_than: int) ->
     return [file_name(r["path"]) for r in files.collect()]
 
 
-def large_lists(spark: SparkSession, layout: str, files: str | list[str], cut_bytes: int | None) -> tuple[list[str], int]:
-    """(those of the files above ``cut_bytes`` that are a list of objects throughout, the list's depth)."""
+def large_lists(spark: SparkSession, layout: str, files: str | list[str], cut_bytes: int | None) -> tuple[list[str], DataFrame | None]:
+    """(those of the files above ``cut_bytes`` that are a list of objects throughout, their elements)."""
     depth = {"list": 1, "object": 2}.get(layout)
     if depth is None:
-        return [], 0
+        return [], None
     if cut_bytes is None:  # a smaller file is one task's work in any case
         cut_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     large = file_names(spark, files, cut_bytes)
-    return [file_name(f) for f in list_files(spark, large, depth)] if large else [], depth
+    pieces = json_pieces(spark, large, depth) if large else None
+    cut = [file_name(f) for f in judged(pieces)] if large else []
+    return cut, json_pieces(spark, cut, depth) if cut and len(cut) < len(large) else pieces
 
 
 def document_texts(spark: SparkSession, files: str | list[str]) -> DataFrame:
@@ -236,9 +238,9 @@ def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None)
     """
     tables = []
     for layout, files in sorted(json_layouts(spark, path).items()):
-        cut, depth = large_lists(spark, layout, files, cut_bytes)
+        cut, pieces = large_lists(spark, layout, files, cut_bytes)
         if cut:
-            df = read_elements(spark, cut, depth, CORRUPT)
+            df = read_elements(pieces, CORRUPT)
             if CORRUPT in df.columns:
                 raise ValueError(f"{path}: elements of a list that are no JSON")
             tables.append(df)

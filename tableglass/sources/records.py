@@ -2,46 +2,32 @@
 
 Whether a line begins inside quotes follows from the number of quotes before it: an automaton of two states, whose steps over
 a range of lines add up to one bit. Each block of a file is counted by itself, running sums over the blocks of a file tell
-each one its state at the start, and running sums inside a block tell each line's.
+each one its state at the start, and the task that reads a block keeps it from line to line.
 """
 
 from __future__ import annotations
 
 import csv
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = ["file", "start"]
-
-
-def blocks(spark: SparkSession, path: str | list[str], separator: str, encoding: str) -> DataFrame:
-    """(file, start, line, value): what stands between separators, numbered in reading order within each block that a task
-    reads; ``start`` is the block's first byte."""
-    lines = spark.read.option("lineSep", separator).text(path)
-    value = F.col("value") if encoding.upper() in ("UTF-8", "US-ASCII") else F.decode(F.col("value").cast("binary"), encoding)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                        F.monotonically_increasing_id().alias("line"), value.alias("value"))
+from tableglass.sources.blocks import BLOCK, before_block, blocks, cut_texts, stored
 
 
 def times(c: Column, character: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(character), F.lit("")))
 
 
-def before_block(totals: DataFrame, **sums: Column) -> DataFrame:
-    """(file, start, ...): each sum over all earlier blocks of the file; one row a block."""
-    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*BLOCK, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in sums.items()])
-
-
 def stitched(placed: DataFrame, glue: Column) -> DataFrame:
     """(file, start, line, text): lines put together, over the borders of blocks too. ``placed`` has (file, start, line, value) and
     says of each line whether it ``begins`` something and whether it is ``open``, so that the next line goes on with it."""
     upto = Window.partitionBy(*BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = placed.withColumn("record", F.sum(F.col("begins").cast("int")).over(upto))
     # most lines are alone and stay where they are
-    alone = counted.filter("begins AND NOT open").select(*BLOCK, "line", F.col("value").alias("text"))
+    alone = counted.filter("begins AND NOT open").select("file", "start", "line", F.col("value").alias("text"))
     parts = counted.filter("NOT begins OR open")
     # lines before a block's first beginning go on with the last one of the nearest block before that has any
     ends = counted.groupBy(*BLOCK).agg(F.max("record").alias("last"))
@@ -65,12 +51,11 @@ MARKS = {"UTF-32LE": b"\xff\xfe\0\0", "UTF-32BE": b"\0\0\xfe\xff"}
 
 
 def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    """(file, start, line, value): the lines of files in an encoding of two or four bytes. Line breaks are looked for as bytes; one
+    """(file, start, size, line, value): the lines of files in an encoding of two or four bytes, in no order. Line breaks are looked for as bytes; one
     that doesn't stand at a whole character is none, which the number of bytes before it tells: by running sums again."""
     width, separator = WIDE[encoding]
-    found = spark.read.option("lineSep", separator).text(path)
-    pieces = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                          F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"))
+    found = blocks(spark, path, separator, "UTF-8")
+    pieces = found.select(*BLOCK, F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"))
     size = F.octet_length("value") + width
     state = before_block(pieces.groupBy(*BLOCK).agg((F.sum(size) % width).alias("bytes")), bytes_before=F.col("bytes"))
     here = Window.partitionBy(*BLOCK).orderBy("line")
@@ -81,24 +66,30 @@ def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> Dat
     text, charset = F.col("text"), encoding
     if width == 4:  # Spark knows UTF-32 by its mark only
         text, charset = F.concat(F.lit(MARKS[encoding]), text), "UTF-32"
-    return stitched(placed, glue).select(*BLOCK, "line", F.decode(text, charset).alias("value"))
+    return stitched(placed, glue).select("file", "start", F.lit(0).cast("bigint").alias("size"), "line", F.decode(text, charset).alias("value"))
+
+
+class QuoteEnds:
+    """Lines that end outside quotes."""
+
+    def __init__(self, odd: int):
+        self.odd = odd
+
+    def ends(self, data: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        quotes = self.odd + np.searchsorted(np.flatnonzero(data == ord('"')), stops)
+        self.odd = int(quotes[-1] % 2)
+        return quotes % 2 == 0
 
 
 def csv_records(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """(file, head, text): every record of the files; ``head`` marks a file's first one. Records are lines, joined where a
     quote is open; a carriage return before the line break goes. Empty lines outside quotes are no records."""
     lines = wide_lines(spark, path, encoding.upper()) if encoding.upper() in WIDE else blocks(spark, path, "\n", encoding)
-    lines = lines.withColumn("quotes", times(F.col("value"), '"'))
-    state = before_block(lines.groupBy(*BLOCK).agg((F.sum("quotes") % 2).alias("odd")), quotes_before=F.col("odd"))
-    upto = Window.partitionBy(*BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends_open = (F.col("quotes_before") + F.sum("quotes").over(upto)) % 2 == 1
-    placed = lines.join(state, BLOCK).withColumn("open", ends_open).withColumn(
-        "begins", (F.when(F.col("open"), 1).otherwise(0) + F.col("quotes")) % 2 == 0)
-    found = stitched(placed, F.lit("\n"))
-    first = lines.filter("start = 0").groupBy(F.col("file").alias("head_file")).agg(F.min("line").alias("head_line"))  # a row a file
-    marked = found.join(first, (F.col("file") == F.col("head_file")) & (F.col("start") == 0) & (F.col("line") == F.col("head_line")), "left")
-    text = F.regexp_replace("text", "\r$", "")
-    return marked.select("file", F.col("head_file").isNotNull().alias("head"), text.alias("text")).filter(F.col("text") != "")
+    totals = lines.groupBy(*BLOCK).agg((F.sum(times(F.col("value"), '"')) % 2).alias("odd"))
+    state = before_block(totals, odd=F.col("odd")).select(*BLOCK, (F.col("odd") % 2).cast("int").alias("odd"))
+    whole, edges = cut_texts(lines, stored(state), "\n", QuoteEnds)
+    text = F.regexp_replace(F.expr("left(text, length(text) - 1)"), "\r$", "")
+    return whole.unionAll(edges).select("file", F.col("first").alias("head"), text.alias("text")).filter(F.col("text") != "")
 
 
 def header_names(line: str, separator: str) -> list[str]:

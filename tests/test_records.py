@@ -117,3 +117,16 @@ def test_wide_encodings_over_block_borders(spark, tmp_path, small_blocks, encodi
     assert df.columns == ["key", "text", "more"] and sorted(map(tuple, df.collect())) == [tuple(r) for r in rows]
     named = readers.read_csv_auto(spark, str(tmp_path / "a.csv"), sep=";", encoding=encoding.replace("utf-", "UTF-").replace("-le", "LE").replace("-be", "BE"))
     assert named.count() == 120
+
+
+def test_lines_are_not_shuffled(spark, tmp_path, small_blocks, shuffled):
+    """What moves between tasks are the ends of blocks, not the lines within: it grows far less than the file."""
+    def moved(n, kind):
+        path = str(tmp_path / f"{n}.{kind}")
+        with open(path, "w") as f:
+            f.write(content([["key", "text", "kind"], *random_rows(n, 5)]) if kind == "csv" else json.dumps(objects(n)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        size = (tmp_path / f"{n}.{kind}").stat().st_size
+        read = (lambda: readers.read_csv_auto(spark, path, sep=",", multi_line=True)) if kind == "csv" else (lambda: readers.read_json_auto(spark, path))
+        return shuffled(lambda: read().write.format("noop").mode("overwrite").save()) / size
+    assert moved(3000, "csv") < 0.5 and moved(1500, "json") < 0.5
