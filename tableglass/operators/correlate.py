@@ -17,6 +17,7 @@ from tableglass.plans.tiles import correlations
 
 STRONG, VERY_STRONG = 0.7, 0.9
 BROADCAST_VALUES = 100_000  # ranks are broadcast up to so many; beyond that only those of hot values are
+MOST_JOINED = 32  # so many columns are joined with their ranks in place; a plan grows with them
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
 WIDE = 16  # more columns than these are multiplied in tiles: rows would be copied once per six pairs, or joined once per column
 BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
@@ -157,19 +158,39 @@ def on_side(counted: DataFrame, ranks: DataFrame, side: str, few: bool) -> DataF
 
 
 def spearman_of_whole(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """(var1, var2, r) of columns without missing values. Cells are ranked column by column together, and meet again by row:
-    as many narrow rows as the table has cells are shuffled, however many pairs there are."""
+    """(var1, var2, r) of columns without missing values. Ranks of columns with few values are broadcast and stay in their row. The cells of the others
+    are ranked column by column together, and meet again by row: as many narrow rows are shuffled, however many pairs there are."""
     path = scratch_folder(df.sparkSession)
     numbers_of(df, chosen).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # so that rows keep their numbers
     numbers = df.sparkSession.read.parquet(path)
-    own = numbers.select("row", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("value")) for i in range(len(chosen))])))
-    counts = own.groupBy("c", "value").agg(F.count(F.lit(1)).alias("cnt"))
     distinct = value_facts(numbers.drop("row"))[1]
-    ranks = ordered_counts(counts, ["c"], few_values(max(distinct))).select("c", "value", centred_rank().alias("rank"), "cnt")
-    ranked = lookup(own, ranks, ["c", "value"], sum(distinct) <= BROADCAST_VALUES, "cnt")
-    vectors = ranked.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return named_pairs(correlations(vectors, [F.get("ranks", F.lit(i)) for i in range(len(chosen))]), chosen)
+    narrow, values = [], 0
+    for i in sorted(range(len(chosen)), key=lambda i: distinct[i])[:MOST_JOINED]:
+        values += distinct[i]
+        if values <= BROADCAST_VALUES:
+            narrow.append(i)
+    others = [i for i in range(len(chosen)) if i not in narrow]
+
+    def ranked_cells(columns: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+        own = numbers.select("row", F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("value")) for i in columns])))
+        counts = own.groupBy("c", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        return own, ordered_counts(counts, ["c"], few_values(max(distinct[i] for i in columns))).select("c", "value", centred_rank().alias("rank"), "cnt")
+    rows = numbers
+    if narrow:
+        known = scratch_folder(df.sparkSession)
+        ranked_cells(narrow)[1].write.parquet(known)
+        for i in narrow:
+            ranks = df.sparkSession.read.parquet(known).filter(F.col("c") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"rank{i}"))
+            rows = rows.join(F.broadcast(ranks), f"v{i}")
+    vectors = rows.select("row", F.array(*[F.col(f"rank{i}") for i in narrow]).cast("array<double>").alias("near"))
+    if others:
+        cells_of, ranks = ranked_cells(others)
+        far = lookup(cells_of, ranks, ["c", "value"], sum(distinct[i] for i in others) <= BROADCAST_VALUES, "cnt").select(
+            "row", F.struct("c", "rank").alias("cell"), F.lit(None).cast("array<double>").alias("near"))
+        both = far.unionByName(vectors.withColumn("cell", F.lit(None).cast(far.schema["cell"].dataType))) if narrow else far
+        vectors = both.groupBy("row").agg(F.any_value("near", True).alias("near"), F.transform(F.array_sort(F.collect_list("cell")), lambda x: x["rank"]).alias("far"))
+    place = {i: F.get("near", F.lit(n)) for n, i in enumerate(narrow)} | {i: F.get("far", F.lit(n)) for n, i in enumerate(others)}
+    return named_pairs(correlations(vectors, [place[i] for i in range(len(chosen))]), chosen)
 
 
 def spearman_by_pair(

@@ -74,6 +74,23 @@ def test_spearman(spark, lacking):
     same(correlate.corr_spearman(spark.createDataFrame(data).repartition(3)).collect(), by_pair(data))
 
 
+@pytest.mark.parametrize("limit,joined", [(10_000, 32), (300, 32), (10_000, 3), (0, 32)])
+def test_spearman_ranks_in_place(spark, shuffled, monkeypatch, limit, joined):
+    """Columns of few values are ranked without leaving their row, the others by cells; the result is the same."""
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({f"x{i}": rng.integers(0, 10 * (i + 1), 400) * 1.0 if i % 6 else rng.normal(size=400) for i in range(18)})
+    monkeypatch.setattr(correlate, "BROADCAST_VALUES", limit)
+    monkeypatch.setattr(correlate, "MOST_JOINED", joined)
+    same(correlate.corr_spearman(spark.createDataFrame(data).repartition(3)).collect(), by_pair(data))
+
+
+def test_spearman_of_few_values_shuffles_no_rows(spark, shuffled):
+    def moved(rows):
+        df = spark.range(0, rows, 1, 4).selectExpr(*[f"id * {i + 1} % {i + 50} AS x{i}" for i in range(18)])
+        return shuffled(lambda: correlate.corr_spearman(df).write.format("noop").mode("overwrite").save())
+    assert moved(60_000) < 2 * moved(6_000)
+
+
 def by_pair(data):
     out = pd.DataFrame(np.nan, data.columns, data.columns)
     for a in data:
