@@ -17,7 +17,7 @@ from tableglass.plans.tiles import correlations
 
 STRONG, VERY_STRONG = 0.7, 0.9
 BROADCAST_VALUES = 100_000  # ranks are broadcast up to so many; beyond that only those of hot values are
-MOST_JOINED = 32  # so many columns are joined with their ranks in place; a plan grows with them
+MOST_JOINED = 16  # so many columns are joined with their ranks in place; a broadcast table takes 64 MB at least
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
 WIDE = 16  # more columns than these are multiplied in tiles: rows would be copied once per six pairs, or joined once per column
 BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
@@ -182,13 +182,12 @@ def spearman_of_whole(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
         for i in narrow:
             ranks = df.sparkSession.read.parquet(known).filter(F.col("c") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"rank{i}"))
             rows = rows.join(F.broadcast(ranks), f"v{i}")
-    vectors = rows.select("row", F.array(*[F.col(f"rank{i}") for i in narrow]).cast("array<double>").alias("near"))
+    vectors = rows.select("row", F.array(*[F.col(f"rank{i}") for i in narrow]).alias("near"))
     if others:
         cells_of, ranks = ranked_cells(others)
-        far = lookup(cells_of, ranks, ["c", "value"], sum(distinct[i] for i in others) <= BROADCAST_VALUES, "cnt").select(
-            "row", F.struct("c", "rank").alias("cell"), F.lit(None).cast("array<double>").alias("near"))
-        both = far.unionByName(vectors.withColumn("cell", F.lit(None).cast(far.schema["cell"].dataType))) if narrow else far
-        vectors = both.groupBy("row").agg(F.any_value("near", True).alias("near"), F.transform(F.array_sort(F.collect_list("cell")), lambda x: x["rank"]).alias("far"))
+        far = lookup(cells_of, ranks, ["c", "value"], sum(distinct[i] for i in others) <= BROADCAST_VALUES, "cnt").groupBy("row").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("c", "rank"))), lambda x: x["rank"]).alias("far"))
+        vectors = vectors.join(far, "row") if narrow else far
     place = {i: F.get("near", F.lit(n)) for n, i in enumerate(narrow)} | {i: F.get("far", F.lit(n)) for n, i in enumerate(others)}
     return named_pairs(correlations(vectors, [place[i] for i in range(len(chosen))]), chosen)
 
