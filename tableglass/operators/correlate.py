@@ -12,7 +12,7 @@ from tableglass.functions.columns import number, numeric_columns
 from tableglass.functions.moments import pearson
 from tableglass.plans.joins import lookup
 from tableglass.plans.ranks import few_values, ordered_counts
-from tableglass.plans.scratch import scratch_folder
+from tableglass.plans.scratch import scratch_folder, stored
 from tableglass.plans.tiles import correlations
 
 STRONG, VERY_STRONG = 0.7, 0.9
@@ -20,7 +20,9 @@ BROADCAST_VALUES = 100_000  # ranks are broadcast up to so many; beyond that onl
 MOST_JOINED = 16  # so many columns are joined with their ranks in place; a broadcast table takes 64 MB at least
 PAIRS_PER_BLOCK = 6  # of the Pearson aggregate
 WIDE = 16  # more columns than these are multiplied in tiles: rows would be copied once per six pairs, or joined once per column
-BLOCK_BITS = 18  # x ranks per block of the inversion count: 2^18
+BLOCK_BITS = 14  # x ranks per block of the inversion count: 2^14
+SPAN_BITS = 20  # y ranks up to which the cells of one x value are summed up in one task: 2^20
+ROWS_PER_TASK = 1 << 20  # of the inversion count; a cell is a row for each bit of its y rank
 
 
 def two_or_more(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -80,7 +82,7 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def cells(df: DataFrame, chosen: Sequence[str], distinct: Sequence[int] | None = None, without: Sequence[str] = ()) -> DataFrame:
-    """(var1, var2, x, y, c): how often each combination of values occurs, for every pair of columns.
+    """(i, j, x, y, c): how often each combination of values occurs, for every pair of columns by their places.
 
     x is the first column of the pair, or with ``distinct`` given the one with more distinct values. Pairs of two columns in
     ``without`` are left out.
@@ -91,14 +93,13 @@ def cells(df: DataFrame, chosen: Sequence[str], distinct: Sequence[int] | None =
         if chosen[i] in known and chosen[j] in known:
             continue
         x, y = (j, i) if distinct and distinct[i] < distinct[j] else (i, j)
-        pairs.append(F.struct(F.lit(chosen[i]).alias("var1"), F.lit(chosen[j]).alias("var2"),
-                              F.col(f"v{x}").alias("x"), F.col(f"v{y}").alias("y")))
+        pairs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{x}").alias("x"), F.col(f"v{y}").alias("y")))
     return numbers.select(F.inline(F.array(*pairs))).filter(
-        F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("var1", "var2", "x", "y").agg(
+        F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*PAIR, "x", "y").agg(
         F.count(F.lit(1)).alias("c"))
 
 
-PAIR = ["var1", "var2"]
+PAIR = ["i", "j"]  # numbers, as they are part of every row
 
 
 def side_ranks(counted: DataFrame, side: str, few: bool) -> DataFrame:
@@ -114,9 +115,9 @@ def value_facts(numbers: DataFrame) -> tuple[list[bool], list[int]]:
 
 
 def every_pair(df: DataFrame, chosen: Sequence[str], found: DataFrame) -> DataFrame:
-    """The pairs in column order, with NULL where nothing was found (no complete rows)."""
-    listed = numbered_pairs(df.sparkSession, chosen).select(*PAIR)
-    return listed.join(F.broadcast(found) if len(chosen) <= WIDE else found, PAIR, "left").select(*PAIR, "r")
+    """(var1, var2, r) in column order, with NULL where nothing was found (no complete rows)."""
+    listed = numbered_pairs(df.sparkSession, chosen)
+    return listed.join(F.broadcast(found) if len(chosen) <= WIDE else found, PAIR, "left").select("var1", "var2", "r")
 
 
 def centred_rank() -> Column:
@@ -204,7 +205,9 @@ def spearman_by_pair(
     spread = F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))
     found = on_side(on_side(counted, x, "x", all_few), y, "y", all_few).groupBy(*PAIR).agg(
         F.try_divide(F.sum(c * dx * dy), spread).alias("r"))
-    return every_pair(df, chosen, found.unionByName(known) if known else found)
+    if known:
+        found = found.unionByName(numbered_pairs(df.sparkSession, chosen).join(known, ["var1", "var2"]).select(*PAIR, "r"))
+    return every_pair(df, chosen, found)
 
 
 def pairs_of(count: Column) -> Column:
@@ -224,28 +227,15 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     chosen = two_or_more(df, columns)
     # tau does not depend on which column is y; the one with fewer values has fewer bits
     _, distinct = value_facts(numbers_of(df, chosen))
-    counted, few = cells(df, chosen, distinct), few_values(max(distinct))
-    xs, ys = side_ranks(counted, "x", few), side_ranks(counted, "y", few)
+    counted, few = stored(cells(df, chosen, distinct)), few_values(max(distinct))
+    xs, ys = stored(side_ranks(counted, "x", few)), stored(side_ranks(counted, "y", few))
     # each value of a pair is one row: of x the larger number of the two columns, of y the smaller
     rows_x = sum(max(p) for p in combinations(distinct, 2))
     rows_y = sum(min(p) for p in combinations(distinct, 2))
     ranked = on_side(counted, xs.select(*PAIR, F.col("value").alias("x"), F.col("dense").alias("xr"), "cnt"), "x", rows_x <= BROADCAST_VALUES)
     ranked = on_side(ranked, ys.select(*PAIR, F.col("value").alias("y"), F.col("dense").alias("yr"), "cnt"), "y", rows_y <= BROADCAST_VALUES)
-    # one row per pair of columns
-    depth = ys.groupBy(*PAIR).agg(F.greatest(F.length(F.bin(F.max("dense"))), F.lit(1)).alias("bits"))
-    levels = ranked.join(F.broadcast(depth), PAIR).withColumn(
-        "level", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
-    bit = F.expr("shiftright(yr, level) & 1L")
-    split = levels.withColumn("prefix", F.expr("shiftright(yr, level + 1)")).groupBy(
-        *PAIR, "level", "prefix", "xr").agg(
-        F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).cast("double").alias("ones"),
-        F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).cast("double").alias("zeros"),
-    ).withColumn("block", F.shiftright("xr", BLOCK_BITS))
-    near = inversions(split, [*PAIR, "level", "prefix", "block"], "xr")
-    blocks = split.groupBy(*PAIR, "level", "prefix", "block").agg(
-        F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    far = inversions(blocks, [*PAIR, "level", "prefix"], "block")
-    discordant = near.unionAll(far).groupBy(*PAIR).agg(F.sum("d").alias("d"))
+    bits = max(min(p) for p in combinations(distinct, 2)).bit_length()
+    discordant = inversions(ranked, ys, counted.count() * bits // ROWS_PER_TASK + 1)
 
     def ties(of: DataFrame, count: str, name: str) -> DataFrame:
         return of.groupBy(*PAIR).agg(F.sum(pairs_of(F.col(count))).alias(name))
@@ -258,10 +248,32 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return every_pair(df, chosen, found)
 
 
-def inversions(split: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("ones").over(earlier), F.lit(0.0))
-    return split.select(*PAIR, (F.col("zeros") * ahead).alias("d"))
+def inversions(ranked: DataFrame, ys: DataFrame, tasks: int) -> DataFrame:
+    """(i, j, d): the discordant pairs of the cells (xr, yr, c).
+
+    Rows are dealt to as many ``tasks`` as their number asks for, in each step. Otherwise they would stay where the ranks were
+    made, which is one task for a pair of columns, or come together as their bytes allow before they are copied.
+    """
+    # one row per pair of columns
+    depth = ys.groupBy(*PAIR).agg(F.greatest(F.length(F.bin(F.max("dense"))), F.lit(1)).alias("bits"))
+    # an x value that has very many cells is spread over tasks; the range of the running sum leaves out all its rows
+    dealt = ranked.withColumn("span", F.shiftright("yr", SPAN_BITS)).repartition(tasks, *PAIR, "xr", "span")
+    levels = dealt.join(F.broadcast(depth), PAIR).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    bit = F.expr("shiftright(yr, level) & 1L")
+    split = levels.withColumn("prefix", F.expr("shiftright(yr, level + 1)")).groupBy(
+        *PAIR, "xr", "span", "level", "prefix").agg(
+        F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).cast("double").alias("ones"),
+        F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).cast("double").alias("zeros"),
+    ).withColumn("block", F.shiftright("xr", BLOCK_BITS)).drop("span")
+
+    def earlier(of: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+        smaller = Window.partitionBy(*group).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+        return of.repartition(tasks, *group).withColumn("ahead", F.coalesce(F.sum("ones").over(smaller), F.lit(0.0)))
+    group = [*PAIR, "level", "prefix"]
+    near = earlier(split, [*group, "block"], "xr").groupBy(*group, "block").agg(
+        F.sum(F.col("zeros") * F.col("ahead")).alias("d"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    far = earlier(near, group, "block")
+    return far.groupBy(*PAIR).agg(F.sum(F.col("d") + F.col("zeros") * F.col("ahead")).alias("d"))
 
 
 METHODS = {"pearson": corr_pearson, "spearman": corr_spearman, "kendall": corr_kendall}

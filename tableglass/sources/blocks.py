@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableglass.plans.scratch import scratch_folder
+from tableglass.plans.scratch import stored
 
 #: A block: a file, and the first byte and the length of what one task reads of it at a time.
 BLOCK = ["file", "start", "size"]
@@ -31,13 +31,6 @@ def blocks(spark: SparkSession, path: str | list[str], separator: str, encoding:
     return spark.read.option("lineSep", separator).text(path).select(*at, value.alias("value"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A small table that several passes read."""
-    path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def joined_lines(values: pa.Array, separator: bytes) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
     """(buffer, bytes, where each line ends) of lines with the separator behind each."""
     ended = pc.binary_join_element_wise(values.cast(pa.binary()), pa.scalar(b"", pa.binary()), pa.scalar(separator, pa.binary()))
