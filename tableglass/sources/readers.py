@@ -148,9 +148,14 @@ def json_layouts(spark: SparkSession, path: str) -> dict[str, str | list[str]]:
 
     The first bytes of a file tell as a rule; only a file whose first line is longer, or that may have no second one, is read.
     """
+    return json_facts(spark, path)[0]
+
+
+def json_facts(spark: SparkSession, path: str) -> tuple[dict[str, str | list[str]], int]:
+    """(:func:`json_layouts`, bytes of the longest file), from one pass over the heads."""
     complete = F.filter(F.transform(head_lines(F.col("head"), F.col("length")), lambda x: F.trim(x)), lambda x: x != "")
     begin = F.trim(F.regexp_replace(F.col("head").cast("string"), "^[ \r\n]+", ""))
-    known = heads(spark, path).select("file", F.coalesce(F.substring(begin, 1, 1), F.lit("")).alias("mark"), F.get(complete, F.lit(0)).alias("first"),
+    known = heads(spark, path).select("file", "length", F.coalesce(F.substring(begin, 1, 1), F.lit("")).alias("mark"), F.get(complete, F.lit(0)).alias("first"),
                                       F.coalesce(F.size(complete), F.lit(0)).alias("lines"), (F.col("length") <= F.octet_length("head")).alias("all"))
     whole = F.from_json("first", "map<string,string>").isNotNull()
 
@@ -160,20 +165,21 @@ def json_layouts(spark: SparkSession, path: str) -> dict[str, str | list[str]]:
         unread = F.when((F.col("mark") != "") | ~F.coalesce("all", F.lit(False)), "unknown").otherwise("blank")  # a file of blanks has no rows
         return F.when(F.col("mark") == "[", "list").when((F.col("mark") == "") | cut, unread).when(
             (F.col("mark") == "{") & (single | ~whole), "object").otherwise("lines")
-    facts = known.select("file", layout(False).alias("layout"), layout(True).alias("alone"))
-    counted = facts.groupBy("layout", "alone").count().collect()
-    alone = sum(r["count"] for r in counted) == 1
+    facts = known.select("file", "length", layout(False).alias("layout"), layout(True).alias("alone"))
+    counted = facts.groupBy("layout", "alone").agg(F.count(F.lit(1)).alias("files"), F.max("length").alias("longest")).collect()
+    longest = max((r["longest"] for r in counted), default=0)
+    alone = sum(r["files"] for r in counted) == 1
     kind = "alone" if alone else "layout"
     kinds = {r[kind] for r in counted} - {"blank"}
     if len(kinds) == 1 and "unknown" not in kinds:
-        return {kinds.pop(): path}
+        return {kinds.pop(): path}, longest
     found = defaultdict(list)
     for row in facts.filter(F.col(kind) != "blank").select("file", kind).collect() if kinds else ():
         found[row[kind]].append(file_name(row["file"]))
     unknown = found.pop("unknown", [])
     for name, files in (scanned_layouts(spark, unknown, alone) if unknown else {}).items():
         found[name] += files
-    return {k: sorted(v) for k, v in found.items()}
+    return {k: sorted(v) for k, v in found.items()}, longest
 
 
 def scanned_layouts(spark: SparkSession, path: list[str], alone: bool) -> dict[str, list[str]]:
@@ -195,14 +201,16 @@ def file_names(spark: SparkSession, path: str | list[str], longer_than: int) ->
     return [file_name(r["path"]) for r in files.collect()]
 
 
-def large_lists(spark: SparkSession, layout: str, files: str | list[str], cut_bytes: int | None) -> tuple[list[str], DataFrame | None]:
+def large_lists(
+    spark: SparkSession, layout: str, files: str | list[str], cut_bytes: int | None, longest: int,
+) -> tuple[list[str], DataFrame | None]:
     """(those of the files above ``cut_bytes`` that are a list of objects throughout, their elements)."""
     depth = {"list": 1, "object": 2}.get(layout)
     if depth is None:
         return [], None
     if cut_bytes is None:  # a smaller file is one task's work in any case
         cut_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    large = file_names(spark, files, cut_bytes)
+    large = file_names(spark, files, cut_bytes) if longest > cut_bytes else []
     pieces = json_pieces(spark, large, depth) if large else None
     cut = [file_name(f) for f in judged(pieces)] if large else []
     return cut, json_pieces(spark, cut, depth) if cut and len(cut) < len(large) else pieces
@@ -237,8 +245,9 @@ def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None)
     :func:`read_json_report_bad` returns bad lines beside the good ones.
     """
     tables = []
-    for layout, files in sorted(json_layouts(spark, path).items()):
-        cut, pieces = large_lists(spark, layout, files, cut_bytes)
+    layouts, longest = json_facts(spark, path)
+    for layout, files in sorted(layouts.items()):
+        cut, pieces = large_lists(spark, layout, files, cut_bytes, longest)
         if cut:
             df = read_elements(pieces, CORRUPT)
             if CORRUPT in df.columns:
@@ -250,7 +259,7 @@ def read_json_auto(spark: SparkSession, path: str, cut_bytes: int | None = None)
         if layout == "lines":
             df = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(files)
         else:
-            df = read_documents(spark, files, not file_names(spark, files, TEXT_BYTES))
+            df = read_documents(spark, files, longest <= TEXT_BYTES or not file_names(spark, files, TEXT_BYTES))
         if CORRUPT in df.columns:
             raise ValueError(f"{path}: not JSON in any known layout, or lines that are malformed (read_json_report_bad shows them)")
         tables.append(_of_object(df) if layout == "object" else df)
