@@ -53,8 +53,9 @@ def as_document(s, records, before, after, each=1000):
     """JSON documents of up to about ``each`` records, spread over lines, a file for each."""
     n = records.count()
     parts = records.withColumn("part", F.floor(F.xxhash64("record").cast("double") / 2.0**64 * F.ceil(F.lit(n / each))))
-    # files of a task are written one by one, so a task gets about 64, however many there are
-    text = parts.repartition(n // (64 * each) + 1, "part").groupBy("part").agg(F.concat(
+    # files of a task are written one by one, so a task gets about 64; more where that would take more tasks than a shuffle has
+    tasks = min(n // (64 * each) + 1, int(s.conf.get("spark.sql.shuffle.partitions")))
+    text = parts.repartition(tasks, "part").groupBy("part").agg(F.concat(
         F.lit(before), F.array_join(F.sort_array(F.collect_list("record")), ",\n"), F.lit(after)).alias("value")).select("value")
     return written(s, text, "text", maxRecordsPerFile=1)
 
